@@ -77,7 +77,7 @@ def kernel(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]],
         for batch in batches:
             for part in pieces(batch, text, limit):
                 columns = f(part)
-                yield pa.RecordBatch.from_arrays([columns[x.name] if isinstance(columns[x.name], pa.Array) and columns[x.name].type == x.type else pa.array(columns[x.name], x.type) for x in out], schema=out)
+                yield pa.RecordBatch.from_arrays([c.cast(x.type) if isinstance(c := columns[x.name], pa.Array) else pa.array(c, x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
