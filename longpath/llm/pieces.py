@@ -113,8 +113,15 @@ class Vocabulary:
         self.keys, self.ids = np.array(keys, U)[order], np.array(ids, np.int64)[order]
         assert len(np.unique(self.keys)) == len(self.keys), "two pieces have one hash"
         self.score = np.array(self.scores)
-        self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
-        self.memory: dict[str, list[int]] = {}
+        self.decided: dict[int, bool] = {}
+        self.pair_at, self.pair_fits = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)  # decisions at a slot of the pair's hash
+        if self.inner - self.chars:
+            raise ValueError("every character of a longer piece must be a piece too")
+        top = (self.keys >> U(44)).astype(np.int64)
+        self.probe = np.full(1 << 20, -1, np.int32)  # by a key's top bits, the first place of such keys
+        self.probe[top[::-1]] = np.arange(len(top) - 1, -1, -1)
+        self.crowd = int(np.bincount(top, minlength=1).max())
+        self.forget()
 
     def down_powers(self, n: int) -> np.ndarray:
         if n > len(self._down):
@@ -144,21 +151,43 @@ class Vocabulary:
         and b, at a moment that depends on the best-scored steps within a and b only. Decisions are remembered.
         """
         pair = left * np.int64(1 << 32) + right
-        at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
-        known = self.pairs[at] == pair if len(self.pairs) else np.zeros(len(pair), bool)
-        if not known.all():
-            new = np.unique(pair[~known])
+        slot = ((pair.astype(U) * U(0x9E3779B97F4A7C15)) >> U(43)).astype(np.int64)
+        out = self.pair_fits[slot]
+        miss = np.flatnonzero(self.pair_at[slot] != pair)
+        if len(miss):
+            new, inverse = np.unique(pair[miss], return_inverse=True)
             fits = np.empty(len(new), bool)
             for n, p in enumerate(new.tolist()):
-                a, b = self.pieces[p >> 32], self.pieces[p & 0xFFFFFFFF]
-                fits[n] = self.merged(a + b) == [a, b]
-            order = np.argsort(np.concatenate((self.pairs, new)), kind="stable")
-            self.pairs, self.fits = np.concatenate((self.pairs, new))[order], np.concatenate((self.fits, fits))[order]
-            at = np.searchsorted(self.pairs, pair)
-        return self.fits[at]
-
-    def viterbi(self, codes: np.ndarray) -> list[list[int]]:
-        """The ids of units of equal length, given as rows of code points that all are pieces of their own."""
+                known = self.decided.get(p)
+                if known is None:
+                    a, b = self.pieces[p >> 32], self.pieces[p & 0xFFFFFFFF]
+                    known = self.decided[p] = self.merged(a + b) == [a, b]
+                fits[n] = known
+            out[miss] = fits[inverse]
+            self.pair_at[slot[miss]], self.pair_fits[slot[miss]] = pair[miss], out[miss]
+            clash = self.pair_at[slot[miss]] != pair[miss]  # two new pairs of one slot: the later one stays
+            self.pair_at[slot[miss][clash]] = -1
+        return out
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys are among the sorted piece keys: indices of key that are found, and their places."""
+        place = self.probe[(key >> U(44)).astype(np.int64)]
+        at = np.flatnonzero(place >= 0)
+        place, key = place[at].astype(np.int64), key[at]
+        found = np.full(len(at), -1, np.int64)
+        for i in range(self.crowd):
+            here = np.minimum(place + i, len(self.keys) - 1)
+            same = self.keys[here] == key
+            found[same] = here[same]
+        hit = found >= 0
+        return at[hit], found[hit]
+
+    def forget(self) -> None:
+        """Drops the remembered units (sorted hashes, and the ids of all in one array)."""
+        self.known, self.at, self.size, self.flat = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of equal length, given as rows of code points that all are pieces: how many ids each has, and all ids."""
         n, size = codes.shape
         sums, down = char_sums(codes), self.down_powers(size + 1)
         last = np.full((n, size + 1), -1, np.int64)  # the piece that ends here
@@ -168,42 +197,35 @@ class Vocabulary:
         for end in range(1, size + 1):
             starts = np.arange(max(0, end - self.longest), end)
             key = ((sums[:, end, None] - sums[:, starts]) * down[starts]) ^ (end - starts).astype(U)
-            at = np.minimum(np.searchsorted(self.keys, key.ravel()), len(self.keys) - 1).reshape(key.shape)
-            row, col = np.nonzero((self.keys[at] == key) & np.isfinite(best[:, starts]))
-            start, piece = starts[col], self.ids[at[row, col]]
+            at, place = self.find(key.ravel())
+            row, col, piece = at // len(starts), at % len(starts), self.ids[place]
+            start = starts[col]
             if self.is_bpe:
-                value = np.zeros(len(row))
-                inner = start > 0
-                value[~inner] = 1
-                value[inner] = self.admissible(last[row[inner], start[inner]], piece[inner])
-                value[value == 0] = -np.inf
+                value = np.ones(len(row))
+                inner = np.flatnonzero(start > 0)
+                value[inner[~self.admissible(last[row[inner], start[inner]], piece[inner])]] = -np.inf
             else:
                 value = best[row, start] + self.score[piece]
-            table = np.full(key.shape, -np.inf)
-            table[row, col] = value
-            pick = table.argmax(1)
-            best[:, end] = table[np.arange(n), pick]
-            back[:, end] = starts[pick]
-            last[:, end] = self.ids[at[np.arange(n), pick]]
-        out: list[list[int]] = [[] for _ in range(n)]
-        where, open_rows = np.full(n, size), np.arange(n)
-        while len(open_rows):
-            for r, p in zip(open_rows.tolist(), last[open_rows, where[open_rows]].tolist(), strict=True):
-                out[r].append(p)
-            where[open_rows] = back[open_rows, where[open_rows]]
-            open_rows = open_rows[where[open_rows] > 0]
-        return [x[::-1] for x in out]
-
-    def units(self, text: str) -> list[str]:
-        """The parts of a normalised text that no piece crosses."""
-        import regex
-
-        if not hasattr(self, "_cut"):
-            inner = "".join(sorted(self.inner - {MARK}))
-            body = f"[{regex.escape(inner, literal_spaces=True)}]" if inner else "(?!)"
-            unit = f"{MARK}*{body}+|{MARK}+|." if self.starts_only else f"(?:{MARK}|{body})+|."
-            self._cut = regex.compile(unit, regex.DOTALL)
-        return self._cut.findall(text)
+            table, which = np.full((n, len(starts)), -np.inf), np.full((n, len(starts)), -1, np.int64)
+            table[row, col], which[row, col] = value, piece
+            pick, rows = table.argmax(1), np.arange(n)
+            best[:, end], back[:, end], last[:, end] = table[rows, pick], starts[pick], which[rows, pick]
+        out, count = np.full((n, size), -1, np.int32), np.zeros(n, np.int64)
+        where, rows = np.full(n, size), np.arange(n)
+        while len(rows):
+            count[rows] += 1
+            out[rows, size - count[rows]] = last[rows, where[rows]]
+            where[rows] = back[rows, where[rows]]
+            rows = rows[where[rows] > 0]
+        return count, out[out >= 0]
+
+    def classes(self) -> np.ndarray:
+        """By code point below 0x110000: 0 in no longer piece, 1 inside of units, 2 the mark."""
+        if not hasattr(self, "_class"):
+            self._class = np.zeros(0x110000, np.uint8)
+            self._class[[ord(c) for c in self.inner]] = 1
+            self._class[ord(MARK)] = 2
+        return self._class
 
     def loose(self, char: str) -> list[int]:
         """Ids of a character that is in no piece longer than itself."""
@@ -214,36 +236,68 @@ class Vocabulary:
     def normal(self, text: str) -> str:
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return ""
-        return ((" " if self.dummy_prefix else "") + text).replace(" ", MARK)
-
-    def encode(self, texts: list[str | None], remember: int = 200_000) -> list[np.ndarray | None]:
-        """Ids of each text. At most remember units keep their ids for later calls."""
-        split = [None if t is None else self.units(self.normal(t)) for t in texts]
-        new = {u for s in split if s for u in s} - self.memory.keys()
-        if len(self.memory) + len(new) > remember:
-            self.memory = {}
-            new = {u for s in split if s for u in s}
-        by_size: dict[int, list[str]] = {}
-        for u in new:
-            if len(u) == 1 and u not in self.chars:
-                self.memory[u] = self.loose(u)
-            elif all(c in self.chars for c in u):
-                by_size.setdefault(len(u), []).append(u)
-            else:  # a vocabulary without some character of its own longer pieces
-                self.memory[u] = [self.rank[p][1] if p in self.rank else i for p in self.merged(u) for i in ([None] if p in self.rank else self.loose(p))]
-        for size, units in by_size.items():
-            step = max(1, 2_000_000 // (size * (self.longest + 1)))
-            for a in range(0, len(units), step):
-                part = units[a : a + step]
-                codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), size)
-                for u, ids in zip(part, self.viterbi(codes), strict=True):
-                    self.memory[u] = ids
-        out = []
-        for s in split:
-            out.append(None if s is None else np.fromiter((i for u in s for i in self.memory[u]), np.int32))
-        return out
+        return (" " if self.dummy_prefix and text else "") + text
+
+    def learn(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> None:
+        """Adds the units at codes[start : start + size] to what is remembered."""
+        keys, sizes, flats = [], [], []
+        alone = (size == 1) & (self.classes()[codes[start]] == 0)
+        for i in np.flatnonzero(alone).tolist():
+            ids = self.loose(chr(codes[start[i]]))
+            keys.append(key[i : i + 1])
+            sizes.append(np.array([len(ids)]))
+            flats.append(np.array(ids, np.int32))
+        rest = np.flatnonzero(~alone)
+        rest = rest[np.argsort(size[rest], kind="stable")]
+        for same in np.split(rest, np.flatnonzero(np.diff(size[rest])) + 1) if len(rest) else []:
+            long = int(size[same[0]])
+            step = max(1, 2_000_000 // (long * (self.longest + 1)))
+            for a in range(0, len(same), step):
+                part = same[a : a + step]
+                count, flat = self.viterbi(codes[start[part, None] + np.arange(long)])
+                keys.append(key[part])
+                sizes.append(count)
+                flats.append(flat)
+        new_size = np.concatenate(sizes)
+        new_keys, new_at = np.concatenate(keys), len(self.flat) + np.cumsum(new_size) - new_size
+        order = np.argsort(new_keys)
+        where = np.searchsorted(self.known, new_keys[order])
+        self.known = np.insert(self.known, where, new_keys[order])
+        self.size, self.at = np.insert(self.size, where, new_size[order]), np.insert(self.at, where, new_at[order])
+        self.flat = np.concatenate((self.flat, *flats))
+
+    def encode(self, texts: list[str | None], remember: int = 1_500_000) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has (0 for null), and the ids of all. At most remember units, and those of one call, are kept."""
+        parts = [self.normal(t) if t else "" for t in texts]
+        begin = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
+        if not len(codes):
+            return np.zeros(len(texts), np.int64), np.empty(0, np.int32)
+        codes = np.where(codes == 32, np.uint32(ord(MARK)), codes)
+        kind = self.classes()[codes]
+        first = np.ones(len(codes), bool)
+        was, now = kind[:-1], kind[1:]
+        first[1:] = (now == 0) | (was == 0) | (((now == 2) & (was != 2)) if self.starts_only else False)
+        first[begin[:-1][begin[:-1] < len(codes)]] = True
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(codes)))
+        sums = char_sums(codes)
+        key = mix((sums[start + size] - sums[start]) * self.down_powers(len(codes) + 1)[start] + size.astype(U))
+        distinct, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+            if len(self.known) + int(new.sum()) > remember:
+                self.forget()
+                new[:] = True
+        if new.any():
+            self.learn(codes, start[index[new]], size[index[new]], distinct[new])
+        at = np.searchsorted(self.known, distinct)[inverse]
+        count, source = self.size[at], self.at[at]
+        run = np.cumsum(count) - count
+        ids = self.flat[np.repeat(source - run, count) + np.arange(int(count.sum()))]
+        total = np.concatenate(([0], np.cumsum(count)))
+        return np.diff(total[np.searchsorted(start, begin)]), ids
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, the mark of the prefix removed."""
@@ -275,19 +329,23 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
         def f(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
-            ids = vocab.encode(texts)
-            sizes = [0 if x is None else len(x) for x in ids]
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            flat = np.concatenate([x for x in ids if x is not None and len(x)] or [np.empty(0, np.int32)])
-            null = pa.array([x is None for x in ids], pa.bool_())
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=null)
-            same = [None if t is None else vocab.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-            return {id_col: batch.column(id_col), "ids": column, "n_tokens": [None if x is None else len(x) for x in ids], "round_trip": same}
+            sizes, flat = vocab.encode(texts)
+            ends = np.cumsum(sizes)
+            rows = [flat[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+            same = [None if t is None else vocab.decode(x) == t for t, x in zip(texts, rows, strict=True)]
+            for i in [i for i, x in enumerate(same) if x is False]:  # should two units ever share a hash
+                vocab.forget()
+                rows[i] = vocab.encode([texts[i]])[1]
+                same[i] = vocab.decode(rows[i]) == texts[i]
+            null = pa.array([t is None for t in texts], pa.bool_())
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows), pa.int32()), mask=null)
+            return {id_col: batch.column(id_col), "ids": ids, "n_tokens": [None if t is None else len(x) for t, x in zip(texts, rows, strict=True)], "round_trip": same}
 
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return kernel(docs.select(F.col(id_col), F.col(text_col).alias("text")), make, f"`{id_col}` {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
+    return kernel(docs.select(F.col(id_col), F.col(text_col).alias("text")), make, limit=1 << 21, ddl=f"`{id_col}` {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def decoded(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
