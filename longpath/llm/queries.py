@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from longpath.llm import langid, pieces, secrets
+from longpath.llm import langid, licenses, mixing, pieces, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The mixture of the registered query: four domains by the number in a source's name, weights of domains and languages.
+DOMAIN_SQL = "CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'forum' END"
+WEIGHTS = {"domain": {"web": 30, "books": 40, "code": 20, "forum": 10}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
+SHARE, EPOCHS, SEED = (3, 5), 2, 7
+
+
+def domain_of() -> Column:
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 4
+    return F.when(number == 0, "web").when(number == 1, "books").when(number == 2, "code").otherwise("forum")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domain_of(), WEIGHTS, SHARE, EPOCHS, SEED)
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -31,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.mix_sql(DOMAIN_SQL.replace("CAST(", "TRY_CAST("), WEIGHTS, SHARE, EPOCHS, SEED)}
