@@ -188,3 +188,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bands:
     out = sketch.select("id", "n", "cls").join(verdict, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """docs with one row of each component (the one of least id); of rows of equal id and text one, and all rows with a null id."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col(id_col).alias("kept_id"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    left = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "h"]).select("doc.*")
+    return left.unionByName(docs.where(F.col(id_col).isNull()))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from longpath.llm.common import kernel, stored
 from longpath.llm.words import Texts, U, constants, mix, white_space
 
-ROUNDS, THIN = 2, 4
+ROUNDS, THIN = 2, 3
 
 
 def recompress(h: np.ndarray, border: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +62,7 @@ def recompress(h: np.ndarray, border: np.ndarray, rounds: int = ROUNDS) -> tuple
             left, right = np.maximum(at - 1, 0), np.minimum(last + 1, len(name) - 1)
             lo = np.where(edge[at], low[at], np.minimum(low[at], low[left]))
             hi = np.where((last + 1 >= len(name)) | edge[right], high[last], np.maximum(high[last], high[right]))
-            name = np.where(length > 1, mix(name[at] * U(3) + mix(length.astype(U) + U(r * 1_000_003))), name[at])
+            name = np.where(length > 1, mix(name[at] * U(3) + mix(length.astype(U))), name[at])
             start, edge = start[at], edge[at]
             # ends of the document decide too: mark by reaching beyond it
             lo = np.where(edge, lo - 1, lo)
@@ -70,7 +70,7 @@ def recompress(h: np.ndarray, border: np.ndarray, rounds: int = ROUNDS) -> tuple
             hi = np.where(ends, hi + 1, hi)
             low, high = lo, hi
         # pairs: a symbol of the left part joins a following one of the right part
-        side = (mix(name + U(r + 1) * U(0x9E3779B97F4A7C15)) >> U(63)).astype(bool)
+        side = (mix(name + constants(700 + r, 1)) >> U(63)).astype(bool)
         first = np.zeros(len(name), bool)
         first[:-1] = ~side[:-1] & side[1:] & ~edge[1:]
         second = np.zeros(len(name), bool)
