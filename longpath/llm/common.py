@@ -25,6 +25,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/longpath/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # the cleaner then removes shuffle files that no plan refers to any more
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

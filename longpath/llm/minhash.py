@@ -8,15 +8,16 @@ of fewer words is one shingle; a text without words (or null) has the empty set
    set. Texts of equal sets (128-bit digest) are one class, which the further steps see once.
 2. Banding: classes that agree on all minima of a band share a bucket. With 32 bands of 4 a pair of similarity 0.75
    shares none with probability 5e-6.
-3. Within a bucket pairs are not listed all; each round compares some pivots with the others:
-   - first the class of smallest id with every member;
-   - then, only where members are outside of the pivot's component, more and more of these as pivots (4 times as many a
-     round), against members of other components, until every outsider was a pivot. So a pair of a bucket that
-     ends in different components was compared, and no link is lost, while a group of near copies costs about one comparison a
-     member.
-4. A candidate pair is checked by set sizes, then by signatures (one byte a minimum, agreement well below the threshold gives up),
+3. Within a bucket pairs are not listed all: the class of least id is compared with every member, so a group of near copies costs about
+   one comparison a member. Components of these links follow.
+4. What is left are pairs of a bucket whose members are in different components. The members of buckets that hold
+   several components are joined exactly, whatever bucket they met in: with a global order of shingles (rarer ones first, by a
+   bounded table of counts) two sets that link share a shingle among the first quarter of both, at places that leave room for
+   the overlap needed (prefix and positional filter). For each such shingle the members outside of its largest component meet
+   those of other components. Texts that only share a frequent passage never meet, and no pair of a component is listed.
+5. A candidate pair is checked by set sizes, then by signatures (one byte a minimum, agreement well below the threshold gives up),
    then by counting the intersection of both full sets.
-5. Components by alternating large-star and small-star.
+6. Components by alternating large-star and small-star.
 
 component_id is the least id that a row reaches, itself included; kept says that it is its own. Rows of equal texts,
 repeated ids included, share a class. Rows with a null id take part with their text but are no component's name; a class
@@ -29,10 +30,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longpath.llm.common import drop_stored, kernel, stored
+from longpath.llm.common import kernel, stored
 from longpath.llm.components import components
 from longpath.llm.words import Texts, U, constants, mix, white_space, windows
 
@@ -99,18 +100,19 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int, id
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """cls and set (sorted hashes) of wanted (id, cls), from the whole texts of those ids."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id", "cls"), "id")
+    """node and set (sorted hashes) of wanted (node, id, cls), from the whole texts of those ids."""
+    texts = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text")).join(wanted, F.col("t_id").eqNullSafe(F.col("id")))
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
-            got = [(c, s.tobytes()) for c, s in zip(batch.column("cls").to_pylist(), shingles(batch, shingle), strict=True)]
-            same = [(c, s) for c, s in got if hashlib.blake2b(s, digest_size=16).digest() == c]  # an id may have several texts
-            return {"cls": [c for c, _ in same], "set": [s for _, s in same]}
+            got = zip(batch.column("node").to_pylist(), batch.column("cls").to_pylist(), shingles(batch, shingle), strict=True)
+            same = [(n, s.tobytes()) for n, c, s in got if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c]  # an id may have several texts
+            return {"node": [n for n, _ in same], "set": [s for _, s in same]}
 
         return f
 
-    return kernel(texts, make, "cls binary, set binary").dropDuplicates(["cls"])
+    found = stored(kernel(texts.select("node", "cls", "text"), make, "node bigint, set binary"), "sets")
+    return found if found.count() == wanted.count() else stored(found.dropDuplicates(["node"]), "sets")  # repeated rows
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
@@ -118,10 +120,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, floor: float) ->
 
     def sift(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= floor))
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= floor))
 
     def count(batches):
         for batch in batches:
@@ -133,58 +134,96 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, floor: float) ->
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.mapInArrow(sift, "a binary, b binary")
-    near = near.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    return near.mapInArrow(count, "a binary, b binary")
+    near = pairs.mapInArrow(sift, "a bigint, b bigint")
+    near = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return near.mapInArrow(count, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, seed: int = 3, first_pivots: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many sets have a shingle of each value of its lower bits: 2^bits numbers, whatever the size of the corpus."""
+
+    def run(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("set").to_pylist()), U)
+            total += np.bincount((flat & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = sets.select("set").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.int64)
+    out[np.asarray(found.column("slot"))] = np.asarray(found.column("n"))
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int, bits: int = 18) -> DataFrame:
+    """token, node, root, n and place of the first tokens of each set (node, root, set), rarer ones first, that a linked set must share."""
+    counts = _counts(sets, bits)
+
+    def run(batches):
+        for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            for node, root, x in zip(*(batch.column(c) for c in ("node", "root", "set")), strict=True):
+                s = np.frombuffer(x.as_buffer(), U)
+                n = len(s)
+                need = -(-n * percent // 100)  # a set that links shares at least so many
+                first = np.lexsort((s, counts[(s & U((1 << bits) - 1)).astype(np.int64)]))[: n - need + 1]
+                for column, v in zip(columns, (s[first].astype(np.int64), np.full(len(first), node.as_py()), np.full(len(first), root.as_py()), np.full(len(first), n), np.arange(len(first))), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in columns], names=["token", "node", "root", "n", "place"])
+
+    return sets.mapInArrow(run, "token bigint, node bigint, root bigint, n bigint, place bigint")
+
+
+def across(tokens: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b of nodes of different roots that share a token where both leave room for the overlap."""
+    per_root = tokens.groupBy("token", "root").agg(F.count("*").alias("c"))
+    main = per_root.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
+    mixed = stored(tokens.join(main, "token"), "mixed-tokens")
+    one, other = mixed.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px")), mixed
+    room = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place")) * (100 + percent) >= (F.col("nx") + F.col("n")) * percent
+    met = one.join(other.drop("main"), "token").where((F.col("rx") != F.col("root")) & room)
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every row of docs."""
-    sketch = stored(sketches(docs, shingle, bands, rows, seed, id_col, text_col), "sketches")
-    classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
-    placed = classes.select("cls", "id", "n", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("cls", F.struct("id", "cls")).alias("pivot")).where("size > 1")
+    sketch = stored(sketches(docs, shingle, bands, rows, seed, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # classes, numbered in the order of their least ids
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("h")
+    heads = sketch.where("cls is not null").groupBy("cls").agg(least).select("cls", "h.*")
+    heads = heads.repartitionByRange("last", "id", "row").sortWithinPartitions("last", "id", "row").withColumn("node", F.monotonically_increasing_id())
+    heads = stored(heads.select("cls", "id", "row", "node"), "classes")
+    placed = sketch.select("row", "buckets").join(heads.select("row", "node"), "row").select("node", F.explode("buckets").alias("bucket")).repartition("bucket")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     placed = stored(placed.join(shared.select("bucket", "pivot"), "bucket"), "buckets")  # classes that share a bucket
-    involved = placed.select("cls", "id").distinct()
-    sigs = stored(classes.select("cls", "n", "sig").join(involved.select("cls"), "cls", "left_semi"), "signatures")
-    sets = stored(full_sets(docs, involved, shingle, id_col, text_col), "sets")
-    # five deviations below the threshold, so that hardly any link is given up
+    involved = stored(heads.join(placed.select("node").distinct(), "node"), "involved")
+    sigs = stored(sketch.select("row", "n", "sig").join(involved.select("row", "node"), "row").drop("row"), "signatures")
+    sets = full_sets(docs, involved.select("node", "id", "cls"), shingle, id_col, text_col)
+    # more than five deviations below the threshold, so that hardly any link is given up
     floor = percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left, right = (sigs.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        sized = pairs.distinct().join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        left, right = (sigs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        sized = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         return confirmed(sized, sets, percent, floor)
 
-    links = stored(linked(placed.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))), "links")
+    def rooted(nodes: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+        return nodes.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+    links = stored(linked(placed.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "links")
     roots = stored(components(links), "roots")
-    pivots, rest, last = first_pivots, None, None
-    while True:
-        # members outside of their bucket's pivot's component, and of these, those that were no pivot yet
-        where = placed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        where = where.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-        outside = where.where("root <> main").select("bucket", "cls", "id", "n", "root")
-        if rest is not None:
-            outside = outside.join(rest, ["bucket", "cls"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "cls"))
-        turn = stored(outside.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("m")), "pivots")
-        if turn.isEmpty():
-            break
-        near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-        others = where.where("cls <> pivot").select("bucket", F.col("cls").alias("b"), "root", "n")
-        pairs = others.join(turn, "bucket").where(near & (F.col("root") != F.col("root_a"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = stored(linked(pairs), "links")
-        was = turn.select("bucket", F.col("a").alias("cls"))
-        rest = was if rest is None else stored(rest.unionByName(was), "pivots-done")
-        if not found.isEmpty():
-            links = stored(links.unionByName(found), "links")
-            old, roots = roots, stored(components(links), "roots")
-            drop_stored(old)
-        pivots *= 4
-
-    names = classes.select("cls", "id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = names.groupBy("root").agg(F.min("id").alias("component_id"))
-    verdict = names.join(least, "root").select("cls", "component_id")
+    where = rooted(rooted(placed, roots, "node", "root"), roots, "pivot", "main")
+    several = where.where("root <> main").select("bucket").distinct()
+    members = where.join(several, "bucket", "left_semi").select("node", "root").distinct()
+    tokens = stored(prefixes(stored(sets.join(members, "node"), "mixed-sets"), percent), "tokens")
+    more = stored(linked(across(tokens, percent)), "links")
+    if not more.isEmpty():
+        roots = stored(components(links.unionByName(more)), "roots")
+
+    names = rooted(heads.select("cls", "id", "node"), roots, "node", "root")
+    least_id = names.groupBy("root").agg(F.min("id").alias("component_id"))
+    verdict = names.join(least_id, "root").select("cls", "component_id")
     out = sketch.select("id", "n", "cls").join(verdict, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
