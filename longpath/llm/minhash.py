@@ -100,8 +100,11 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int, id
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """node and set (sorted hashes) of wanted (node, id, cls), from the whole texts of those ids."""
-    texts = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text")).join(wanted, F.col("t_id").eqNullSafe(F.col("id")))
+    """node and set (sorted hashes) of wanted (node, id, cls), from the whole texts of those ids.
+
+    The join is by exchange at every size, as wanted grows with the corpus.
+    """
+    texts = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), F.col("t_id").eqNullSafe(F.col("id")))
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
