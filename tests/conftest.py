@@ -1,9 +1,11 @@
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")
