@@ -266,7 +266,7 @@ class Vocabulary:
         self.size, self.at = np.insert(self.size, where, new_size[order]), np.insert(self.at, where, new_at[order])
         self.flat = np.concatenate((self.flat, *flats))
 
-    def encode(self, texts: list[str | None], remember: int = 1_500_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], remember: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has (0 for null), and the ids of all. At most remember units, and those of one call, are kept."""
         parts = [self.normal(t) if t else "" for t in texts]
         begin = np.concatenate(([0], np.cumsum([len(p) for p in parts])))

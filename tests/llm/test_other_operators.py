@@ -158,7 +158,8 @@ def test_site_tree_removes_what_a_host_repeats(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int").repartition(3)
     for settings in ({}, {"small": 0, "salts": 3}):
         got = {r.page_id: r for r in htmltext.extract(df, **settings).collect()}
-        assert all("Read more" not in got[i].text and got[i].text.startswith(TEXT + "\n") for i in range(60))
+        # title, list and last line are the same on all pages of the host; the two paragraphs are two contents of one node
+        assert all(got[i].text.split("\n")[:-1] == TEXT.split("\n")[1:3] and len(got[i].text.split("\n")[-1].split()) == 9 for i in range(60))
         assert got[100].text == TEXT + "\nRead more of our stories"  # too few pages to judge
         assert got[200].text == "the same page" and got[200].n_chars == 13  # never the whole page
         assert got[300].text == got[301].text == "" and got[302].text == "x" and got[None].text == "y"
@@ -227,7 +228,7 @@ def test_mixing(spark, share):
     want = brute_budgets(leaves, weights, sum(leaves.values()) * share[0] // share[1], 2)
     taken = {}
     for r in got:
-        assert 0 < r.taken <= 2 * r.n_tokens and r.copies == r.taken // r.n_tokens or r.taken < (r.copies + 1) * r.n_tokens
+        assert 0 < r.taken <= 2 * r.n_tokens and r.copies * r.n_tokens <= r.taken <= (r.copies + 1) * r.n_tokens
         taken[(r.domain, r.lang, r.source)] = taken.get((r.domain, r.lang, r.source), 0) + r.taken
     assert sum(taken.values()) == min(sum(leaves.values()) * share[0] // share[1], 2 * sum(leaves.values()))
     for k, v in want.items():
