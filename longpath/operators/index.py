@@ -38,7 +38,7 @@ def _running(sized: DataFrame, parts: int = 256) -> DataFrame:
 def occurrences(frames: DataFrame, blocks: DataFrame, config: PathConfig) -> DataFrame:
     """Distinct (seed_ix, code, block_id): a code counts once a block."""
     tile_block = frames.select("read_ix", "seed_ix", "code", (F.floor(F.col("tile_ix") / config.block) * config.block).cast("int").alias("first_tile"))
-    return tile_block.join(blocks.select("read_ix", "first_tile", "block_id"), ["read_ix", "first_tile"]).select("seed_ix", "code", "block_id").distinct()
+    return tile_block.join(blocks.select("read_ix", "first_tile", "block_id").hint("shuffle_hash"), ["read_ix", "first_tile"]).select("seed_ix", "code", "block_id").distinct()
 
 
 def first_writer_index(occurrences: DataFrame) -> DataFrame:
@@ -61,8 +61,8 @@ def reservoir_index(occurrences: DataFrame, config: PathConfig) -> DataFrame:
 
 
 def probe(frames: DataFrame, index: DataFrame) -> DataFrame:
-    """frames with the id their code has in the index, 0 for none."""
-    return frames.join(index.select("seed_ix", "code", "id"), ["seed_ix", "code"], "left").withColumn("id", F.coalesce("id", F.lit(0)).cast("long"))
+    """frames with the id their code has in the index, 0 for none. Both grow with the reads, so neither is ever broadcast."""
+    return frames.join(index.select("seed_ix", "code", "id").hint("merge"), ["seed_ix", "code"], "left").withColumn("id", F.coalesce("id", F.lit(0)).cast("long"))
 
 
 def frame_membership(probed: DataFrame, config: PathConfig) -> DataFrame:

@@ -11,7 +11,8 @@ from longpath.plans.config import SMALL, PathConfig
 
 def scores(spark, quals):
     df = spark.createDataFrame([(q,) for q in quals], "qual string")
-    return [(r.m, r.d) for r in df.select(quality.mean_phred(F.col("qual")).alias("m"), quality.half_delta(F.col("qual")).alias("d")).collect()]
+    df = df.withColumn("s", quality.error_sums(F.col("qual")))
+    return [(r.m, r.d) for r in df.select(quality.mean_phred(F.col("s"), F.length("qual")).alias("m"), quality.half_delta(F.col("s"), F.length("qual")).alias("d")).collect()]
 
 
 def test_quality(spark):
