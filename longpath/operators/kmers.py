@@ -58,10 +58,10 @@ def tile_codes(seq: bytes, config: PathConfig, patterns: list[str]) -> list[np.n
 
 
 def tiles(reads: DataFrame, config: PathConfig) -> DataFrame:
-    """read_ix, tile_ix and window of every tile."""
+    """read_ix, tile_ix and window of every tile of reads of plain letters (cut as bytes, which needs no walk along the read)."""
     n = F.floor(F.length("seq") / config.tile).cast("int")
-    rows = reads.where(n > 0).select("read_ix", F.upper("seq").alias("seq"), F.explode(F.sequence(F.lit(0), n - 1)).alias("tile_ix"))
-    return rows.select("read_ix", "tile_ix", F.substr("seq", F.col("tile_ix") * config.tile + 1, F.lit(config.tile + config.span - 1)).alias("window"))
+    rows = reads.where(n > 0).select("read_ix", F.upper("seq").cast("binary").alias("seq"), F.explode(F.sequence(F.lit(0), n - 1)).alias("tile_ix"))
+    return rows.select("read_ix", "tile_ix", F.substr("seq", F.col("tile_ix") * config.tile + 1, F.lit(config.tile + config.span - 1)).cast("string").alias("window"))
 
 
 def frames(reads: DataFrame, config: PathConfig) -> DataFrame:

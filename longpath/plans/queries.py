@@ -179,8 +179,8 @@ def reservoir_upsert(spark, sf_dir):
 
 def _tile_flags(spark, sf_dir):
     """Flags along each read from base quality: a tile is assigned if its middle character scores over 20."""
-    reads = _clean(spark, sf_dir).select("read_ix", F.floor(F.length("seq") / SMALL.tile).cast("int").alias("n"), "qual").where("n > 0")
-    flag = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.ascii(F.substr("qual", i * SMALL.tile + SMALL.tile // 2, F.lit(1))) - 33 > 20)
+    reads = _clean(spark, sf_dir).select("read_ix", F.floor(F.length("seq") / SMALL.tile).cast("int").alias("n"), F.col("qual").cast("binary").alias("qual")).where("n > 0")
+    flag = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.ascii(F.substr("qual", i * SMALL.tile + SMALL.tile // 2, F.lit(1)).cast("string")) - 33 > 20)
     return reads.select("read_ix", flag.alias("assigned"))
 
 

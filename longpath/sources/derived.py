@@ -12,7 +12,11 @@ TO_QUAL = "".join(chr(43 + 5 * i % 21) for i in range(len(FROM)))
 
 def derived_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_ix, id, seq and qual of every document; a few have low quality throughout or in their second half."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("low"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a small file of one row group would keep all work in one task
+        docs = docs.repartition(cores)
+    docs = docs.select("doc_id", F.lower("text").alias("low"))
     qual, half = F.translate("low", FROM, TO_QUAL), F.floor(F.length("low") / 2).cast("int")
     poor_end = F.concat(F.substr(qual, F.lit(1), half), F.repeat(F.lit("$"), F.length("low") - half))
     return docs.select(
