@@ -21,9 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/longpath/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that stored() wrote in this application; results that read it have to be written before."""
+    _delete(spark, _own_dir(spark))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/longpath/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     df.sparkSession._jvm.System.gc()  # the cleaner then removes shuffle files that no plan refers to any more
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -31,11 +45,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Deletes what stored() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    marker = f"{shared_dir(spark)}/longpath/".split("://", 1)[-1]
+    marker = f"{_own_dir(df.sparkSession)}/".split("://", 1)[-1]
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles() if marker in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, top)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -279,3 +279,14 @@ def test_stages_on_odd_rows(spark, documents, no_documents):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_stored_tables_can_be_released(spark):
+    from longpath.llm import common
+
+    one, two = (common.stored(spark.range(n), "test") for n in (5, 6))
+    common.drop_stored(one)
+    assert two.count() == 6
+    common.release(spark)
+    with pytest.raises(Exception, match="(?i)not exist|no such file|FILE_NOT_EXIST"):
+        spark.read.parquet(*two.inputFiles()).count()
