@@ -132,7 +132,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model.fit([], [])
     bound = F.create_map(*[F.lit(x) for pair in sorted(bounds) for x in pair])
     chosen = rows.where((F.col("key") <= bound[F.col("lang")]) & F.col("text").isNotNull())
-    found = sorted((r.lang, r.key, r.text) for r in chosen.select("lang", "key", "text").toLocalIterator())
+    # rows of one id share a key, so the bound is applied again; a few rows a language leave each task
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("key", F.md5(F.col("text").cast("binary"))))
+    chosen = chosen.select("lang", "key", "text").withColumn("rank", at).where(F.col("rank") <= sample)
+    found = sorted((r.lang, r.key, r.text) for r in chosen.collect())
     found = [r for r in found if has_letter(r[2])]
     return Model.fit([r[2] for r in found], [r[0] for r in found])
 
