@@ -38,6 +38,7 @@ SENSITIVE = (
 CONTEXT = re.compile("(?ai:" + "|".join(SENSITIVE) + ")")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 # Fixed identifier and code dictionary.
 DICTIONARY = """
 password passwd secret token api_key apikey access_key private_key client_secret authorization bearer credential
@@ -83,15 +84,20 @@ def novel_spans(text: str, low: str, novelty: Novelty, reach: int, around: int,
     if not any(x in low for x in SENSITIVE):
         return []
     out, done = [], -1
+    first = end = 0  # the run looked at last, and whether it has no digit
+    plain = False
     for m in CONTEXT.finditer(text):
         for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + reach)):
-            a, b = c.span()
-            b = RUN.match(text, a).end()  # the run goes on behind the reach
+            a = c.start()
             if a <= done:
                 continue
-            word = text[a:b]
-            if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
+            if not first <= a < end:
+                first, end, plain = a, RUN.match(text, a).end(), False  # the run goes on behind the reach
+            b = end
+            plain = plain or not DIGIT.search(text, a, b)
+            if plain or not LETTER.search(text, a, b):
                 continue
+            word = text[a:b]
             before, after = text[max(0, a - around) : a], text[b : b + around]
             cost = novelty.marginal(before.replace(word, ""), word, after.replace(word, ""))  # copies don't excuse it
             if cost >= least * len(word):
