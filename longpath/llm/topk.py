@@ -10,7 +10,7 @@ lower bounds. When few pairs survive they are compacted into a list, and only th
 Whole-number scores are summed in doubles while they stay below 2^53, else in 64-bit integers (the caller keeps scores within
 them). Bounds carry a margin for rounding, so no result is lost. Ties go to the smaller id.
 
-Queries go to the tasks in super-blocks of at most ``super_rows`` rows, each a broadcast of bounded size, one after the other;
+Queries go to the tasks in super-blocks of about ``super_rows`` rows at most, and of ``super_bytes`` bytes, each a broadcast of bounded size, one after the other;
 candidates are never shuffled. Each task gives k rows a query, of which Spark keeps the k best. Only vectors of equal
 dimension are compared. Null ids, null vectors, and vectors that hold null or a non-finite component take no part. Rows
 with the query's own id are not its candidates. Repeated ids are candidates each. Empty table: empty result.
@@ -119,12 +119,14 @@ def search(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, b
     best.add(row, c_ids[col], score[row, col].astype(np.float64) if kind is np.float64 else score[row, col])
 
 
-def top_k(rows: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 512, block_rows: int = 2048, super_rows: int = 1 << 17) -> DataFrame:
+def top_k(rows: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 512, block_rows: int = 2048, super_rows: int = 1 << 17, super_bytes: int = 1 << 28) -> DataFrame:
     """query_id, rank (from 1), the candidate's id and score, for each row for which queries holds."""
     base = rows.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("asked"))
     candidates = _pack(base.select("id", "v"), scale, block_rows)
     asked = base.where("asked").select("id", "v").distinct()
-    n = asked.count()
+    n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    super_rows = max(1, min(super_rows, super_bytes // (8 * dim)))
+    query_block = min(query_block, super_rows)
     blocks, supers = max(1, -(-n // query_block)), max(1, -(-n // super_rows))
 
     def find(batches):
