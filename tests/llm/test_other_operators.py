@@ -74,7 +74,7 @@ def test_top_k(spark, embeddings, vector_rows):
         if q % 50 == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q and len(w) == len(v))
             want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:5], 1)}
-    for settings in ({}, {"query_block": 2, "block_rows": 7, "super_rows": 3}):
+    for settings in ({}, {"query_block": 2, "block_rows": 7, "super_rows": 3}, {"super_bytes": 400}):
         assert set(by_row(topk.top_k(embeddings, queries.F.col("vec_id") % 50 == 0, **settings))) == want
     assert topk.top_k(embeddings.limit(0), queries.F.col("vec_id") % 50 == 0).count() == 0
 

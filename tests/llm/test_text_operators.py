@@ -195,6 +195,14 @@ def test_novel_spans(spark):
     assert spans[8] == spans[5] == spans[6] == ""
 
 
+def test_novel_spans_of_long_runs():
+    novelty = secrets.Novelty()
+    plain = "token" * 100_000
+    assert secrets.novel_spans(plain, plain, novelty, 48, 256, 0.55) == []
+    mixed = "token" * 3 + "/q8Zr1LkP0vXy7TnB3wHs5" + " secret: Jd4mW9cQe2RuG6fAz1KiY8"
+    assert {b for _, _, b in secrets.novel_spans(mixed, mixed.lower(), novelty, 48, 256, 0.55)} == {37, len(mixed)}
+
+
 def test_redaction(spark, no_documents):
     df = spark.createDataFrame([(1, "x password=abcdef y", "en", "s", 19), (2, None, "en", "s", None), (3, "plain", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(df).collect()}
@@ -224,6 +232,13 @@ def test_language_odd_rows(spark, documents, no_documents):
     assert {r.lang_pred for r in langid.identify(documents, nothing).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, f"text {i % 9}", "en") for i in range(60)] + [(i, "wort", "de") for i in range(2, 20)] + [(0, "no language", None), (None, None, "en")]
+    monkeypatch.setattr(langid.Model, "fit", lambda texts, languages: (texts, languages))
+    texts, languages = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), sample=5)
+    assert len(texts) == len(languages) <= 10 and languages.count("de") == 5
+
+
 def test_codewords():
     for n in (1, 2, 4, 12, 40):
         book = langid.codebook(n)
