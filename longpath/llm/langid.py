@@ -120,13 +120,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, groups: int = 256) -> Model:
     """A model of at most sample labelled texts a language, held-out documents left aside."""
     key = F.md5(F.concat_ws(":", F.lit("langid"), F.col("id").cast("string")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out("id")).withColumn("key", key)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    last = rows.select("lang", "key").withColumn("rank", rank).where(F.col("rank") <= sample).groupBy("lang").agg(F.max("key").alias("last"))
+
+    def least(keys: DataFrame, *group: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("key"))
+        return keys.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+
+    # in two levels, so that no task gets the rows of all scan tasks: first the least keys of each group of scan tasks
+    keys = least(rows.select("lang", "key", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")), "lang", "group")
+    last = least(keys.drop("group"), "lang").groupBy("lang").agg(F.max("key").alias("last"))
     bounds = [(r.lang, r.last) for r in last.collect()]  # a row a language
     if not bounds:
         return Model.fit([], [])
