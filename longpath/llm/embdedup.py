@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by a forest of random-projection trees.
+"""Near-duplicate vectors: balls of near copies, then every pair of balls of a label.
 
 Vectors link when their labels are equal and not null and their cosine (double precision) is at least ``least``.
 
@@ -6,19 +6,16 @@ Vectors link when their labels are equal and not null and their cosine (double p
 2. Balls. Classes are dealt to the leaves of one tree, and within a leaf to parts of at most ``part`` rows. In a part,
    classes within half of the linking angle of a centre join its ball. Any two vectors of a ball are linked, by the triangle
    inequality of angles, so a crowd of near copies becomes a few balls and its pairs are never listed.
-3. Forest. Ball centres go down ``trees`` trees of recursive random splits. Near a split, the ``spill`` quantiles on
-   either side of the median, a centre goes both ways. The trees are fitted on a bounded sample (``sample`` rows of
-   smallest id hash); every centre is indexed.
-4. Centres that share a leaf (and label) are compared in blocks; pairs of balls near enough for some of their
-   members to link are kept, each once.
-5. Verification. If even the farthest members of two balls are within the linking angle, all pairs link and are counted by
-   the product of sizes; else the members of both balls are compared, block against block, and only counts per vector and one edge
-   between the balls come out.
-6. Union: components of balls by alternating large-star and small-star.
-
-Which pairs are compared depends on the trees (recall); what is reported linked is verified. Vectors that are null, zero, empty,
-hold null or non-finite components, or have a null label link with nothing and are their own components. Null ids: counted as
-vectors, component_id is the least id there is. Repeated rows are vectors of their own, linked to each other.
+   A ball of fewer than ``heavy`` members is dissolved into single vectors.
+3. Comparison. The balls of a label and dimension are dealt to blocks of about ``block`` vectors, and every pair of blocks meets
+   in one task, so every pair of vectors is compared once (as vectors, or by their balls). If even the farthest members of two balls are
+   within the linking angle, all pairs link and are counted by the product of sizes; if some may be, their members are compared.
+   Only counts and, for each pair of blocks, a spanning forest of its links come out; linked pairs are never listed.
+4. Union: components of balls by alternating large-star and small-star.
+
+No link is missed. The price is a number of comparisons that grows with the square of a label's balls.
+Vectors that are null, zero, empty, hold null or non-finite components, or have a null label link with nothing and are their own
+components. Null ids: counted as vectors, component_id is the least id there is. Repeated rows are vectors of their own, linked to each other.
 """
 
 from __future__ import annotations
@@ -130,8 +127,8 @@ def _parted(placed: DataFrame, part: int) -> DataFrame:
     return out.withColumn("part", F.pmod(F.xxhash64("node", "cell"), F.col("parts").cast("long")).cast("int"))
 
 
-def _balls(placed: DataFrame, part: int, angle: float) -> DataFrame:
-    """node, ball (its centre's node) and angle to the centre."""
+def _balls(placed: DataFrame, part: int, angle: float, heavy: int) -> DataFrame:
+    """node, ball (its centre's node) and angle to the centre; a vector without heavy - 1 others in reach is a ball of its own."""
     reach = np.cos(angle / 2 - 1e-6)
 
     def run(table: pa.Table) -> pa.Table:
@@ -144,6 +141,9 @@ def _balls(placed: DataFrame, part: int, angle: float) -> DataFrame:
                 mine = np.flatnonzero(free & (s >= reach))
                 mine = mine if i in mine else np.append(mine, i)
                 free[mine] = False
+                if len(mine) < heavy:
+                    ball[mine] = node[mine]
+                    continue
                 ball[mine], off[mine] = node[i], np.arccos(np.clip(s[mine], -1, 1))
                 off[i] = 0
         return pa.table({"node": node, "ball": ball, "off": off})
@@ -151,35 +151,90 @@ def _balls(placed: DataFrame, part: int, angle: float) -> DataFrame:
     return _parted(placed, part).groupBy("label", "cell", "part").applyInArrow(run, "node bigint, ball bigint, off double")
 
 
-def _near(placed: DataFrame, part: int, angle: float) -> DataFrame:
-    """Distinct pairs a < b of balls of one label and leaf, with the angle between their centres, that may hold links."""
-    dealt = _parted(placed, part)
-    # every pair of parts of a cell meets once: part i goes to (i, j) for all j
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("label", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "v", "radius")
+class Block:
+    """Vectors ball by ball, the centre first, with each ball's radius and summed size."""
+
+    def __init__(self, rows: pa.Table):
+        ball, node = np.asarray(rows.column("ball")), np.asarray(rows.column("node"))
+        order = np.lexsort((node != ball, ball))
+        self.node, self.size, self.x = node[order], np.asarray(rows.column("size"))[order], unit(matrix(rows.column("v").combine_chunks()))[order]
+        self.ball, self.start = np.unique(ball[order], return_index=True)
+        self.end = np.append(self.start[1:], len(order))
+        self.radius, self.weight = np.maximum.reduceat(np.asarray(rows.column("off"))[order], self.start), np.add.reduceat(self.size, self.start)
+        self.centre, self.several = self.x[self.start], self.end - self.start > 1
+        self.by_ball, self.by_node = np.zeros(len(self.ball), np.int64), np.zeros(len(order), np.int64)
+
+
+def compare(left: Block, right: Block, least: float, strip: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Adds the links between two blocks (or within one) to their counts; returns edges that span the linked balls."""
+    angle, own = float(np.arccos(least)), left is right
+    group = np.arange(len(right.ball))  # balls of the right side that are connected so far
+    lefts, rights = [], []
+    for a in range(0, len(left.ball), strip):
+        rows = slice(a, min(a + strip, len(left.ball)))
+        s = left.centre[rows] @ right.centre.T
+        linked = s >= least
+        some = None
+        if left.several[rows].any() or right.several.any():
+            wide = left.several[rows][:, None] | right.several
+            between, reach = np.arccos(np.clip(s, -1, 1)), left.radius[rows][:, None] + right.radius
+            linked = np.where(wide, between + reach <= angle - 1e-6, linked)
+            some = wide & ~linked & (between <= angle + reach + 1e-6)
+        if own:
+            at = np.arange(rows.stop - a)
+            linked[at, a + at] = False
+            if some is not None:
+                some[at, a + at] = False
+        if linked.any():
+            left.by_ball[rows] += linked @ right.weight
+            if not own:
+                right.by_ball += left.weight[rows] @ linked
+        for i, j in zip(*np.nonzero(some), strict=True) if some is not None else ():
+            p, q = slice(left.start[a + i], left.end[a + i]), slice(right.start[j], right.end[j])
+            pairs = left.x[p] @ right.x[q].T >= least
+            if pairs.any():
+                linked[i, j] = True
+                left.by_node[p] += pairs @ right.size[q]
+                if not own:
+                    right.by_node[q] += left.size[p] @ pairs
+        for i in np.flatnonzero(linked.any(1)):
+            to = np.flatnonzero(linked[i])
+            names, first = np.unique(group[to], return_index=True)
+            lefts.append(np.full(len(names), left.ball[a + i]))
+            rights.append(right.ball[to[first]])
+            if len(names) > 1:
+                group[np.isin(group, names)] = names[0]
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (lefts, rights))
+
+
+def _compared(members: DataFrame, block: int, least: float) -> DataFrame:
+    """Rows of three kinds: more links of a ball's every member, more links of a node, an edge from ball to other."""
+    key = ["label", "dim"]
+    rows = members.withColumn("dim", F.size("v"))
+    parts = rows.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rows = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("ball"), F.col("parts").cast("long")).cast("int"))
+    # every pair of parts meets once: part i goes to (i, j) for all j
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select(*key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "ball", "node", "off", "size", "v")
 
     def run(table: pa.Table) -> pa.Table:
-        node, x, r = np.asarray(table.column("node")), unit(matrix(table.column("v").combine_chunks())), np.asarray(table.column("radius"))
-        part_of, i, j = np.asarray(table.column("part")), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(part_of == i), np.flatnonzero(part_of == j)
-        out: tuple[list, list, list] = ([], [], [])
-        for a in range(0, len(left), 512):
-            at = left[a : a + 512]
-            between = np.arccos(np.clip(x[at] @ x[right].T, -1, 1))
-            row, col = np.nonzero((between <= angle + 1e-6 + r[at][:, None] + r[right][None, :]) & (node[at][:, None] < node[right][None, :] if i == j else node[at][:, None] != node[right][None, :]))
-            p, q = node[at[row]], node[right[col]]
-            out[0].append(np.minimum(p, q))
-            out[1].append(np.maximum(p, q))
-            out[2].append(between[row, col])
-        flat = [np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"a": flat[0], "b": flat[1], "angle": flat[2]})
-
-    found = spread.groupBy("label", "cell", "i", "j").applyInArrow(run, "a bigint, b bigint, angle double")
-    return found.groupBy("a", "b").agg(F.min("angle").alias("angle"))
-
-
-def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = 5, spill: float = 0.1, leaf_rows: int = 256, part: int = 1024, sample: int = 20_000, seed: int = 11) -> DataFrame:
-    """id, n_links, component_id and kept of every row."""
+        part, i, j = np.asarray(table.column("part")), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sides = [Block(table.take(pa.array(at))) for n in sorted({i, j}) if len(at := np.flatnonzero(part == n))]
+        blocks = [] if i != j and len(sides) < 2 else sides
+        a, b = compare(blocks[0], blocks[-1], least) if blocks else (np.empty(0, np.int64),) * 2
+        out = [pa.table({"ball": a, "node": pa.nulls(len(a), pa.int64()), "more": np.zeros(len(a), np.int64), "other": b})]
+        for x in blocks:
+            for name, ids, more in (("ball", x.ball, x.by_ball), ("node", x.node, x.by_node)):
+                at = np.flatnonzero(more)
+                null = pa.nulls(len(at), pa.int64())
+                out.append(pa.table({"ball": null, "node": null, "more": more[at], "other": null} | {name: ids[at]}))
+        return pa.concat_tables(out)
+
+    return spread.groupBy(*key, "i", "j").applyInArrow(run, "ball bigint, node bigint, more bigint, other bigint")
+
+
+def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = 5, spill: float = 0.1, leaf_rows: int = 256, part: int = 1024, sample: int = 20_000, seed: int = 11, block: int = 8192, heavy: int = 16) -> DataFrame:
+    """id, n_links, component_id and kept of every row (trees and spill are of the former forest; all pairs are compared now)."""
     angle = float(np.arccos(least))
     fit = usable(vector_col) & F.exists(vector_col, lambda x: x != 0) & F.col(label_col).isNotNull()
     base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"), F.coalesce(fit, F.lit(False)).alias("fit"))
@@ -192,48 +247,16 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     thin = classes.select("node", "label", "v")
 
     forest = _forest(thin, sample, leaf_rows, total, 1, 0.0, seed)
-    balls = stored(_balls(_placed(thin, forest, False, 1), part, angle), "balls")
+    balls = stored(_balls(_placed(thin, forest, False, 1), part, angle, heavy), "balls")
     members = balls.join(classes, "node").select("node", "ball", "off", "label", "v", "size", "least_id")
     members = stored(members, "ball-members")
-    heads = members.groupBy("ball").agg(F.max("off").alias("radius"), F.sum("size").alias("weight"), F.min("least_id").alias("least_id"))
-    centres = stored(heads.join(thin, heads["ball"] == thin["node"]).select("node", "label", "v", "radius", "weight", "least_id"), "ball-centres")
+    centres = members.groupBy("ball").agg(F.sum("size").alias("weight"), F.min("least_id").alias("least_id"))
 
-    forest = _forest(centres, sample, leaf_rows, centres.count(), trees, spill, seed + 100)
-    pairs = stored(_near(_placed(centres.select("node", "label", "v", "radius"), forest, True, trees), part, angle), "ball-pairs")
-    info = centres.select("node", "radius", "weight")
-    pairs = pairs.join(info.select(F.col("node").alias("a"), F.col("radius").alias("ra"), F.col("weight").alias("wa")), "a")
-    pairs = pairs.join(info.select(F.col("node").alias("b"), F.col("radius").alias("rb"), F.col("weight").alias("wb")), "b")
-    pairs = stored(pairs.withColumn("whole", F.col("angle") + F.col("ra") + F.col("rb") <= F.lit(angle - 1e-6)), "ball-verdicts")
-
-    packed = members.groupBy("ball").agg(F.collect_list(F.struct("node", "size", "v")).alias("m"))  # at most about part rows, by construction
-    partial = pairs.where("not whole").select("a", "b").join(packed.select(F.col("ball").alias("a"), F.col("m").alias("ma")), "a").join(packed.select(F.col("ball").alias("b"), F.col("m").alias("mb")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            nodes, adds, lefts, rights = [], [], [], []
-            for a, b, ma, mb in zip(*(batch.column(c) for c in ("a", "b", "ma", "mb")), strict=True):
-                ma, mb = ma.values, mb.values
-                x, y = unit(matrix(ma.field("v"))), unit(matrix(mb.field("v")))
-                linked = x @ y.T >= least
-                if linked.any():
-                    nodes += [np.asarray(ma.field("node")), np.asarray(mb.field("node"))]
-                    adds += [linked @ np.asarray(mb.field("size")), np.asarray(ma.field("size")) @ linked]
-                    lefts.append(a.as_py())
-                    rights.append(b.as_py())
-            node, add = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (nodes, adds))
-            n = len(node)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((node, np.zeros(len(lefts), np.int64)))), pa.array(np.concatenate((add, np.zeros(len(lefts), np.int64)))),
-                 pa.array([None] * n + lefts, pa.int64()), pa.array([None] * n + rights, pa.int64())], names=["node", "more", "a", "b"],
-            )
-
-    checked = stored(partial.mapInArrow(verify, "node bigint, more bigint, a bigint, b bigint"), "ball-checks")
-    edges = pairs.where("whole").select("a", "b").unionByName(checked.where("a is not null").select("a", "b"))
-    roots = components(edges)
-    whole = pairs.where("whole").select(F.col("a").alias("ball"), F.col("wb").alias("more")).unionByName(pairs.where("whole").select(F.col("b").alias("ball"), F.col("wa").alias("more")))
-    whole = whole.groupBy("ball").agg(F.sum("more").alias("by_ball"))
-    single = checked.where("a is null").groupBy("node").agg(F.sum("more").alias("by_node"))
-    comp = centres.select(F.col("node").alias("ball"), "weight", "least_id").join(roots.withColumnRenamed("node", "ball"), "ball", "left").withColumn("root", F.coalesce("root", "ball"))
+    checked = stored(_compared(members, block, least), "ball-checks")
+    roots = components(checked.where("other is not null").select(F.col("ball").alias("a"), F.col("other").alias("b")))
+    whole = checked.where("ball is not null and other is null").groupBy("ball").agg(F.sum("more").alias("by_ball"))
+    single = checked.where("node is not null").groupBy("node").agg(F.sum("more").alias("by_node"))
+    comp = centres.join(roots.withColumnRenamed("node", "ball"), "ball", "left").withColumn("root", F.coalesce("root", "ball"))
     least_of = comp.groupBy("root").agg(F.min("least_id").alias("component_id"))
     comp = comp.join(least_of, "root").join(whole, "ball", "left").select("ball", "component_id", (F.col("weight") - 1 + F.coalesce("by_ball", F.lit(0))).alias("links"))
     verdict = members.select("node", "ball").join(comp, "ball").join(single, "node", "left").select("node", "component_id", (F.col("links") + F.coalesce("by_node", F.lit(0))).alias("n_links"))

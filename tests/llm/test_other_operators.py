@@ -133,6 +133,21 @@ def test_near_vectors(embeddings, vector_rows):
 
 # ---- pages
 
+def test_near_vectors_of_a_loose_crowd(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    crowd = centre / np.sqrt(centre @ centre) + rng.normal(size=(10_000, 64)) * np.sqrt((1 / 0.95 - 1) / 64)  # cosine of members about 0.95
+    near = crowd[:1] + rng.normal(size=(300, 64)) * 0.003  # near copies: a heavy ball
+    x = np.concatenate([crowd, near, rng.normal(size=(2_000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(1, keepdims=True))
+    want = np.concatenate([(y[a : a + 1000] @ y.T >= 0.93).sum(1) for a in range(0, len(y), 1000)]) - 1
+    got = {r.vec_id: r for r in embdedup.near_duplicates(df.repartition(4), block=3000).collect()}
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    assert {got[i].component_id for i in np.flatnonzero(want[:10_300]).tolist()} == {0}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><ul><li><a href="/a>b">Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- <p>no</p> --><article><h1>Title &amp; more</h1><p>One   two<br>three <b>bold</b> &eacute;&#233;&#x1F600;<p>Next <i>para
 </i></p><aside>Side</aside><div class="ad">Buy</div><ul><li>first<li>second</ul><form><p>Sign up</p></form><p>&nbsp; </p><section class="comments"><p>Nice!</p></section>{}</article><footer>&copy; x</footer></body></html>"""
