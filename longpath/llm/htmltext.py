@@ -8,8 +8,9 @@
 * importance: the entropy of contents and that of presentations, each divided by the logarithm of the number of
   occurrences, are both low where the host repeats itself. A node's importance is the larger of the two, and 1 if it occurs fewer than ``least_pages`` times
   (too few to judge).
-  Elements whose tag or class names say that they are menus, headers, footers, sidebars, notices, adverts, forms or
-  comments have importance 0 by name.
+  Elements whose tag, role or whole class names say that they are menus, headers, footers, sidebars, notices, adverts, forms or
+  comments have importance 0 by name; names that articles use too (``WEAK_NAMES``) and ids act outside of articles only, no
+  class or id name drops an element around an article or main element, and a name of which only a part says so drops nothing.
 * removal: branches of importance at most ``threshold`` are removed (unless that would leave nothing of the page). If the page has an article (or a main element),
   only that part is read; else the whole body.
 * text: character references are decoded; each block's white space becomes single spaces; blocks are trimmed, empty ones left out, and
@@ -53,7 +54,10 @@ NOISE_NAMES = frozenset(
     "sidebar side aside widget widgets comment comments respond reply replies discussion disqus menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
     "header masthead topbar footer foot bottom share sharing social related recommended newsletter subscribe subscription signup login search toolbar tags copyright legal hidden".split()
 )
+# Names that headings, sections and titles of an article also have: inside of one they need the style tree's word.
+WEAK_NAMES = frozenset("side aside notice notices alert respond reply replies discussion header masthead foot footer bottom related recommended search tags legal login signup promotion".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEEP_TAGS = frozenset(("html", "body", "article", "main"))
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
@@ -63,29 +67,38 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+
 class Node:
     tag: str
     names: str = ""
-    noise: bool = False
+    noise: bool = False  # by role or as hidden
+    named: int = 0  # noise by class or id: 1 a part of a name, 2 a whole name outside of articles, 3 a whole name anywhere
+    holds: bool = False  # an article or main element
     parts: list = field(default_factory=list)  # strings and nodes
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """Class names, sorted, and whether names or role mark noise."""
+def _attributes(tag: str, raw: str) -> tuple[str, bool, int]:
+    """Class names, sorted, whether role or style mark noise, and how far names do (see Node.named)."""
     if not raw or "=" not in raw and "hidden" not in raw:
-        return "", False
-    names, noise = [], False
+        return "", False, 0
+    names, noise, named = [], False, 0
     for m in ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
             words = value.lower().split()
             if key == "class":
                 names += words
-            noise = noise or any(part in NOISE_NAMES for w in words for part in re.split(r"[-_\d]+", w))
+            elif tag in HEADINGS:
+                continue  # the target of a link
+            for w in words:
+                parts = [x for x in re.split(r"[-_\d]+", w) if x]
+                if parts and all(x in NOISE_NAMES for x in parts):
+                    named = max(named, 2 if key == "id" or all(x in WEAK_NAMES for x in parts) else 3)
+                elif any(x in NOISE_NAMES for x in parts):
+                    named = max(named, 1)
         elif key == "role":
             noise = noise or value.lower() in NOISE_ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             noise = True
         elif key == "style" and re.search(r"display\s*:\s*none", value):
             noise = True
-    return ".".join(sorted(set(names))), noise
+    return ".".join(sorted(set(names))), noise, named
 
 
 def parse(text: str) -> Node:
@@ -137,8 +150,12 @@ def parse(text: str) -> Node:
                         break
                 elif stack[i].tag in wall:
                     break
-        names, noise = _attributes(m[3])
-        node = Node(tag, names, noise)
+        node = Node(tag, *_attributes(tag, m[3]))
+        if tag in ("article", "main"):
+            for x in reversed(stack):
+                if x.holds:
+                    break
+                x.holds = True
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.IGNORECASE).search(text, at)
@@ -148,11 +165,13 @@ def parse(text: str) -> Node:
     return root
 
 
-def by_name(node: Node, within: bool) -> bool:
-    """Whether tag or names make the node noise. A header inside of an article holds its title and stays."""
+def by_name(node: Node, within: bool, names: bool = True) -> bool:
+    """Whether tag, role or (if names) class and id make the node noise. A header inside of an article holds its title and stays."""
     if node.tag in KEEP_TAGS:
         return False
-    return node.tag in NOISE_TAGS or node.noise or node.tag == "header" and not within
+    if node.tag in NOISE_TAGS or node.noise or node.tag == "header" and not within:
+        return True
+    return names and (node.named == 3 if within else node.named >= 2 and not node.holds)
 
 
 def contents(node: Node) -> str:
@@ -206,7 +225,12 @@ def main_part(root: Node) -> list[tuple[Node, str, bool]]:
 
 
 def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
-    """The text blocks of a page's main part without branches that are noise by name or whose path is in low."""
+    """The text blocks of a page's main part without branches that are noise by name or whose path is in low. Class and id names never empty a page."""
+    tops = main_part(parse(page))
+    return _text(tops, low, True) or _text(tops, low, False)
+
+
+def _text(tops: list[tuple[Node, str, bool]], low: frozenset[str], names: bool) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -217,7 +241,7 @@ def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
                 blocks.append(block)
             run.clear()
 
-    for top, path, within in main_part(parse(page)):
+    for top, path, within in tops:
         todo: list = [(top, path)]
         while todo:
             item = todo.pop()
@@ -228,7 +252,7 @@ def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
             if isinstance(x, str):
                 run.append(x)
                 continue
-            if x is not top and (by_name(x, within) or where in low):
+            if x is not top and (by_name(x, within, names) or where in low):
                 if x.tag in BLOCK:
                     flush()
                 continue

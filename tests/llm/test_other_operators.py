@@ -164,6 +164,16 @@ def test_main_text():
     assert htmltext.main_text("<!-- open <p>x") == "" and htmltext.main_text("<p title='a>b'>x<br/>y") == "x y"
 
 
+def test_names_of_layouts_and_headings_drop_no_article():
+    for name in ("right-sidebar", "no-sidebar", "header-fixed", "has-banner", "sidebar"):
+        assert htmltext.main_text(f"<div class='{name}'><article><p>x</p></article></div><p>y</p>") == "x"
+        assert htmltext.main_text(f"<div id='{name}'><p>x</p></div>") == "x"
+    inner = "<section id='discussion'><h2 id='related-work'>a</h2><h2 id='search-results'>b</h2></section><div class='entry-header'>c</div>"
+    assert htmltext.main_text(f"<article>{inner}<div class='cookie-banner'>d</div><div class='ad-1'>e</div></article>") == "a\nb\nc"
+    assert htmltext.main_text("<div class=ad>a</div><div id=sidebar>b</div><p>c</p>") == "c"
+    assert htmltext.main_text("<article>a<div class=comments><article>b</article></div></article>") == "a"
+
+
 def test_site_tree_removes_what_a_host_repeats(spark):
     rng = random.Random(1)
     rows = [(i, f"http://a.example/{i}", PAGE.format(f"<p class=x>{prose(rng, 9)}</p><p class=more>Read more of our stories</p>"), 1) for i in range(60)]
