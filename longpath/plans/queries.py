@@ -15,7 +15,7 @@ from longpath.plans.config import SMALL
 from longpath.sources import fastq
 from longpath.sources.derived import derived_reads, reads_sql
 
-TARGET = 100_000  # genome size for paths that roll over
+TARGET = 100_000  # genome size for paths that roll over, in tests of sf0.001
 
 
 def _reads(spark, sf_dir) -> DataFrame:
@@ -196,13 +196,19 @@ def longest_gap(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir, rollover=False):
-    return select.greedy_select(_clean(spark, sf_dir), _rolling() if rollover else SMALL, rollover)
+    reads = _clean(spark, sf_dir)
+    return select.greedy_select(reads, _rolling(reads) if rollover else SMALL, rollover)
 
 
-def _rolling():
+def _rolling(reads: DataFrame | None = None):
+    """Three paths: of TARGET bases, or such that they span all of reads (a path closes beyond its share, so the last never does)."""
     from dataclasses import replace
 
-    return replace(SMALL, genome_size=TARGET, ratio=1.0, max_paths=3)
+    size = TARGET
+    if reads is not None:
+        total = reads.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
+        size = -(-total // 3)
+    return replace(SMALL, genome_size=size, ratio=1.0, max_paths=3)
 
 
 def tile_smooth(spark, sf_dir):
@@ -263,8 +269,10 @@ def path_stats(spark, sf_dir):
 
 def silver_then_golden(spark, sf_dir):
     """Pieces of the golden path over three silver paths."""
-    _, silver = pipeline.silver_paths(_reads(spark, sf_dir), _rolling())
-    return pipeline.golden_path(silver, _rolling())[1].select("read_ix", "header", F.length("seq").alias("bases"))
+    reads = _reads(spark, sf_dir)
+    config = _rolling(qc.passing(reads, SMALL))
+    _, silver = pipeline.silver_paths(reads, config)
+    return pipeline.golden_path(silver, config)[1].select("read_ix", "header", F.length("seq").alias("bases"))
 
 
 NAMES = (
