@@ -87,9 +87,9 @@ def novel_spans(text: str, low: str, novelty: Novelty, reach: int, around: int,
     first = end = 0  # the run looked at last, and whether it has no digit
     plain = False
     for m in CONTEXT.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + reach)):
+        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + reach + 16)):  # a run's first 16 characters
             a = c.start()
-            if a <= done:
+            if a <= done or a > m.end() + reach:
                 continue
             if not first <= a < end:
                 first, end, plain = a, RUN.match(text, a).end(), False  # the run goes on behind the reach

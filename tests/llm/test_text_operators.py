@@ -203,6 +203,13 @@ def test_novel_spans_of_long_runs():
     assert {b for _, _, b in secrets.novel_spans(mixed, mixed.lower(), novelty, 48, 256, 0.55)} == {37, len(mixed)}
 
 
+def test_novel_spans_start_anywhere_in_reach():
+    key, novelty = "q8Zr1LkP0vXy7TnB3wHs5Jd4mW9cQe2R", secrets.Novelty()
+    for gap in (1, 32, 33, 40, 47, 48, 49):
+        text = "secret" + " " * gap + key
+        assert secrets.novel_spans(text, text.lower(), novelty, 48, 256, 0.55) == ([(6 + gap, 3, len(text))] if gap <= 48 else [])
+
+
 def test_redaction(spark, no_documents):
     df = spark.createDataFrame([(1, "x password=abcdef y", "en", "s", 19), (2, None, "en", "s", None), (3, "plain", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(df).collect()}
