@@ -5,12 +5,16 @@
 * merge: the trees of one host are laid over each other: elements with the same path of tags and classes are one style
   node. For every style node Spark counts the distinct presentations (its children's tags) and the distinct
   contents (hash of its whole text) over all pages of the host.
-* importance: the entropy of contents and that of presentations, each divided by the logarithm of the number of
-  occurrences, are both low where the host repeats itself. A node's importance is the larger of the two, and 1 if it occurs fewer than ``least_pages`` times
-  (too few to judge).
+* importance: the entropies H of contents and of presentations are both low where the host repeats itself. A path that stands
+  once on a page (at most ``once`` times on average over the pages that have it) is judged by its effective number of
+  different values, (2^H - 1) / (n - 1) of n occurrences, so m texts that rotate there fail from about 10 m pages on, and a
+  text that never changes from ``few`` pages on. A path that stands several times on a page (paragraphs, items) holds different things by
+  nature: H / log n, and importance 1 below ``least_pages`` occurrences. Importance is the larger of the two kinds. On hosts of fewer than
+  ``few`` pages nothing is judged; of 5 to 10 pages only what never changes goes, of 11 to 20 also two rotating texts.
+  Where a name says noise but not for certain (see below), importance up to ``weak`` is enough.
   Elements whose tag, role or whole class names say that they are menus, headers, footers, sidebars, notices, adverts, forms or
   comments have importance 0 by name; names that articles use too (``WEAK_NAMES``) and ids act outside of articles only, no
-  class or id name drops an element around an article or main element, and a name of which only a part says so drops nothing.
+  class or id name drops an element around an article or main element, and a name of which only a part says so drops nothing by itself.
 * removal: branches of importance at most ``threshold`` are removed (unless that would leave nothing of the page). If the page has an article (or a main element),
   only that part is read; else the whole body.
 * text: character references are decoded; each block's white space becomes single spaces; blocks are trimmed, empty ones left out, and
@@ -190,9 +194,9 @@ def step_of(path: str, node: Node) -> str:
     return hashlib.blake2b(f"{path}/{node.tag}.{node.names}".encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def style_nodes(root: Node) -> list[tuple[str, str, str]]:
-    """(path, presentation, contents hash) of the elements below which text may be dropped."""
-    out, todo = [], [(root, "")]
+def style_nodes(root: Node) -> list[tuple[str, str, str, bool, bool]]:
+    """(path, presentation, contents hash, whether it is the path's first on the page, whether a name says noise) of the elements below which text may be dropped."""
+    out, todo, seen = [], [(root, "")], set()
     while todo:
         node, path = todo.pop()
         for child in node.parts:
@@ -201,7 +205,8 @@ def style_nodes(root: Node) -> list[tuple[str, str, str]]:
             key = step_of(path, child)
             if child.tag in BLOCK and child.tag not in KEEP_TAGS:
                 look = ",".join(x.tag for x in child.parts if not isinstance(x, str))
-                out.append((key, hashlib.blake2b(look.encode(), digest_size=8).hexdigest(), hashlib.blake2b(contents(child).encode("utf-8", "replace"), digest_size=8).hexdigest()))
+                out.append((key, hashlib.blake2b(look.encode(), digest_size=8).hexdigest(), hashlib.blake2b(contents(child).encode("utf-8", "replace"), digest_size=8).hexdigest(), key not in seen, child.named > 0 and not child.holds))
+                seen.add(key)
             todo.append((child, key))
     return out
 
@@ -271,33 +276,39 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 20) -> DataFrame:
-    """host, path, n, presentation and contents (entropies from 0 to 1) and importance of every style node."""
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 20, few: int = 5, once: float = 1.1) -> DataFrame:
+    """host, path, n, presentation and contents (variety from 0 to 1), importance and named (whether a name says noise) of every style node."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
             hosts, rows = batch.column("host").to_pylist(), [style_nodes(parse(x.as_py() or "")) for x in batch.column("html")]
             flat = [(h, *r) for h, part in zip(hosts, rows, strict=True) for r in part]
-            return {n: [r[i] for r in flat] for i, n in enumerate(("host", "path", "look", "body"))}
+            return {n: [r[i] for r in flat] for i, n in enumerate(("host", "path", "look", "body", "first", "named"))}
 
         return f
 
-    nodes = kernel(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), make, "host string, path string, look string, body string", text="html")
-    both = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit("look").alias("kind"), F.col("look").alias("value")), F.struct(F.lit("body").alias("kind"), F.col("body").alias("value")))).alias("x"))
-    counts = both.groupBy("host", "path", "x.kind", "x.value").agg(F.count("*").alias("c"))
+    nodes = kernel(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), make, "host string, path string, look string, body string, first boolean, named boolean", text="html")
+    both = nodes.select("host", "path", "first", "named", F.explode(F.array(F.struct(F.lit("look").alias("kind"), F.col("look").alias("value")), F.struct(F.lit("body").alias("kind"), F.col("body").alias("value")))).alias("x"))
+    counts = both.groupBy("host", "path", "x.kind", "x.value").agg(F.count("*").alias("c"), F.count_if("first").alias("pages"), F.max("named").alias("named"))
     per = counts.groupBy("host", "path").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("c"))).alias(f"n_{k}") for k in ("look", "body")],
         *[F.sum(F.when(F.col("kind") == k, F.col("c") * F.log2("c"))).alias(f"s_{k}") for k in ("look", "body")],
+        F.sum(F.when(F.col("kind") == "body", F.col("pages"))).alias("pages"), F.max("named").alias("named"),
     )  # sum p log p = log n - (sum c log c) / n
-    entropy = lambda k: F.when(F.col(f"n_{k}") > 1, (F.log2(f"n_{k}") - F.col(f"s_{k}") / F.col(f"n_{k}")) / F.log2(f"n_{k}")).otherwise(1.0)
-    out = per.select("host", "path", F.col("n_body").alias("n"), entropy("look").alias("presentation"), entropy("body").alias("contents"))
-    return out.withColumn("importance", F.when(F.col("n") < least_pages, 1.0).otherwise(F.greatest("presentation", "contents")))
+    single, n = F.col("n_body") <= once * F.col("pages"), F.col("n_body")
 
+    def variety(k: str) -> Column:
+        h = F.log2(n) - F.col(f"s_{k}") / n
+        return F.when(n > 1, F.when(single, (F.pow(F.lit(2.0), h) - 1) / (n - 1)).otherwise(h / F.log2(n))).otherwise(1.0)
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.1, least_pages: int = 20, small: int = 20_000, salts: int = 64) -> DataFrame:
+    out = per.select("host", "path", n.alias("n"), variety("look").alias("presentation"), variety("body").alias("contents"), "named", F.when(single, few).otherwise(least_pages).alias("judged"))
+    return out.withColumn("importance", F.when(F.col("n") < F.col("judged"), 1.0).otherwise(F.greatest("presentation", "contents"))).drop("judged")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.1, least_pages: int = 20, small: int = 20_000, salts: int = 64, few: int = 5, weak: float = 0.3) -> DataFrame:
     """id, url, text and n_chars (code points) of each page's main text."""
-    tree = style_tree(pages, url_col, html_col, least_pages)
-    low = stored(tree.where(F.col("importance") <= threshold).select("host", "path"), "html-low")
+    tree = style_tree(pages, url_col, html_col, least_pages, few)
+    low = stored(tree.where(F.col("importance") <= F.when(F.col("named"), F.lit(weak)).otherwise(threshold)).select("host", "path"), "html-low")
     paths = low.groupBy("host").agg(F.collect_list("path").alias("low"))  # bounded by the site's style nodes
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     if low.count() <= small:

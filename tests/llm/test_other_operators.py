@@ -194,6 +194,22 @@ def test_site_tree_removes_what_a_host_repeats(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_site_tree_removes_rotating_texts_and_small_hosts(spark):
+    rng = random.Random(2)
+    promos = [prose(rng, 8) for _ in range(3)]
+    page = "<body><div class=x><p>{}</p><p>{}</p></div><div class=y>{}</div><div class='z-related'>{}</div></body>"
+    rows = []
+    for host, n, variants, several in (("a", 60, 3, 12), ("b", 6, 1, 6), ("c", 3, 1, 1)):
+        for i in range(n):
+            texts = prose(rng, 12), prose(rng, 9)
+            rows.append((len(rows), f"http://{host}.example/{i}", page.format(*texts, promos[i % variants], f"extra {i % several}"), "\n".join(texts)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(3)
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    for i, url, _, want in rows:
+        more = "" if "a.example" in url else f"\nextra {(i - 60) % 6}" if "b.example" in url else f"\n{promos[0]}\nextra 0"
+        assert got[i] == want + more
+
+
 def test_pages_of_the_fixture(spark):
     """The generated pages have one article each: its blocks, found by plain means."""
     import html
