@@ -1,6 +1,6 @@
 """The corpus pipeline: documents through five stages, each over all that the one before kept.
 
-1. language_id: documents without a letter, or of an ambiguous and improbable language, go.
+1. language_id: documents without a letter, or of an ambiguous language, go (if no language is known at all, only the former).
 2. minhash_near_dedup: of each group of near-duplicates the document of least id stays.
 3. secret_scans: every secret found is replaced by [REDACTED].
 4. mixing: documents are selected to the target weights of domains and languages.
@@ -21,7 +21,7 @@ SHARE, EPOCHS = (3, 5), 1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accepted(docs, langid.fit(docs), least=0.3)
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

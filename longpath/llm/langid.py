@@ -162,12 +162,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """docs without those that have no letter, or are both ambiguous and below the score least."""
+    """docs without those that have no letter, are ambiguous or below the score least; a model without languages rejects no text with a letter."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
-            got = [model.predict(x.as_py(), 0.15) for x in batch.column(text_col)]
-            keep = pa.array([g[0] != "und" and not (g[2] and g[1] < least) for g in got], pa.bool_())
+            texts = batch.column(text_col).to_pylist()
+            if model.languages:
+                keep = [lang != "und" and not close and score >= least for lang, score, close in (model.predict(x, 0.15) for x in texts)]
+            else:
+                keep = [bool(x) and has_letter(x) for x in texts]
+            keep = pa.array(keep, pa.bool_())
             left = batch.filter(keep)
             return {n: left.column(n) for n in left.schema.names}
 

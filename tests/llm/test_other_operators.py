@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from longpath.llm import components, embdedup, htmltext, minhash, mixing, pieces, queries, secrets, topk
+from longpath.llm import components, embdedup, htmltext, langid, minhash, mixing, pieces, queries, secrets, topk
 from tests.llm.conftest import prose
 from tests.llm.test_text_operators import brute_near, by_row
 
@@ -308,6 +308,22 @@ def test_stages_against_brute_force(spark, documents):
     assert {r.doc_id: r.ids for r in last.collect()} == {d: library.encode(t) for d, t in texts.items()}
 
 
+def test_language_stage_rejects_ties_and_passes_without_a_model(spark):
+    rng = random.Random(8)
+    words = {x: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)] for x, letters in (("aa", "abcdef"), ("bb", "uvwxyz"))}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(30)), x) for i, x in enumerate(["aa", "bb"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    cut = lambda x, n: " ".join(words[x] * 20)[:n]
+    mixtures = [cut("aa", n) + " " + cut("bb", 7200 - n) for n in range(1000, 6200, 20)]
+    tie = next(t for t in mixtures if model.predict(t, 0.15)[2])
+    assert model.predict(tie, 0.15)[1] > 0.3
+    more = spark.createDataFrame([(1000, tie, None), (1001, "5", None)], docs.schema)
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), None).collect()} == set(range(80))
+    unknown = docs.withColumn("lang", queries.F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unknown.unionByName(more), None).count() == 81
+
+
 def test_stages_on_odd_rows(spark, documents, no_documents):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (documents, no_documents, documents.select(names)):
