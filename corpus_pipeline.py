@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five stages, each over all that the one before kept.
 
 1. language_id: documents without a letter, or of an ambiguous language, go (if no language is known at all, only the former).
-2. minhash_near_dedup: of each group of near-duplicates the document of least id stays.
+2. minhash_near_dedup: of each group of near-duplicates one row stays, of the least id.
 3. secret_scans: every secret found is replaced by [REDACTED].
 4. mixing: documents are selected to the target weights of domains and languages.
 5. sentencepiece: the token ids of each selected document.

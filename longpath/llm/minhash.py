@@ -74,7 +74,7 @@ class Minima:
 
 
 def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), cls (16-byte digest of the set, null if empty), sig (a byte a minimum) and buckets of each text."""
+    """id, h (hash of the text), n (set size), cls (16-byte digest of the set, null if empty), sig (a byte a minimum) and buckets of each text."""
 
     def make():
         minima = Minima(bands, rows, seed)
@@ -91,12 +91,12 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int, id
                 else:
                     for x in ("cls", "sig", "buckets"):
                         out[x].append(None)
-            return {"id": batch.column("id"), **out}
+            return {"id": batch.column("id"), "h": batch.column("h"), **out}
 
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return kernel(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, f"id {kind}, n bigint, cls binary, sig binary, buckets array<bigint>")
+    return kernel(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")), make, f"id {kind}, h bigint, n bigint, cls binary, sig binary, buckets array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -189,14 +189,14 @@ def across(tokens: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept of every row of docs."""
+def _classified(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and cls, id, h (of its least row) and root of every class."""
     sketch = stored(sketches(docs, shingle, bands, rows, seed, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     # classes, numbered in the order of their least ids
-    least = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("h")
-    heads = sketch.where("cls is not null").groupBy("cls").agg(least).select("cls", "h.*")
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h").alias("h"), F.col("row").alias("row"))).alias("head")
+    heads = sketch.where("cls is not null").groupBy("cls").agg(least).select("cls", "head.*")
     heads = heads.repartitionByRange("last", "id", "row").sortWithinPartitions("last", "id", "row").withColumn("node", F.monotonically_increasing_id())
-    heads = stored(heads.select("cls", "id", "row", "node"), "classes")
+    heads = stored(heads.select("cls", "id", "h", "row", "node"), "classes")
     placed = sketch.select("row", "buckets").join(heads.select("row", "node"), "row").select("node", F.explode("buckets").alias("bucket")).repartition("bucket")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     placed = stored(placed.join(shared.select("bucket", "pivot"), "bucket"), "buckets")  # classes that share a bucket
@@ -224,7 +224,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bands:
     if not more.isEmpty():
         roots = stored(components(links.unionByName(more)), "roots")
 
-    names = rooted(heads.select("cls", "id", "node"), roots, "node", "root")
+    return sketch, rooted(heads.select("cls", "id", "h", "node"), roots, "node", "root")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept of every row of docs."""
+    sketch, names = _classified(docs, id_col, text_col, shingle, percent, bands, rows, seed)
     least_id = names.groupBy("root").agg(F.min("id").alias("component_id"))
     verdict = names.join(least_id, "root").select("cls", "component_id")
     out = sketch.select("id", "n", "cls").join(verdict, "cls", "left")
@@ -233,8 +238,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bands:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with one row of each component (the one of least id); of rows of equal id and text one, and all rows with a null id."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col(id_col).alias("kept_id"))
+    """docs with one row of each component: the one of least id (a null id comes last) and, of several texts of that id, of least hash.
+
+    Texts without words are their own components: of rows of equal id one stays, with a null id all.
+    """
+    sketch, names = _classified(docs, id_col, text_col, **settings)
+    head = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("head")
+    blank = sketch.where("cls is null").select("id", "h")
+    kept = names.groupBy("root").agg(head).select("head.id", "head.h").unionByName(blank.where("id is not null")).select(F.col("id").alias("kept_id"), F.col("h").alias("kept_h"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    left = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "h"]).select("doc.*")
-    return left.unionByName(docs.where(F.col(id_col).isNull()))
+    left = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi").dropDuplicates(["id", "h"])
+    unnamed = rows.where("id is null").join(blank.where("id is null").select(F.col("h").alias("kept_h")).distinct(), F.col("h") == F.col("kept_h"), "left_semi")
+    return left.unionByName(unnamed).select("doc.*")

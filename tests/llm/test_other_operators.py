@@ -324,6 +324,17 @@ def test_language_stage_rejects_ties_and_passes_without_a_model(spark):
     assert corpus_pipeline.language_id(spark, unknown.unionByName(more), None).count() == 81
 
 
+def test_one_row_of_each_group_whatever_its_id(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (None, a), (None, b), (None, c), (None, c + " more"), (7, b), (None, ""), (None, ""), (8, " "), (8, " ")]
+    got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    names = {t: i for i, t in enumerate((a, b, c, c + " more", "", " "))}
+    found = sorted((str(r.doc_id), min(names[r.text], 3 if r.text == c + " more" else 9)) for r in got)
+    assert [x for x in found if x[1] not in (2, 3)] == sorted([("1", 0), ("2", 1), ("None", 4), ("None", 4), ("8", 5)])
+    assert len([x for x in found if x[1] in (2, 3)]) == 1
+
+
 def test_stages_on_odd_rows(spark, documents, no_documents):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (documents, no_documents, documents.select(names)):
