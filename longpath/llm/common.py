@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset in local mode (tests) a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="longpath-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,18 +41,27 @@ def release(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = f"{_own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # the cleaner then removes shuffle files that no plan refers to any more
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write go once it has ended.
+    """
+    spark = df.sparkSession
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df, once nothing reads it any more."""
-    marker = f"{_own_dir(df.sparkSession)}/".split("://", 1)[-1]
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles() if marker in f}:
-        _delete(df.sparkSession, top)
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        marker = f"{_own_dir(df.sparkSession)}/".split("://", 1)[-1]
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles() if marker in f}:
+            _delete(df.sparkSession, top)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -95,12 +109,6 @@ def kernel(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]],
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """df in enough partitions for all cores: files smaller than the split size leave cores idle."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * n, *keys) if df.rdd.getNumPartitions() < n else df
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -53,9 +53,12 @@ def templates() -> list[tuple[int, str, bool, list[str], int]]:
     return [(i, label, exact, text.split(), min(3, len(text.split()))) for i, (label, exact, text) in enumerate(rows)]
 
 
+def gram_words(words: list[str]) -> np.ndarray:
+    return Texts(pa.array([" ".join(words)]), not_alphanumeric(), True).h1
+
+
 def gram_hash(words: list[str], k: int) -> np.ndarray:
-    t = Texts(pa.array([" ".join(words)]), not_alphanumeric(), True)
-    return windows(t.hashes(), k, k)
+    return windows(gram_words(words), k, k)
 
 
 def gram_rows() -> list[tuple[int, int, str, bool, int, int, int]]:
@@ -72,22 +75,23 @@ def hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def make():
         separators = not_alphanumeric()
-        grams: dict[int, dict[int, tuple[bytes, ...]]] = {}
+        grams: dict[int, dict[int, list[int]]] = {}
         for _, _, _, words, k in templates():
+            single = gram_words(words).tolist()
             for place, g in enumerate(gram_hash(words, k).tolist()):
-                grams.setdefault(k, {})[g] = tuple(w.encode() for w in words[place : place + k])
+                grams.setdefault(k, {})[g] = single[place : place + k]
         keys = {k: np.sort(np.array(list(v), np.uint64)) for k, v in grams.items()}
 
         def f(batch: pa.RecordBatch) -> dict:
             t = Texts(batch.column("text"), separators, True)
-            h = t.hashes()
+            h = t.h1
             text_of = np.repeat(np.arange(batch.num_rows), t.count)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for k, sought in keys.items():
                 w = windows(h, k, k)
                 at = np.flatnonzero((sought[np.minimum(np.searchsorted(sought, w), len(sought) - 1)] == w) & (text_of[: len(w)] == text_of[k - 1 :][: len(w)]))
                 for p in at.tolist():
-                    if all(t.word(p + i).lower() == x for i, x in enumerate(grams[k][int(w[p])])):
+                    if h[p : p + k].tolist() == grams[k][int(w[p])]:  # word by word
                         i = int(text_of[p])
                         found[i].append({"gram": int(w[p].astype(np.int64)), "pos": p - int(t.first[i])})
             return {id_col: batch.column(id_col), "row": batch.column("row"), "n_words": t.count.tolist(), "hits": found}

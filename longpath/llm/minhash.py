@@ -41,7 +41,7 @@ from longpath.llm.words import Texts, U, constants, mix, white_space, windows
 def shingles(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     t = Texts(batch.column("text"), white_space(), True)
-    h = t.hashes()
+    h = t.h1
     w = windows(h, k, 9)
     out = []
     for a, n in zip(t.first[:-1].tolist(), t.count.tolist(), strict=True):

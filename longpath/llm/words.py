@@ -1,12 +1,12 @@
-"""Words of many texts at once as 64-bit hashes, with numpy only.
+"""Words of many texts at once, as two 64-bit hashes each.
 
-A text is UTF-8 bytes; a word is a maximal run of bytes outside a separator table. Words are hashed by a polynomial over
-random byte values, taken as differences of one prefix sum, and mixed. Equal words have equal hashes everywhere.
+A text is UTF-8 bytes; a word is a maximal run of bytes outside a separator table. Every distinct word is hashed once a batch by a
+cryptographic hash (128 bits), so no structure of a word makes it collide. Equal words have equal hashes everywhere.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -45,59 +45,75 @@ def not_alphanumeric() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=8)
-def byte_values(seed: int, fold: bool) -> np.ndarray:
-    out = constants(seed, 256)
-    if fold:
-        out[65:91] = out[97:123]
-    return out
+class Lexicon(dict):
+    """Numbers words of one kind as they come, with two 64-bit hashes (of blake2b) each."""
+
+    def __init__(self):
+        super().__init__()
+        self.raw = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.raw += hashlib.blake2b(word, digest_size=16).digest()
+        return n
 
+    def empty(self) -> None:
+        self.clear()
+        self.raw = bytearray()
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def hashes(self) -> np.ndarray:
+        return np.frombuffer(bytes(self.raw), U).reshape(-1, 2)
 
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """0..n-1 powers of an odd multiplier and of its inverse modulo 2^64."""
-    if seed not in _powers or len(_powers[seed][0]) < n:
-        base = int(constants(seed + 7, 1)[0])
-        size = max(n, 1 << 20)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[seed] = tuple(both)
-    return _powers[seed]
+_lexicons: dict[bytes, Lexicon] = {}
 
 
 class Texts:
-    """The words of a slice of texts: starts and ends in bytes, and the index of each text's first word."""
-
-    def __init__(self, texts: pa.Array, separators: np.ndarray, fold: bool):
-        self.fold = fold
-        texts = texts.fill_null("")
-        raw = [memoryview(x.as_buffer()) for x in texts] if len(texts) else []
-        sizes = np.array([len(x) for x in raw], dtype=np.int64)
-        self.begin = np.concatenate(([1], 1 + np.cumsum(sizes + 1)))  # each text follows one separator
-        joined = b" " + b" ".join(raw) + b"  "
-        self.bytes = np.frombuffer(joined, np.uint8)
-        gap = separators[self.bytes]
-        turns = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        self.starts, self.ends = turns[0::2], turns[1::2]
-        self.first = np.searchsorted(self.starts, self.begin)
-        self.count = np.diff(self.first)
-
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        up, down = powers(seed, len(self.bytes) + 1)
-        n = len(self.bytes)
-        sums = np.empty(n + 1, U)
-        sums[0] = 0
-        np.cumsum(byte_values(seed, self.fold)[self.bytes] * up[:n], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U) * U(0x9E3779B97F4A7C15))
-
-    def word(self, i: int) -> bytes:
-        return self.bytes[self.starts[i] : self.ends[i]].tobytes()
+    """The words of a slice of texts: the index of each text's first word, their counts, and two hashes of each word.
+
+    Separators must hold all ASCII white space. Texts are cut in stretches of ``step`` bytes at separators, so the memory for
+    words as objects is bounded by ``step`` and the longest word; ``most`` distinct words are remembered between slices.
+    """
+
+    def __init__(self, texts: pa.Array, separators: np.ndarray, fold: bool, step: int = 1 << 20, most: int = 1 << 18):
+        table = np.arange(256, dtype=np.uint8)
+        if fold:
+            table[65:91] += 32
+        table[separators] = 32
+        self._table, self._step = table.tobytes(), step
+        lexicon = _lexicons.setdefault(self._table, Lexicon())
+        counts, numbers, hashed = [], [], []
+        for x in texts.fill_null(""):
+            n = 0
+            for words in self._cut(x.as_buffer()):
+                numbers.append(np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words)))
+                n += len(words)
+                if len(lexicon) > most:
+                    hashed.append(lexicon.hashes()[np.concatenate(numbers)])
+                    numbers.clear()
+                    lexicon.empty()
+            counts.append(n)
+        if numbers:
+            hashed.append(lexicon.hashes()[np.concatenate(numbers)])
+        self.count = np.array(counts, np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+        both = np.concatenate(hashed) if hashed else np.empty((0, 2), U)
+        self.h1, self.h2 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+    def _cut(self, raw: pa.Buffer):
+        at, size = 0, len(raw)
+        while at < size:
+            end = min(at + self._step, size)
+            part = raw.slice(at, end - at).to_pybytes().translate(self._table)
+            while end < size:
+                cut = part.rfind(b" ")
+                if cut >= 0:
+                    part, end = part[:cut], at + cut + 1
+                    break
+                end = min(at + 2 * (end - at), size)  # a word longer than the step
+                part = raw.slice(at, end - at).to_pybytes().translate(self._table)
+            yield part.split()
+            at = end
 
 
 def windows(h: np.ndarray, k: int, seed: int) -> np.ndarray:

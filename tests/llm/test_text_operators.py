@@ -115,6 +115,43 @@ def test_substrings_over_few_words(spark, seed):
     assert by_row(substring.deduplicated(df)) == brute_repeats(rows)
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words that collide under polynomial hashes modulo a power of two."""
+    x, y = thue_morse(1024), thue_morse(1024, "ba")
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, x), (2, y), (3, f"{x} {rest}"), (4, f"{y} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(minhash.near_duplicates(df)) == brute_near(rows)
+    assert by_row(substring.deduplicated(df)) == brute_repeats(rows)
+
+
+def test_substrings_with_ragged_ends(spark):
+    """One passage between different neighbours, cut at all places, its first place not the longest."""
+    rng = random.Random(17)
+    passage = prose(rng, 90).split()
+    rows = []
+    for i in range(60):
+        a, b = sorted(rng.sample(range(91), 2))
+        rows.append((i, f"{prose(rng, rng.randint(0, 30))} {' '.join(passage[a:b])} {prose(rng, rng.randint(0, 30))} {' '.join(passage[: b // 2])}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert by_row(substring.deduplicated(df)) == brute_repeats(rows)
+
+
+def test_words_of_long_texts():
+    import pyarrow as pa
+
+    from longpath.llm.words import Texts, white_space
+
+    texts = pa.array(["ab cd\tef" * 50, None, "x" * 100 + " y", "", " \n"])
+    whole, cut = Texts(texts, white_space(), False), Texts(texts, white_space(), False, step=7, most=2)
+    assert whole.count.tolist() == cut.count.tolist() == [101, 0, 2, 0, 0]
+    assert (whole.h1 == cut.h1).all() and (whole.h2 == cut.h2).all() and len(set(whole.h1.tolist())) == 6
+
+
 def test_substrings_empty(no_documents):
     assert substring.deduplicated(no_documents).count() == 0
 
