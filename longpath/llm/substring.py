@@ -13,8 +13,8 @@ A name is a hash of what it stands for, so all tasks name runs and pairs alike w
 substrings get the same symbols inside, save near their ends. How near is tracked: with each symbol goes the stretch of words
 that decided it (its own and its neighbours' as far as they were looked at). Where these words stand again, the same symbol
 stands again. Every window is led by the least name among the symbols whose stretch it holds, so equal windows have
-equal leaders at equal places. (A window that holds no stretch, in a long run of one word, is its own leader.) The windows of one
-leader follow each other; the words they cover are the leader's span, a symbol of the next level, named by the
+equal leaders at equal places. (A window that holds no stretch, in a long run of one word, is its own leader.) A leader is named by
+its symbol and its stretch, which stands by chance more rarely than the symbol alone. The windows of one leader follow each other; the words they cover are the leader's span, a symbol of the next level, named by the
 leader and its words (128 bits in all). A document has about one span for eight words.
 
 Spark rounds. Each counts names over the corpus and leaves less to the next.
@@ -86,10 +86,13 @@ def recompress(h: np.ndarray, border: np.ndarray, rounds: int = ROUNDS) -> tuple
     return name, start, low, high
 
 
-def hashed(h: np.ndarray, starts: np.ndarray, window: int, seed: int, step: int = 1 << 15) -> np.ndarray:
-    """A hash of the window at each start: sums of hashes of (word, place)."""
+def hashed(h: np.ndarray, starts: np.ndarray, window: int, seed: int, size: np.ndarray | None = None, step: int = 1 << 15) -> np.ndarray:
+    """A hash of the window (or of its first size words) at each start: sums of hashes of (word, place)."""
     c, place = constants(seed, window), np.arange(window)
-    parts = [mix(mix(h[starts[i : i + step, None] + place] + c).sum(1, dtype=U)) for i in range(0, len(starts), step)]
+    parts = []
+    for i in range(0, len(starts), step):
+        x = mix(h[np.minimum(starts[i : i + step, None] + place, len(h) - 1)] + c)
+        parts.append(mix(x.sum(1, dtype=U, where=True if size is None else place < size[i : i + step, None])))
     return np.concatenate(parts) if parts else np.empty(0, U)
 
 
@@ -133,8 +136,10 @@ def spans(t: Texts, window: int) -> dict[str, np.ndarray]:
     size = np.diff(np.append(at, len(starts)))
     lo, lead = starts[at], lead[at]
     led = lead >= 0
-    s = np.where(led, name[lead] if len(name) else U(0), hashed(h1, lo, window, 611))
-    offset = np.where(led, (low[lead] if len(low) else lo) - lo, window)
+    offset, s = np.full(len(lo), window), hashed(h1, lo, window, 611)
+    at = np.flatnonzero(led)
+    x = lead[at]
+    offset[at], s[at] = low[x] - lo[at], mix(name[x] + hashed(h1, low[x], window, 613, high[x] - low[x]))
     b = mix(hashed(h2, lo, window, 612) + mix(hashed(h2, lo + size - 1, window, 612) * U(3) + (size * 2 * window + offset).astype(U)))
     text = text_of[lo]
     order = np.lexsort((lo, b, s, text))
