@@ -174,40 +174,102 @@ def test_names_of_layouts_and_headings_drop_no_article():
     assert htmltext.main_text("<article>a<div class=comments><article>b</article></div></article>") == "a"
 
 
+def test_comments_go_and_names_of_articles_stay():
+    text = "<body><article><p>Main story.</p><div class='legal-news'><p>Court ruled.</p></div><div class='header'>Lead</div><span class='notice'>Mind this.</span>{}</article>{}</body>"
+    comment = "<article class='comment{}'><p>reader one</p></article>"
+    for inner, outer in ((comment.format(""), ""), ("", comment.format("-body")), (comment.format(" odd"), comment.format("-7"))):
+        assert htmltext.main_text(text.format(inner, outer)) == "Main story.\nCourt ruled.\nLead\nMind this."
+    assert htmltext.main_text(comment.format("") + "<p>text</p>") == "text"
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    n = 60_000
+    pages = ["<a " * (n * 6), "<div>" * n + "deep", "<p>" * n, "<b><div>" + "<span>" * n + "</b>" * n, "<a '\">" * n, "<span>" * n + "<p>x" * n, "<ul>" + "<li>x" * n, "<!--" * n, "<table><tr><td>" * n, "<i>" * n + "</p>" * n, "<![CDATA[" * n]
+    for page in pages:
+        began = time.time()
+        htmltext.main_text(page)
+        htmltext.style_rows(htmltext.parse(page))
+        assert time.time() - began < 8, page[:40]
+
+
 def test_site_tree_removes_what_a_host_repeats(spark):
     rng = random.Random(1)
     rows = [(i, f"http://a.example/{i}", PAGE.format(f"<p class=x>{prose(rng, 9)}</p><p class=more>Read more of our stories</p>"), 1) for i in range(60)]
-    rows += [(100 + i, "http://b.example/", PAGE.format("<p class=more>Read more of our stories</p>"), 1) for i in range(3)]
-    rows += [(200 + i, "https://u@C.example:80/", "<p>the same page</p>", 1) for i in range(30)]
-    rows += [(300, None, None, 1), (301, None, "", 1), (302, "nonsense", "<p>x", 1), (302, "nonsense", "<p>x", 1), (None, "http://a.example", "<p>y", 1)]
+    rows += [(200 + i, "https://u@C.example:80/", "<section>the same page</section>", 1) for i in range(30)]
+    rows += [(300, None, None, 1), (301, None, "", 1), (302, "nonsense", "<h3>x", 1), (302, "nonsense", "<h3>x", 1), (None, "http://a.example", "<h4>y", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int").repartition(3)
     for settings in ({}, {"small": 0, "salts": 3}):
         got = {r.page_id: r for r in htmltext.extract(df, **settings).collect()}
-        # title, list and last line are the same on all pages of the host; the two paragraphs are two contents of one node
-        assert all(got[i].text.split("\n")[:-1] == TEXT.split("\n")[1:3] and len(got[i].text.split("\n")[-1].split()) == 9 for i in range(60))
-        assert got[100].text == TEXT + "\nRead more of our stories"  # too few pages to judge
+        # paragraphs and list are the same on all pages; headings of articles stay
+        assert all(got[i].text.split("\n")[0] == "Title & more" and len(got[i].text.split("\n")[1].split()) == 9 and got[i].text.count("\n") == 1 for i in range(60))
         assert got[200].text == "the same page" and got[200].n_chars == 13  # never the whole page
         assert got[300].text == got[301].text == "" and got[302].text == "x" and got[None].text == "y"
         assert htmltext.extract(df, **settings).count() == len(rows)
-    tree = {(r.host, r.n): r for r in htmltext.style_tree(df).collect() if r.importance < 0.1}
-    assert ("a.example", 60) in tree and ("c.example", 30) in tree
     assert htmltext.extract(df.limit(0)).count() == 0
+    few = df.where("page_id in (0, 1, 2)")
+    assert {r.text.count("\n") for r in htmltext.extract(few).collect()} == {TEXT.count("\n") + 2}  # too few pages to judge
 
 
-def test_site_tree_removes_rotating_texts_and_small_hosts(spark):
-    rng = random.Random(2)
-    promos = [prose(rng, 8) for _ in range(3)]
-    page = "<body><div class=x><p>{}</p><p>{}</p></div><div class=y>{}</div><div class='z-related'>{}</div></body>"
-    rows = []
-    for host, n, variants, several in (("a", 60, 3, 12), ("b", 6, 1, 6), ("c", 3, 1, 1)):
-        for i in range(n):
-            texts = prose(rng, 12), prose(rng, 9)
-            rows.append((len(rows), f"http://{host}.example/{i}", page.format(*texts, promos[i % variants], f"extra {i % several}"), "\n".join(texts)))
+def nameless(rng, n, host):
+    """Pages without article elements or telling names: a menu of links, a notice, promotions of a few kinds, a footer line, the text."""
+    words = [prose(rng, 1) + str(i) for i in range(12)]
+    promos, notices = [prose(rng, 9) for _ in range(4)], [prose(rng, 12) for _ in range(2)]
+    out = []
+    for i in range(n):
+        title, texts = prose(rng, 6), [prose(rng, rng.randint(15, 40)) for _ in range(rng.randint(1, 5))]
+        menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in rng.sample(words, rng.randint(4, 8)))
+        html = f"<body><div class=x17><ul>{menu}</ul></div><div class=q>{notices[i % 2]}</div><div class=k2><h2>{title}</h2>{''.join(f'<p>{t}</p>' for t in texts)}</div><div class=z>{promos[i % 4]}</div><div class=w>&copy; {host} &middot; {promos[(i + 1) % 4]}</div></body>"
+        out.append((f"http://{host}/{i}", html, "\n".join([title, *texts])))
+    return out
+
+
+def test_site_tree_needs_no_names(spark):
+    rng = random.Random(5)
+    rows = [(i, *x) for i, x in enumerate(nameless(rng, 60, "one.example") + nameless(rng, 40, "two.example"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(3)
-    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
-    for i, url, _, want in rows:
-        more = "" if "a.example" in url else f"\nextra {(i - 60) % 6}" if "b.example" in url else f"\n{promos[0]}\nextra 0"
-        assert got[i] == want + more
+    for names in (True, False):
+        got = {r.page_id: r.text for r in htmltext.extract(df, names=names).collect()}
+        assert all(got[i] == want for i, _, _, want in rows)
+    assert all(htmltext.main_text(html) != want for _, _, html, want in rows)  # without the tree, all of it is text
+
+
+def test_importance_equals_brute_force(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(6)
+    rows = [(i, url, html) for i, (url, html, _) in enumerate(nameless(rng, 23, "one.example"))]
+    looks, pieces, chars, linked, on, kids = (defaultdict(Counter) for _ in range(6))
+    for _, _, html in rows:
+        root = htmltext.parse(html)
+        nodes, seen = htmltext.walk(root), set()
+        for node, _, path in nodes:
+            if htmltext.judged(node):
+                tags = tuple(x.tag for x in node.parts if not isinstance(x, str))
+                looks[path][tags] += 1
+                kids[path]["n"] += len(tags)
+                on[path]["n"] += path not in seen
+                seen.add(path)
+        for path, text, link in {(p, x.strip(), k) for p, t, k in htmltext.runs(root) for x in htmltext.SEPARATOR.split(t) if x.strip()}:
+            pieces[path][text] += 1
+            chars[path]["n"] += len(text)
+            linked[path]["n"] += len(text) if link else 0
+    m = {p: on[p]["n"] for p in looks}
+    entropy = {p: sum(math.log(c) / math.log(m[p]) for c in pieces[p].values()) for p in looks}
+    total = sum(chars[p]["n"] for p in looks)
+    mean = sum(chars[p]["n"] * (1 - entropy[p] / len(pieces[p])) for p in looks if pieces[p]) / total
+    got = {bytes(r.path): r for r in htmltext.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert set(got) == set(looks)
+    for p, r in got.items():
+        below = [q for q in looks if q.startswith(p)]
+        n = sum(looks[p].values())
+        presentation = min(1, -sum(c / n * math.log(c / n) for c in looks[p].values()) / math.log(m[p]))
+        contents = (1 - sum(entropy[q] for q in below) / sum(len(pieces[q]) for q in below)) * (1 - 0.3 * sum(linked[q]["n"] for q in below) / sum(chars[q]["n"] for q in below))
+        weight = 0.9 ** (kids[p]["n"] / n)
+        want = (1 - weight) * presentation + weight * contents
+        assert (r.pages, r.presentation, r.contents, r.importance, r.score) == pytest.approx((m[p], presentation, contents, want, want / mean))
 
 
 def test_pages_of_the_fixture(spark):
