@@ -18,14 +18,14 @@ def block_ids(reads: DataFrame, config: PathConfig) -> DataFrame:
     """
     n = F.floor(F.length("seq") / config.tile).cast("int")
     sized = reads.select("read_ix", n.alias("n"), (F.floor(F.length("seq") / (config.tile * config.block)) + 1).cast("long").alias("ids"))
-    start = _running(sized)
+    start = running(sized)
     rows = start.where("n > 0").select("read_ix", "n", "before", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / config.block).cast("int"))).alias("k"))
     return rows.select(
         "read_ix", (F.col("k") * config.block).alias("first_tile"), F.least((F.col("k") + 1) * config.block, F.col("n")).cast("int").alias("stop"), (F.col("before") + 1 + F.col("k")).alias("block_id")
     ).select("read_ix", F.col("first_tile").cast("int").alias("first_tile"), (F.col("stop") - 1).alias("last_tile"), "block_id")
 
 
-def _running(sized: DataFrame, parts: int = 256) -> DataFrame:
+def running(sized: DataFrame, parts: int = 256) -> DataFrame:
     """sized (read_ix, ids, ...) with before, the sum of ids over smaller read_ix: sums by range, then within ranges."""
     low, high = sized.agg(F.min("read_ix")).scalar(), sized.agg(F.max("read_ix")).scalar()
     ranged = sized.withColumn("part", F.floor((F.col("read_ix") - low) * parts / (high - low + 1)).cast("int"))

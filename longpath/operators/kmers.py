@@ -81,7 +81,27 @@ def frames(reads: DataFrame, config: PathConfig) -> DataFrame:
                 columns = [np.full(codes.size, read_ix, np.int64), np.repeat(tile_ix, h).astype(np.int32), np.repeat(frame_ix, h).astype(np.int32), np.tile(np.arange(h, dtype=np.int32), len(codes)), codes.ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["read_ix", "tile_ix", "frame_ix", "seed_ix", "code"])
 
-    return _even(reads.select("read_ix", "seq")).mapInArrow(run, "read_ix bigint, tile_ix int, frame_ix int, seed_ix int, code bigint")
+    return even(reads.select("read_ix", "seq")).mapInArrow(run, "read_ix bigint, tile_ix int, frame_ix int, seed_ix int, code bigint")
+
+
+def tile_summaries(reads: DataFrame, config: PathConfig) -> DataFrame:
+    """read_ix, tile_ix, seed_ix, frames, and number, sum, least and most of the tile's codes; a tile is hashed in one place, so nothing is exchanged."""
+    patterns = config.seeds
+
+    def run(batches):
+        for batch in batches:
+            for read_ix, seq in zip(batch.column("read_ix").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                rows = []
+                for t, m in enumerate(tile_codes((seq or "").encode(), config, patterns)):
+                    if len(m):
+                        m = np.sort(m, axis=0)
+                        rows.append((np.full(m.shape[1], t), np.arange(m.shape[1]), np.full(m.shape[1], len(m)), 1 + (m[1:] != m[:-1]).sum(0), m.sum(0), m[0], m[-1]))
+                if rows:
+                    tile_ix, seed_ix, *rest = (np.concatenate(c) for c in zip(*rows, strict=True))
+                    columns = [np.full(len(tile_ix), read_ix, np.int64), tile_ix.astype(np.int32), seed_ix.astype(np.int32), *(c.astype(np.int64) for c in rest)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["read_ix", "tile_ix", "seed_ix", "frames", "codes", "code_sum", "least", "most"])
+
+    return even(reads.select("read_ix", "seq")).mapInArrow(run, "read_ix bigint, tile_ix int, seed_ix int, frames bigint, codes bigint, code_sum bigint, least bigint, most bigint")
 
 
 def kmers(reads: DataFrame, config: PathConfig) -> DataFrame:
@@ -96,10 +116,10 @@ def kmers(reads: DataFrame, config: PathConfig) -> DataFrame:
                     codes = position_codes(bases, p)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), i, np.int32)), pa.array(codes)], names=["seed_ix", "code"])
 
-    return _even(reads.select("seq")).mapInArrow(run, "seed_ix int, code bigint")
+    return even(reads.select("seq")).mapInArrow(run, "seed_ix int, code bigint")
 
 
-def _even(df: DataFrame) -> DataFrame:
+def even(df: DataFrame) -> DataFrame:
     """Dealt over all cores when there are fewer partitions than cores: hashing a read takes far longer than moving it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

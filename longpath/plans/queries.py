@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, seed_table
-from longpath.operators import index, kmers, qc, select, tiles
+from longpath.operators import index, kmers, probe, qc, select, tiles
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
 from longpath.sources import fastq
@@ -75,9 +75,7 @@ def tile_split(spark, sf_dir):
 
 def kmer_codes(spark, sf_dir):
     """What the codes of each tile and pattern add up to."""
-    return kmers.frames(_clean(spark, sf_dir), SMALL).groupBy("read_ix", "tile_ix", "seed_ix").agg(
-        F.count("*").alias("frames"), F.count_distinct("code").alias("codes"), F.sum("code").alias("code_sum"), F.min("code").alias("least"), F.max("code").alias("most")
-    )
+    return kmers.tile_summaries(_clean(spark, sf_dir), SMALL)
 
 
 def distinct_kmers(spark, sf_dir):
@@ -123,16 +121,23 @@ def bloom_math(spark, sf_dir):
                        nine(bloom.optimal_hashes(bits, F.col("entries"))).alias("best_hashes"), nine(bloom.frame_match_probability(F.col("occ"), F.lit(0.01), h)).alias("match"))
 
 
-def _static(spark, sf_dir):
-    """Frames of all clean reads, and what an index has after all of them were inserted whole."""
+BUCKET_ROWS = 2_000_000
+
+
+def _index(spark, sf_dir):
+    """Clean reads, the number of buckets, and the index rows after all of them were inserted whole."""
     reads = _clean(spark, sf_dir)
-    frames = kmers.frames(reads, SMALL)
-    return reads, frames, index.occurrences(frames, index.block_ids(reads, SMALL), SMALL)
+    buckets = probe.bucket_count(reads, SMALL, BUCKET_ROWS)
+    return reads, buckets, probe.first_writers(probe.occurrences(probe.based(reads, SMALL), SMALL, buckets))
+
 
+def _answered(spark, sf_dir):
+    reads, buckets, idx = _index(spark, sf_dir)
+    return probe.answered(reads, idx, SMALL, buckets, BUCKET_ROWS)
 
-def _probed(spark, sf_dir):
-    _, frames, occurrences = _static(spark, sf_dir)
-    return index.probe(frames, index.first_writer_index(occurrences))
+
+def _counts(spark, sf_dir):
+    return probe.tile_id_counts(_answered(spark, sf_dir), SMALL)
 
 
 def block_ids(spark, sf_dir):
@@ -140,40 +145,43 @@ def block_ids(spark, sf_dir):
 
 
 def index_probe(spark, sf_dir):
-    return _probed(spark, sf_dir).groupBy("read_ix", "tile_ix", "seed_ix").agg(F.count("*").alias("frames"), F.count_distinct("id").alias("ids"), F.min("id").alias("least"), F.max("id").alias("most"), F.sum("id").alias("id_sum"))
+    return probe.tile_probe(_answered(spark, sf_dir), SMALL)
 
 
 def frame_membership(spark, sf_dir):
-    return index.frame_membership(_probed(spark, sf_dir), SMALL)
+    return probe.frame_membership(_answered(spark, sf_dir), SMALL)
 
 
 def tile_id_counts(spark, sf_dir):
-    return index.tile_id_counts(_probed(spark, sf_dir))
+    return _counts(spark, sf_dir)
 
 
 def tile_best(spark, sf_dir):
-    return index.tile_best(index.tile_id_counts(_probed(spark, sf_dir)))
+    return index.tile_best(_counts(spark, sf_dir))
 
 
 def tile_candidates(spark, sf_dir):
-    return index.tile_candidates(index.tile_id_counts(_probed(spark, sf_dir)))
+    return index.tile_candidates(_counts(spark, sf_dir))
 
 
 def tile_assign(spark, sf_dir):
-    return index.tile_assigned(index.tile_id_counts(_probed(spark, sf_dir)), SMALL)
+    return index.tile_assigned(_counts(spark, sf_dir), SMALL)
 
 
 def probe_counters(spark, sf_dir):
-    return index.probe_counters(_probed(spark, sf_dir), SMALL)
+    return probe.counters(_answered(spark, sf_dir), SMALL)
 
 
 def id_frequencies(spark, sf_dir):
-    return index.id_frequencies(index.first_writer_index(_static(spark, sf_dir)[2]))
+    return index.id_frequencies(probe.entries(_index(spark, sf_dir)[2], SMALL))
 
 
 def reservoir_upsert(spark, sf_dir):
     """What the index has after reservoir writing, summed by id."""
-    rows = index.reservoir_index(_static(spark, sf_dir)[2], SMALL)
+    reads = _clean(spark, sf_dir)
+    buckets = probe.bucket_count(reads, SMALL, BUCKET_ROWS)
+    rows = probe.entries(probe.occurrences(probe.based(reads, SMALL), SMALL, buckets, reduce=False), SMALL)
+    rows = index.reservoir_index(rows.select("seed_ix", "code", F.col("id").alias("block_id")), SMALL)
     return rows.groupBy("id").agg(F.count("*").alias("slots"), F.sum("n").alias("writers"), F.sum("code").alias("code_sum"))
 
 
@@ -185,14 +193,7 @@ def _tile_flags(spark, sf_dir):
 
 
 def longest_gap(spark, sf_dir):
-    import pandas as pd
-
-    def gaps(flags):
-        return pd.DataFrame([tiles.longest_gap(list(x)) for x in flags], columns=["start", "end"])
-
-    gaps.__annotations__ = {"flags": pd.Series, "return": pd.DataFrame}
-    gap = F.pandas_udf(gaps, "start int, end int")
-    return _tile_flags(spark, sf_dir).select("read_ix", gap("assigned").alias("g")).select("read_ix", F.col("g.start").alias("gap_start"), F.col("g.end").alias("gap_end"))
+    return tiles.longest_gaps(_tile_flags(spark, sf_dir))
 
 
 def _decisions(spark, sf_dir, rollover=False):
@@ -211,17 +212,35 @@ def _rolling(reads: DataFrame | None = None):
     return replace(SMALL, genome_size=size, ratio=1.0, max_paths=3)
 
 
+def _tile_states(spark, sf_dir):
+    """Up to three candidates of each tile, from the quality of its middle character: mostly blocks of two tiles in order, with gaps and strangers."""
+    q = F.ascii(F.substr("qual", F.col("tile_ix") * SMALL.tile + SMALL.tile // 2 + 1, F.lit(1)).cast("string")) - 43
+    reads = _clean(spark, sf_dir).select("read_ix", F.floor(F.length("seq") / SMALL.tile).cast("int").alias("tiles"), F.col("qual").cast("binary").alias("qual")).where("tiles > 0")
+    rows = reads.select("read_ix", "qual", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile_ix")).select("read_ix", "tile_ix", q.alias("q"))
+    block = F.floor(F.col("tile_ix") / 2).cast("long")
+    made = F.array(
+        F.when(F.col("q") >= 6, F.struct((block + 1 + F.when(F.col("q") % 7 == 0, 50).otherwise(0)).alias("id"), F.col("q").alias("n"))),
+        F.when((F.col("q") >= 5) & (F.col("tile_ix") >= 2), F.struct(block.alias("id"), (F.col("q") % 9 + 3).alias("n"))),
+        F.when((F.col("q") >= 6) & (F.col("q") % 2 == 1), F.struct((block + 2).alias("id"), (F.col("q") % 5 + 3).alias("n"))),
+    )
+    return rows.select("read_ix", "tile_ix", F.inline(F.filter(made, F.isnotnull))), reads.select("read_ix", "tiles")
+
+
+def _smoothed(spark, sf_dir):
+    return tiles.smoothed(*_tile_states(spark, sf_dir), SMALL)
+
+
 def tile_smooth(spark, sf_dir):
-    """Assigned tiles of each visited read after all passes."""
-    return _decisions(spark, sf_dir).select("read_ix", "tiles", "assigned")
+    """Id and flag of each tile after all passes."""
+    return _smoothed(spark, sf_dir).select("read_ix", F.posexplode(F.arrays_zip("ids", "assigned")).alias("tile_ix", "x")).select("read_ix", "tile_ix", F.col("x.ids").alias("id"), F.col("x.assigned").alias("assigned"))
 
 
 def flank_eval(spark, sf_dir):
-    return _decisions(spark, sf_dir).where("decision = 'trimmed'").select("read_ix", "tiles", "trim_start", "trim_end")
+    return _smoothed(spark, sf_dir).where("gap_start is not null").select("read_ix", "gap_start", "gap_end", "anchored", "first", "last")
 
 
 def read_decision(spark, sf_dir):
-    return _decisions(spark, sf_dir).select("read_ix", "decision")
+    return _smoothed(spark, sf_dir).select("read_ix", "decision", "trim_start", "trim_end")
 
 
 def greedy_select(spark, sf_dir):
@@ -370,6 +389,60 @@ gaps AS (
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_ix ORDER BY size DESC, s) AS r FROM gaps WHERE size > 0) WHERE r = 1)"""
 
 
+_NEAR = "abs({a} - {b}) <= 1"
+_ADOPT = """list_reduce({source}, lambda acc, x: list_append(acc,
+    CASE WHEN x[1].id <> acc[-1].id AND len(list_filter(x[1].c, lambda y: y.id = acc[-1].id)) > 0
+      THEN {{'id': acc[-1].id, 'f': list_filter(x[1].c, lambda y: y.id = acc[-1].id)[1].n > %d, 'c': x[1].c}} ELSE x[1] END))""" % SMALL.hits
+_FILL = """list_reduce(list_transform(range(1, n + 1), lambda i: [{{'id': s[i].id, 'f': s[i].f, 'c': s[i].c, 'to': coalesce(s[i + 1].id, 0), 'on': coalesce(s[i + 1].f, false), 'last': i = n}}]), lambda acc, x: list_append(acc,
+    CASE WHEN x[1].f OR x[1].last THEN x[1]
+      WHEN acc[-1].f AND abs(x[1].id - acc[-1].id) <= 1 OR x[1].on AND abs(x[1].id - x[1].to) <= 1 THEN struct_update(x[1], f := true)
+      WHEN acc[-1].f AND x[1].on AND acc[-1].id = x[1].to THEN struct_update(x[1], id := acc[-1].id, f := true) ELSE x[1] END))"""
+SMOOTH = f"""middle AS (
+  SELECT read_ix, CAST(length(seq) // {T} AS INT) AS n, t, ord(substr(qual, t * {T} + {T // 2 + 1}, 1)) - 43 AS q FROM (SELECT *, unnest(range(0, CAST(length(seq) // {T} AS BIGINT))) AS t FROM clean)),
+candidates AS (
+  SELECT read_ix, t, t // 2 + 1 + CASE WHEN q % 7 = 0 THEN 50 ELSE 0 END AS id, q AS n FROM middle WHERE q >= 6
+  UNION ALL SELECT read_ix, t, t // 2, q % 9 + 3 FROM middle WHERE q >= 5 AND t >= 2
+  UNION ALL SELECT read_ix, t, t // 2 + 2, q % 5 + 3 FROM middle WHERE q >= 6 AND q % 2 = 1),
+per_tile AS (
+  SELECT middle.read_ix, middle.n, t, coalesce(arg_max(id, c.n * 100000 - id), 0) AS id, coalesce(max(c.n) > {SMALL.hits}, false) AS f, coalesce(list({{'id': id, 'n': c.n}}) FILTER (WHERE id IS NOT NULL), []) AS c
+  FROM middle LEFT JOIN candidates c USING (read_ix, t) GROUP BY ALL),
+s0 AS (SELECT read_ix, n, list([{{'id': id, 'f': f, 'c': c}}] ORDER BY t) AS s FROM per_tile GROUP BY ALL),
+s1 AS (SELECT read_ix, n, list_reverse({_ADOPT.format(source='s')}) AS s FROM s0),
+s2 AS (SELECT read_ix, n, list_reverse({_ADOPT.format(source='list_transform(s, lambda x: [x])')}) AS s FROM s1),
+s3 AS (SELECT read_ix, n, list_reverse({_FILL.format()}) AS s FROM s2),
+s4 AS (SELECT read_ix, n, list_reverse({_FILL.format()}) AS s FROM s3),
+t4 AS (SELECT read_ix, n, i - 1 AS i, s[i].id AS id, s[i].f AS f FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM s4)),
+t5 AS (
+  SELECT read_ix, n, i, CASE WHEN closes THEN lid ELSE id END AS id, f OR closes AS f FROM (
+    SELECT *, coalesce(NOT f AND nxt <= n - 2 AND abs(lid - nid) <= 1, false) AS closes FROM (
+      SELECT *, last_value(CASE WHEN f THEN id END IGNORE NULLS) OVER before AS lid, first_value(CASE WHEN f THEN id END IGNORE NULLS) OVER behind AS nid, first_value(CASE WHEN f THEN i END IGNORE NULLS) OVER behind AS nxt
+      FROM t4 WINDOW before AS (PARTITION BY read_ix ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), behind AS (PARTITION BY read_ix ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))),
+t6 AS (SELECT read_ix, n, i, id, f AND NOT (i BETWEEN 2 AND n - 3 AND NOT lag(f) OVER w AND NOT lead(f) OVER w) AS f FROM t5 WINDOW w AS (PARTITION BY read_ix ORDER BY i)),
+paint AS (
+  SELECT read_ix, list({{'a': a, 'b': b}} ORDER BY id, a) AS strokes FROM (SELECT read_ix, id, i AS a, lead(i) OVER (PARTITION BY read_ix, id ORDER BY i) AS b FROM t6 WHERE f) WHERE b - a > 1 GROUP BY read_ix),
+s7 AS (
+  SELECT read_ix, n, flags, CASE WHEN strokes IS NULL THEN ids ELSE
+    list_reduce(list_prepend({{'a': 0, 'b': 0, 'ids': ids}}, list_transform(strokes, lambda x: {{'a': x.a, 'b': x.b, 'ids': ids}})),
+      lambda acc, x: {{'a': x.a, 'b': x.b, 'ids': list_transform(acc.ids, lambda y, j: CASE WHEN j - 1 > x.a AND j - 1 <= x.b THEN acc.ids[x.a + 1] ELSE y END)}}).ids END AS ids
+  FROM (SELECT read_ix, n, list(id ORDER BY i) AS ids, list(f ORDER BY i) AS flags FROM t6 GROUP BY ALL) LEFT JOIN paint USING (read_ix)),
+t8 AS (
+  SELECT read_ix, n, i, id, CASE WHEN i = n - 1 THEN f OR abs(id - before) <= 1 WHEN i = 0 THEN f OR abs(id - behind) <= 1 ELSE f AND (abs(id - before) <= 1 OR abs(id - behind) <= 1) END AS f FROM (
+    SELECT *, lag(id) OVER w AS before, lead(id) OVER w AS behind FROM (SELECT read_ix, n, i - 1 AS i, ids[i] AS id, flags[i] AS f FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM s7)) WINDOW w AS (PARTITION BY read_ix ORDER BY i))),
+smooth AS (
+  SELECT read_ix, n, i, id, f AND NOT (size <= 5 AND stop <= n - 3) AS f FROM (
+    SELECT *, count(*) OVER run AS size, max(i) OVER run AS stop FROM (SELECT *, i - row_number() OVER (PARTITION BY read_ix, f ORDER BY i) AS g FROM t8) WINDOW run AS (PARTITION BY read_ix, f, g))),
+flags AS (SELECT read_ix, n, i, f AS v FROM smooth)"""
+DECIDE = f"""whole AS (SELECT read_ix, n, list(id ORDER BY i) AS ids, count(*) FILTER (WHERE f) AS assigned FROM smooth GROUP BY ALL),
+gapped AS (SELECT w.*, coalesce(b.s, 0) AS s, coalesce(b.e, 0) AS e, n - assigned >= {SMALL.min_unassigned} AND assigned <= {SMALL.max_assigned} AS novel FROM whole w LEFT JOIN (SELECT read_ix, s, e FROM best) b USING (read_ix)),
+sides AS (
+  SELECT *, CASE WHEN n >= 15 AND s - 5 < 1 THEN 0 ELSE greatest(s - 1, 0) END AS a, CASE WHEN n >= 15 AND e + 5 >= n - 1 THEN n - 1 ELSE e + 1 END AS b,
+    CASE WHEN n < 15 THEN ids[1:s] ELSE ids[s - 4:s] END AS lefts, CASE WHEN n < 15 THEN ids[e + 2:n] ELSE ids[e + 2:e + 6] END AS rights FROM gapped),
+judged AS (
+  SELECT *, CASE WHEN n < 15 THEN (a = 0 OR len(lefts) > len(list_distinct(lefts))) AND (b = n - 1 OR len(rights) > len(list_distinct(rights)))
+    ELSE s - 5 < 1 OR len(lefts) > len(list_distinct(lefts)) OR e + 5 >= n - 1 OR len(rights) > len(list_distinct(rights)) END AS anchored FROM sides)"""
+ISLANDS = GAP[GAP.index("islands AS") :]
+
+
 def oracle_sql() -> dict[str, str]:
     skipped = " UNION ALL ".join(f"SELECT {i} AS seed_ix, '{p}' AS pattern, {len(p)} AS span, {p.count('1')} AS weight, '{','.join(str(j) for j, c in enumerate(p) if c == '0')}' AS skipped" for i, p in enumerate(SMALL.seeds))
     h, o = SMALL.patterns, SMALL.occupancy
@@ -412,6 +485,10 @@ def oracle_sql() -> dict[str, str]:
         "reservoir_upsert": _with(*static) + f"""SELECT id, count(*) AS slots, CAST(sum(n) AS BIGINT) AS writers, CAST(sum(code) AS BIGINT) AS code_sum FROM (
   SELECT seed_ix, code, max_by(block_id, c) FILTER (WHERE (xor(code * {h} + seed_ix, block_id) & 4294967295) % c = c - 1) AS id, count(*) AS n
   FROM (SELECT *, row_number() OVER (PARTITION BY seed_ix, code ORDER BY block_id) AS c FROM occurrences) GROUP BY seed_ix, code) GROUP BY id""",
+        "tile_smooth": _with(CLEAN, SMOOTH) + "SELECT read_ix, CAST(i AS INT) AS tile_ix, CAST(id AS BIGINT) AS id, f AS assigned FROM smooth",
+        "flank_eval": _with(CLEAN, SMOOTH, ISLANDS, DECIDE) + "SELECT read_ix, CAST(s AS INT) AS gap_start, CAST(e AS INT) AS gap_end, anchored, CAST(a AS INT) AS first, CAST(b AS INT) AS last FROM judged WHERE NOT novel AND assigned < n",
+        "read_decision": _with(CLEAN, SMOOTH, ISLANDS, DECIDE) + """SELECT read_ix, decision, CAST(CASE decision WHEN 'trimmed' THEN a ELSE 0 END AS INT) AS trim_start, CAST(CASE decision WHEN 'trimmed' THEN b WHEN 'untrimmed' THEN n - 1 ELSE 0 END AS INT) AS trim_end
+  FROM (SELECT *, CASE WHEN novel THEN 'untrimmed' WHEN assigned = n OR NOT anchored THEN 'drop' ELSE 'trimmed' END AS decision FROM judged)""",
         "longest_gap": _with(CLEAN, GAP) + "SELECT c.read_ix, CAST(coalesce(s, 0) AS INT) AS gap_start, CAST(coalesce(e, 0) AS INT) AS gap_end FROM clean c LEFT JOIN best USING (read_ix)",
         "trim_emit": _with(CLEAN, DECISIONS) + "SELECT * FROM pieces",
         "emit_fasta": _with(CLEAN, DECISIONS) + "SELECT '>' || header || chr(10) || seq AS value FROM pieces",
