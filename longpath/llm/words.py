@@ -1,7 +1,7 @@
 """Words of many texts at once, as two 64-bit hashes each.
 
-A text is UTF-8 bytes; a word is a maximal run of bytes outside a separator table. Every distinct word is hashed once a batch by a
-cryptographic hash (128 bits), so no structure of a word makes it collide. Equal words have equal hashes everywhere.
+A text is UTF-8 bytes; a word is a maximal run of bytes outside a separator table. The two hashes together hold a short word's bytes, or are
+a cryptographic hash of a long one, so no structure of words makes them collide. Equal words have equal hashes everywhere.
 """
 
 from __future__ import annotations
@@ -45,60 +45,78 @@ def not_alphanumeric() -> np.ndarray:
     return out
 
 
-class Lexicon(dict):
-    """Numbers words of one kind as they come, with two 64-bit hashes (of blake2b) each."""
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+SHORT = 16
+_long: dict[bytes, bytes] = {}
 
-    def __init__(self):
-        super().__init__()
-        self.raw = bytearray()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.raw += hashlib.blake2b(word, digest_size=16).digest()
-        return n
+def hashed_words(data: bytes, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes and two hashes of the words between spaces of data, which begins with one space and ends with 16 at least.
 
-    def empty(self) -> None:
-        self.clear()
-        self.raw = bytearray()
-
-    def hashes(self) -> np.ndarray:
-        return np.frombuffer(bytes(self.raw), U).reshape(-1, 2)
-
-
-_lexicons: dict[bytes, Lexicon] = {}
+    The bytes of a word of up to 16 are two numbers, mixed; a longer word is hashed by blake2b (of which ``most`` are remembered).
+    """
+    raw = np.frombuffer(data, np.uint8)
+    gap = raw == 32
+    turns = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = turns[0::2], turns[1::2]
+    size = ends - starts
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    low, high = eight[starts] & MASKS[np.minimum(size, 8)], eight[np.minimum(starts + 8, len(eight) - 1)] & MASKS[np.clip(size - 8, 0, 8)]
+    c = constants(41, 4)
+    h1 = mix(mix(low ^ c[0]) + high + size.astype(U) * c[1])
+    h2 = mix(mix(high ^ c[2]) + low * c[3] + size.astype(U))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        word = data[starts[i] : ends[i]]
+        found = _long.get(word)
+        if found is None:
+            if len(_long) >= most:
+                _long.clear()
+            found = _long[word] = hashlib.blake2b(word, digest_size=16).digest()
+        h1[i], h2[i] = np.frombuffer(found, U)
+    return starts, h1, h2
 
 
 class Texts:
     """The words of a slice of texts: the index of each text's first word, their counts, and two hashes of each word.
 
-    Separators must hold all ASCII white space. Texts are cut in stretches of ``step`` bytes at separators, so the memory for
-    words as objects is bounded by ``step`` and the longest word; ``most`` distinct words are remembered between slices.
+    Separators must hold the space. Texts are cut in stretches of about ``step`` bytes at separators, so the memory beside the hashes is bounded by
+    ``step`` and the longest word.
     """
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray, fold: bool, step: int = 1 << 20, most: int = 1 << 18):
+    def __init__(self, texts: pa.Array, separators: np.ndarray, fold: bool, step: int = 1 << 21):
         table = np.arange(256, dtype=np.uint8)
         if fold:
             table[65:91] += 32
         table[separators] = 32
         self._table, self._step = table.tobytes(), step
-        lexicon = _lexicons.setdefault(self._table, Lexicon())
-        counts, numbers, hashed = [], [], []
-        for x in texts.fill_null(""):
-            n = 0
-            for words in self._cut(x.as_buffer()):
-                numbers.append(np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words)))
-                n += len(words)
-                if len(lexicon) > most:
-                    hashed.append(lexicon.hashes()[np.concatenate(numbers)])
-                    numbers.clear()
-                    lexicon.empty()
-            counts.append(n)
-        if numbers:
-            hashed.append(lexicon.hashes()[np.concatenate(numbers)])
-        self.count = np.array(counts, np.int64)
+        self._found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = np.zeros(len(texts), np.int64)
+        waiting: list[bytes] = []
+        begin = size = 0
+        for i, x in enumerate(texts.fill_null("")):
+            raw = x.as_buffer()
+            if size + len(raw) > step:
+                self._take(waiting, begin)
+                waiting, begin, size = [], i, 0
+            if len(raw) > step:
+                for part in self._cut(raw):
+                    self._take([part], i)
+                begin = i + 1
+            else:
+                waiting.append(raw.to_pybytes())
+                size += len(raw) + 1
+        self._take(waiting, begin)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
-        both = np.concatenate(hashed) if hashed else np.empty((0, 2), U)
-        self.h1, self.h2 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+        self.h1, self.h2 = (np.concatenate([x[i] for x in self._found]) if self._found else np.empty(0, U) for i in (0, 1))
+        self._found.clear()
+
+    def _take(self, parts: list[bytes], at: int) -> None:
+        """Hashes these texts (or a stretch of one), which are those from number at on."""
+        if parts:
+            starts, h1, h2 = hashed_words((b" " + b" ".join(parts) + b" " * SHORT).translate(self._table))
+            ends = np.cumsum([len(x) + 1 for x in parts]) + 1
+            self.count[at : at + len(parts)] += np.diff(np.searchsorted(starts, np.concatenate(([0], ends))))
+            self._found.append((h1, h2))
 
     def _cut(self, raw: pa.Buffer):
         at, size = 0, len(raw)
@@ -112,7 +130,7 @@ class Texts:
                     break
                 end = min(at + 2 * (end - at), size)  # a word longer than the step
                 part = raw.slice(at, end - at).to_pybytes().translate(self._table)
-            yield part.split()
+            yield part
             at = end
 
 

@@ -147,9 +147,16 @@ def test_words_of_long_texts():
     from longpath.llm.words import Texts, white_space
 
     texts = pa.array(["ab cd\tef" * 50, None, "x" * 100 + " y", "", " \n"])
-    whole, cut = Texts(texts, white_space(), False), Texts(texts, white_space(), False, step=7, most=2)
+    whole, cut = Texts(texts, white_space(), False), Texts(texts, white_space(), False, step=7)
     assert whole.count.tolist() == cut.count.tolist() == [101, 0, 2, 0, 0]
     assert (whole.h1 == cut.h1).all() and (whole.h2 == cut.h2).all() and len(set(whole.h1.tolist())) == 6
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("ab\x00é") for _ in range(rng.randint(1, 24))) for _ in range(rng.randint(0, 300))) for _ in range(40)]
+    t = Texts(pa.array(texts), white_space(), False, step=900)
+    words = [w for x in texts for w in x.encode().split()]
+    assert t.count.tolist() == [len(x.split(" ")) if x else 0 for x in texts] and len(t.h1) == len(words)
+    for h in (t.h1, t.h2):
+        assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
 
 
 def test_substrings_empty(no_documents):
