@@ -25,10 +25,11 @@ def block_ids(reads: DataFrame, config: PathConfig) -> DataFrame:
     ).select("read_ix", F.col("first_tile").cast("int").alias("first_tile"), (F.col("stop") - 1).alias("last_tile"), "block_id")
 
 
-def running(sized: DataFrame, parts: int = 256) -> DataFrame:
-    """sized (read_ix, ids, ...) with before, the sum of ids over smaller read_ix: sums by range, then within ranges."""
-    low, high = sized.agg(F.min("read_ix")).scalar(), sized.agg(F.max("read_ix")).scalar()
-    ranged = sized.withColumn("part", F.floor((F.col("read_ix") - low) * parts / (high - low + 1)).cast("int"))
+def running(sized: DataFrame, bounds: tuple[int, int] | None = None, parts: int = 256) -> DataFrame:
+    """sized (read_ix, ids, ...) with before, the sum of ids over smaller read_ix: sums by range, then within ranges, of one exchange."""
+    low, high = bounds or sized.agg(F.min("read_ix"), F.max("read_ix")).first()
+    low, high = low or 0, high or 0
+    ranged = sized.withColumn("part", F.floor((F.col("read_ix") - low) * parts / (high - low + 1)).cast("int")).repartition("part")
     sums = ranged.groupBy("part").agg(F.sum("ids").alias("s"))
     offset = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("offset"))  # at most parts rows
     inside = F.sum("ids").over(Window.partitionBy("part").orderBy("read_ix")) - F.col("ids")
@@ -107,3 +108,28 @@ def lookup(probed: DataFrame, config: PathConfig, allowed_misses: int = 0) -> Da
     """Distinct ids of frames with at most so many patterns missing."""
     per_frame = probed.groupBy("read_ix", "tile_ix", "frame_ix").agg(F.count_if(F.col("id") == 0).alias("misses"), F.collect_set(F.when(F.col("id") != 0, F.col("id"))).alias("ids"))
     return per_frame.where(F.col("misses") <= allowed_misses).select("read_ix", "tile_ix", "frame_ix", "ids")
+
+
+def set_if_empty(index: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """index (seed_ix, code, id) and, of occurrences (seed_ix, code, block_id), the least block of each code that is not in it."""
+    key = ["seed_ix", "code"]
+    new = occurrences.join(index.select(*key).hint("merge"), key, "left_anti").groupBy(*key).agg(F.min("block_id").alias("id"))
+    return index.select(*key, "id").unionByName(new)
+
+
+def solid(index: DataFrame, least: int = 2) -> DataFrame:
+    """The codes of an index that at least so many blocks wrote: what an insertion of solid k-mers only would hold."""
+    return index.where(F.col("n") >= least)
+
+
+def saturated(index: DataFrame, most: int) -> DataFrame:
+    """index with saturated: more than most blocks wrote the code, so its id stands for none of them."""
+    return index.withColumn("saturated", F.col("n") > most)
+
+
+def population(index: DataFrame, config: PathConfig, slots: int, most: int) -> DataFrame:
+    """A row a pattern: codes, used slots of a bit vector of so many, their share, saturated codes, and ids that are not positive."""
+    slot = F.pmod(F.col("code") * config.patterns + F.col("seed_ix"), F.lit(slots))
+    return saturated(index, most).groupBy("seed_ix").agg(
+        F.count("*").alias("codes"), F.count_distinct(slot).alias("used"), F.round(F.count_distinct(slot) / slots, 12).alias("occupancy"), F.count_if("saturated").alias("saturated"), F.count_if(F.col("id") <= 0).alias("abnormal")
+    )

@@ -13,7 +13,8 @@ A place is (tile * tile size + frame) * patterns + pattern.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,29 @@ from longpath.plans.config import PathConfig
 INDEX = "bucket int, keys array<bigint>, ids array<bigint>, writers array<bigint>, frames bigint"
 
 
-def based(reads: DataFrame, config: PathConfig) -> DataFrame:
+@dataclass(frozen=True)
+class Extent:
+    """Least and greatest read_ix, and the number of buckets for all frames of the reads."""
+
+    low: int
+    high: int
+    buckets: int
+    bucket_rows: int
+
+
+def extent(reads: DataFrame, config: PathConfig, bucket_rows: int = 2_000_000) -> Extent:
+    low, high, bases = reads.agg(F.min("read_ix"), F.max("read_ix"), F.sum(F.length("seq").cast("long"))).first()
+    buckets = max(reads.sparkSession.sparkContext.defaultParallelism, -(-(bases or 0) * config.patterns // bucket_rows))
+    return Extent(low or 0, high or 0, buckets, bucket_rows)
+
+
+def based(reads: DataFrame, config: PathConfig, size: Extent) -> DataFrame:
     """read_ix, seq and before: the number of ids that reads of smaller read_ix take when all are inserted whole, in order."""
     ids = (F.floor(F.length("seq") / (config.tile * config.block)) + 1).cast("long")
-    numbers = running(reads.select("read_ix", ids.alias("ids"))).select("read_ix", "before")
+    numbers = running(reads.select("read_ix", ids.alias("ids")), (size.low, size.high)).select("read_ix", "before")
     return reads.select("read_ix", "seq").join(numbers, "read_ix")
 
 
-def bucket_count(reads: DataFrame, config: PathConfig, bucket_rows: int) -> int:
-    frames = (reads.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0) * config.patterns
-    return max(reads.sparkSession.sparkContext.defaultParallelism, -(-frames // bucket_rows))
-
-
 def _keys(seq: str | None, config: PathConfig, patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all frames of a read, and their places."""
     per_tile = tile_codes((seq or "").encode(), config, patterns)
@@ -55,6 +67,31 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that gathers keys by bucket, the buckets, and where each begins."""
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+    cut = _cuts(bucket[order])
+    return order, bucket[order][cut[:-1]], cut
+
+
+def _once_a_block(keys: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (block, key) and how often each stands; block does not descend."""
+    if not len(keys):
+        return (np.empty(0, np.int64),) * 3
+    bits = int(keys.max()).bit_length()
+    if bits + int(block[-1] - block[0]).bit_length() < 63:
+        both = np.sort((block - block[0]) << bits | keys)
+        keys, block = both & ((1 << bits) - 1), (both >> bits) + block[0]
+    else:
+        order = np.lexsort((keys, block))
+        keys, block = keys[order], block[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(new)
+    return keys[at], block[at], np.diff(np.append(at, len(keys)))
+
+
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
@@ -74,30 +111,29 @@ def _merged(keys: np.ndarray, ids: np.ndarray, writers: np.ndarray, frames: np.n
     return keys[at], np.minimum.reduceat(ids[order], at), np.add.reduceat(writers[order], at), np.add.reduceat(frames[order], at)
 
 
-def occurrences(reads: DataFrame, config: PathConfig, buckets: int, reduce: bool = True) -> DataFrame:
-    """bucket, keys, ids (blocks), writers and frames: what a batch of reads (read_ix, seq, before) writes, key by key, or block by block."""
+def occurrences(reads: DataFrame, config: PathConfig, size: Extent, reduce: bool = True, step: int = 1 << 21) -> DataFrame:
+    """bucket, keys, ids (blocks), writers and frames: what about step frames of reads (read_ix, seq, before) write, key by key, or block by block."""
     patterns = config.seeds
 
+    def packed(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        columns = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = _merged(*columns) if reduce else columns
+        order, bucket, cut = _by_bucket(columns[0], size.buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[_lists(c[order], cut, pa.int64()) for c in columns]], names=["bucket", "keys", "ids", "writers", "frames"])
+
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
-            parts: list[tuple] = []
-            for seq, before in zip(batch.column("seq").to_pylist(), batch.column("before").to_pylist(), strict=True):
-                keys, places = _keys(seq, config, patterns)
-                block = before + 1 + places // (len(patterns) * config.tile * config.block)
-                order = np.lexsort((keys, block))
-                keys, block = keys[order], block[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])  # a key counts once a block
-                at = np.flatnonzero(new)
-                parts.append((keys[at], block[at], np.ones(len(at), np.int64), np.diff(np.append(at, len(keys)))))
-            if not parts:
-                continue
-            columns = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-            columns = _merged(*columns) if reduce else columns
-            bucket = _bucket(columns[0], buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = _cuts(bucket[order])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut[:-1]], pa.int32()), *[_lists(c[order], cut, pa.int64()) for c in columns]], names=["bucket", "keys", "ids", "writers", "frames"])
+            for seq, before in zip(batch.column("seq"), batch.column("before").to_pylist(), strict=True):
+                keys, places = _keys(seq.as_py(), config, patterns)
+                keys, block, frames = _once_a_block(keys, before + 1 + places // (len(patterns) * config.tile * config.block))
+                parts.append((keys, block, np.ones(len(keys), np.int64), frames))
+                held += len(keys)
+                if held >= step:
+                    yield from packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from packed(parts)
 
     return even(reads).mapInArrow(run, "bucket int, keys array<bigint>, ids array<bigint>, writers array<bigint>, frames array<bigint>")
 
@@ -117,34 +153,39 @@ def first_writers(written: DataFrame) -> DataFrame:
     return written.groupBy("bucket").applyInArrow(run, INDEX)
 
 
+def solid(index: DataFrame, least: int = 2) -> DataFrame:
+    """Index rows with only the codes that at least so many blocks wrote."""
+    rows = F.filter(F.arrays_zip("keys", "ids", "writers"), lambda x: x["writers"] >= least)
+    return index.select("bucket", *[rows[c].alias(c) for c in ("keys", "ids", "writers")], "frames")
+
+
 def entries(index: DataFrame, config: PathConfig) -> DataFrame:
     """seed_ix, code, id and n of index rows."""
     rows = index.select(F.inline(F.arrays_zip("keys", "ids", "writers")))
     return rows.select((F.col("keys") % config.patterns).cast("int").alias("seed_ix"), F.expr(f"keys div {config.patterns}").alias("code"), F.col("ids").alias("id"), F.col("writers").alias("n"))
 
 
-def sent(reads: DataFrame, config: PathConfig, buckets: int) -> DataFrame:
+def sent(reads: DataFrame, config: PathConfig, size: Extent) -> DataFrame:
     """bucket, read_ix, keys and places of each read's frames."""
     patterns = config.seeds
 
     def run(batches):
         for batch in batches:
-            for read_ix, seq in zip(batch.column("read_ix").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                keys, places = _keys(seq, config, patterns)
-                bucket = _bucket(keys, buckets)
-                order = np.argsort(bucket, kind="stable")
-                cut = _cuts(bucket[order])
+            for read_ix, seq in zip(batch.column("read_ix").to_pylist(), batch.column("seq"), strict=True):
+                keys, places = _keys(seq.as_py(), config, patterns)
+                order, bucket, cut = _by_bucket(keys, size.buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[order][cut[:-1]], pa.int32()), pa.array(np.full(len(cut) - 1, read_ix), pa.int64()), _lists(keys[order], cut, pa.int64()), _lists(places[order], cut, pa.int32())], names=["bucket", "read_ix", "keys", "places"]
+                    [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), read_ix), pa.int64()), _lists(keys[order], cut, pa.int64()), _lists(places[order], cut, pa.int32())], names=["bucket", "read_ix", "keys", "places"]
                 )
 
     return even(reads.select("read_ix", "seq")).mapInArrow(run, "bucket int, read_ix bigint, keys array<bigint>, places array<int>")
 
 
-def answered(reads: DataFrame, index: DataFrame, config: PathConfig, buckets: int, bucket_rows: int) -> DataFrame:
+def answered(reads: DataFrame, index: DataFrame, config: PathConfig, size: Extent) -> DataFrame:
     """read_ix, places and ids (0 for none): the frames of reads, looked up in index rows (of the same number of buckets)."""
+    bucket_rows = size.bucket_rows
     splits = index.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("frames") / bucket_rows)).cast("int").alias("parts"))
-    asked = sent(reads, config, buckets).join(F.broadcast(splits), "bucket", "left")  # a row a bucket
+    asked = sent(reads, config, size).join(F.broadcast(splits), "bucket", "left")  # a row a bucket
     asked = asked.select("bucket", F.pmod(F.xxhash64("read_ix"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int").alias("part"), "read_ix", "keys", "places")
     parts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("frames") / bucket_rows)).cast("int") - 1)
     known = index.select("bucket", F.explode(parts).alias("part"), "keys", "ids")
@@ -232,3 +273,18 @@ def counters(found: DataFrame, config: PathConfig) -> DataFrame:
     """One row: queries (frames), hits and misses (slots); nothing goes back to its read."""
     rows = found.select(F.size("ids").cast("long").alias("slots"), F.size(F.filter("ids", lambda x: x != 0)).cast("long").alias("hit"))
     return rows.agg((F.sum("slots") / config.patterns).cast("long").alias("queries"), F.sum("hit").alias("hits"), (F.sum("slots") - F.sum("hit")).alias("misses"))
+
+
+def lookup(found: DataFrame, config: PathConfig, allowed_misses: int = 0) -> DataFrame:
+    """read_ix, tile_ix, and how many frames have at most so many patterns without an id, with their number of different ids (once a frame)."""
+    h, tile = config.patterns, config.tile
+
+    def f(places: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+        per_frame = np.sort(ids.reshape(-1, h), axis=1)
+        known = (per_frame != 0).sum(1) >= h - allowed_misses
+        different = (per_frame[:, :1] != 0).sum(1) + ((per_frame[:, 1:] != per_frame[:, :-1]) & (per_frame[:, 1:] != 0)).sum(1)
+        of = places[::h] // h // tile
+        cut = _cuts(of)
+        return {"tile_ix": of[cut[:-1]].astype(np.int32), "frames": np.add.reduceat(known.astype(np.int64), cut[:-1]), "ids": np.add.reduceat(np.where(known, different, 0), cut[:-1])}
+
+    return by_read(found, f, "tile_ix int, frames bigint, ids bigint")

@@ -31,14 +31,20 @@ class PathConfig:
         for name in ("span", "weight", "patterns", "tile", "block"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} has to be positive")
-        if self.weight > 31:
-            raise ValueError("codes hold at most 31 selected bases")
+        if self.weight > 31 or self.patterns << (2 * self.weight) >= 1 << 63:
+            raise ValueError("codes hold at most 31 selected bases (with several patterns, 30)")
         if self.preset:
             if len(self.preset) != self.span:
                 raise ValueError("the seed preset has to be as long as the span")
             if self.preset.count("1") != self.weight:
                 raise ValueError("the seed preset has to have as many ones as the weight")
 
+    def for_run(self) -> PathConfig:
+        """Itself, if it can run over a read set: that needs a genome size."""
+        if self.genome_size < 1:
+            raise ValueError("the genome size has to be positive")
+        return self
+
     @property
     def target_bases(self) -> int:
         return int(self.ratio * self.genome_size)

@@ -14,6 +14,7 @@ from longpath.plans import pipeline
 from longpath.plans.config import SMALL
 from longpath.sources import fastq
 from longpath.sources.derived import derived_reads, reads_sql
+from longpath.sources.files import shared_folder
 
 TARGET = 100_000  # genome size for paths that roll over, in tests of sf0.001
 
@@ -33,7 +34,32 @@ def _excluded(spark, sf_dir) -> DataFrame:
 
 
 def read_scan(spark, sf_dir):
-    return _reads(spark, sf_dir)
+    """All reads, written as FASTQ and read by the FASTQ source."""
+    folder = shared_folder(spark, "reads")
+    fastq.write_fastq(_reads(spark, sf_dir).where("qual <> '' AND seq NOT LIKE concat('%', chr(10), '%')").withColumnRenamed("id", "header"), folder)
+    return fastq.read_fastq(spark, folder, suffixes=".txt").select("id", "seq", "qual")
+
+
+def exclusion_scan(spark, sf_dir):
+    """The reads that pass without those of a list, written as text and read by the list reader."""
+    folder = shared_folder(spark, "exclusions")
+    names = _excluded(spark, sf_dir).select(F.col("id").alias("value"))
+    names.write.mode("overwrite").text(folder)
+    return qc.passing(_reads(spark, sf_dir), SMALL, fastq.read_exclusions(spark, folder)).select("id", "len")
+
+
+def path_files(spark, sf_dir):
+    """Emitted pieces, written as FASTQ path by path and read back."""
+    folder = shared_folder(spark, "paths")
+    fastq.write_paths(_fixed_pieces(spark, sf_dir), folder, fasta=False)
+    return fastq.read_paths(spark, folder).select("path_no", F.col("id").alias("header"), "seq", "qual")
+
+
+def fasta_files(spark, sf_dir):
+    """Lines of the emitted pieces' FASTA files."""
+    folder = shared_folder(spark, "fasta")
+    fastq.write_paths(_fixed_pieces(spark, sf_dir), folder, fasta=True)
+    return spark.read.text(folder).groupBy("path_no", "value").agg(F.count("*").alias("n"))
 
 
 def phred_decode(spark, sf_dir):
@@ -121,19 +147,16 @@ def bloom_math(spark, sf_dir):
                        nine(bloom.optimal_hashes(bits, F.col("entries"))).alias("best_hashes"), nine(bloom.frame_match_probability(F.col("occ"), F.lit(0.01), h)).alias("match"))
 
 
-BUCKET_ROWS = 2_000_000
-
-
 def _index(spark, sf_dir):
-    """Clean reads, the number of buckets, and the index rows after all of them were inserted whole."""
+    """Clean reads, their extent, and the index rows after all of them were inserted whole."""
     reads = _clean(spark, sf_dir)
-    buckets = probe.bucket_count(reads, SMALL, BUCKET_ROWS)
-    return reads, buckets, probe.first_writers(probe.occurrences(probe.based(reads, SMALL), SMALL, buckets))
+    size = probe.extent(reads, SMALL)
+    return reads, size, probe.first_writers(probe.occurrences(probe.based(reads, SMALL, size), SMALL, size))
 
 
 def _answered(spark, sf_dir):
-    reads, buckets, idx = _index(spark, sf_dir)
-    return probe.answered(reads, idx, SMALL, buckets, BUCKET_ROWS)
+    reads, size, idx = _index(spark, sf_dir)
+    return probe.answered(reads, idx, SMALL, size)
 
 
 def _counts(spark, sf_dir):
@@ -172,6 +195,29 @@ def probe_counters(spark, sf_dir):
     return probe.counters(_answered(spark, sf_dir), SMALL)
 
 
+def frame_lookup(spark, sf_dir):
+    """With one miss allowed, in an index of solid codes: those of two blocks at least."""
+    reads, size, idx = _index(spark, sf_dir)
+    return probe.lookup(probe.answered(reads, probe.solid(idx), SMALL, size), SMALL, 1)
+
+
+def solid_insert(spark, sf_dir):
+    return index.id_frequencies(index.solid(probe.entries(_index(spark, sf_dir)[2], SMALL)))
+
+
+def set_if_empty(spark, sf_dir):
+    """An index of the blocks of even number, into which all others write where nothing stands."""
+    reads = _clean(spark, sf_dir)
+    size = probe.extent(reads, SMALL)
+    rows = probe.entries(probe.occurrences(probe.based(reads, SMALL, size), SMALL, size, reduce=False), SMALL).select("seed_ix", "code", F.col("id").alias("block_id"), (F.col("id") % 2 == 0).alias("even"))
+    half = rows.where("even").groupBy("seed_ix", "code").agg(F.min("block_id").alias("id"))
+    return index.set_if_empty(half, rows.where("not even")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def index_population(spark, sf_dir):
+    return index.population(probe.entries(_index(spark, sf_dir)[2], SMALL), SMALL, SLOTS, 3)
+
+
 def id_frequencies(spark, sf_dir):
     return index.id_frequencies(probe.entries(_index(spark, sf_dir)[2], SMALL))
 
@@ -179,8 +225,8 @@ def id_frequencies(spark, sf_dir):
 def reservoir_upsert(spark, sf_dir):
     """What the index has after reservoir writing, summed by id."""
     reads = _clean(spark, sf_dir)
-    buckets = probe.bucket_count(reads, SMALL, BUCKET_ROWS)
-    rows = probe.entries(probe.occurrences(probe.based(reads, SMALL), SMALL, buckets, reduce=False), SMALL)
+    size = probe.extent(reads, SMALL)
+    rows = probe.entries(probe.occurrences(probe.based(reads, SMALL, size), SMALL, size, reduce=False), SMALL)
     rows = index.reservoir_index(rows.select("seed_ix", "code", F.col("id").alias("block_id")), SMALL)
     return rows.groupBy("id").agg(F.count("*").alias("slots"), F.sum("n").alias("writers"), F.sum("code").alias("code_sum"))
 
@@ -295,7 +341,7 @@ def silver_then_golden(spark, sf_dir):
 
 
 NAMES = (
-    read_scan, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
+    read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
     kmer_spectrum, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
     reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
@@ -452,7 +498,16 @@ def oracle_sql() -> dict[str, str]:
     n = f"(length(seq) - {SMALL.span - 1})"
     bits = f"CAST(floor(round(-{n} * {h} / ln(1.0 - {o}), 6)) AS BIGINT)"
     return {
-        "read_scan": _with() + "SELECT * FROM reads",
+        "read_scan": _with() + "SELECT id, seq, qual FROM reads WHERE qual <> '' AND NOT contains(seq, chr(10))",
+        "exclusion_scan": _with(_measured()) + "SELECT id, len FROM passing WHERE id NOT IN (SELECT 'r' || doc_id FROM labels WHERE toxic = 1)",
+        "path_files": _with(CLEAN, DECISIONS) + "SELECT path_no, header, seq, qual FROM pieces",
+        "fasta_files": _with(CLEAN, DECISIONS) + "SELECT path_no, value, count(*) AS n FROM (SELECT path_no, '>' || header AS value FROM pieces UNION ALL SELECT path_no, seq FROM pieces) GROUP BY ALL",
+        "frame_lookup": _with(*static, INDEX) + f"""SELECT read_ix, tile_ix, count(*) FILTER (WHERE hit >= {h - 1}) AS frames, CAST(coalesce(sum(ids) FILTER (WHERE hit >= {h - 1}), 0) AS BIGINT) AS ids FROM (
+  SELECT read_ix, tile_ix, frame_ix, count(id) AS hit, count(DISTINCT id) AS ids FROM frames LEFT JOIN (SELECT * FROM idx WHERE n >= 2) USING (seed_ix, code) GROUP BY ALL) GROUP BY ALL""",
+        "solid_insert": _with(*static, INDEX) + "SELECT id, count(*) AS n FROM idx WHERE n >= 2 GROUP BY id",
+        "set_if_empty": _with(*static) + "SELECT id, count(*) AS n FROM (SELECT coalesce(min(block_id) FILTER (WHERE block_id % 2 = 0), min(block_id)) AS id FROM occurrences GROUP BY seed_ix, code) GROUP BY id",
+        "index_population": _with(*static, INDEX) + f"""SELECT seed_ix, count(*) AS codes, count(DISTINCT (code * {h} + seed_ix) % {SLOTS}) AS used, round(count(DISTINCT (code * {h} + seed_ix) % {SLOTS}) / {SLOTS}, 12) AS occupancy,
+  count(*) FILTER (WHERE n > 3) AS saturated, count(*) FILTER (WHERE id <= 0) AS abnormal FROM idx GROUP BY seed_ix""",
         "phred_decode": _with() + "SELECT q, count(*) AS n, round(pow(10.0, -q / 10.0), 12) AS error FROM (SELECT CAST(ord(unnest(string_split(qual, ''))) - 33 AS INT) AS q FROM reads) GROUP BY q",
         "phred_mean": _with(_measured()) + "SELECT read_ix, phred FROM measured",
         "phred_delta": _with(_measured()) + "SELECT read_ix, delta FROM measured",

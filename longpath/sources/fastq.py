@@ -65,6 +65,7 @@ def first_record(f, begin: int, size: int) -> int:
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitbytes", 64 << 20))
+        self.suffixes = tuple(options.get("suffixes", ".fq,.fastq").split(","))
 
     def partitions(self) -> list[ByteRange]:
         from pyarrow import fs
@@ -73,7 +74,7 @@ class FastqReader(DataSourceReader):
         info = system.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        files = [info] if info.type == fs.FileType.File else [x for x in system.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File and x.base_name.endswith((".fq", ".fastq"))]
+        files = [info] if info.type == fs.FileType.File else [x for x in system.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File and x.base_name.endswith(self.suffixes)]
         out = []
         for number, x in enumerate(sorted(files, key=lambda x: x.path)):
             out += [ByteRange(x.path, number, a, min(a + self.split, x.size)) for a in range(0, x.size, self.split)]
@@ -127,9 +128,27 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20, suffixes: str = ".fq,.fastq") -> DataFrame:
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("splitbytes", split_bytes).load(path)
+    return spark.read.format("fastq").option("splitbytes", split_bytes).option("suffixes", suffixes).load(path)
+
+
+def read_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """path_no and the reads of FASTQ paths that write_paths() wrote, path by path (a few)."""
+    system, path = _filesystem(folder)
+    from pyarrow import fs
+
+    numbers = sorted(int(x.base_name.split("=")[1]) for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.startswith("path_no="))
+    out = None
+    for n in numbers:
+        rows = read_fastq(spark, f"{folder}/path_no={n}", suffixes=".txt").select(F.lit(n).alias("path_no"), "read_ix", "id", "seq", "qual")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], f"path_no int, {SCHEMA}")
+
+
+def write_fastq(rows: DataFrame, folder: str) -> None:
+    """Rows (header, seq, qual) as FASTQ text, a file a partition."""
+    fastq_text(rows).write.mode("overwrite").text(folder)
 
 
 def find_reads(prefix: str) -> str:
