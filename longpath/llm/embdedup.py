@@ -1,20 +1,22 @@
-"""Near-duplicate vectors: balls of near copies, then every pair of balls of a label.
+"""Near-duplicate vectors by a forest of random-projection trees, with crowds of near copies taken out before.
 
 Vectors link when their labels are equal and not null and their cosine (double precision) is at least ``least``.
 
 1. Equal vectors of a label are one class, kept once with its size.
-2. Balls. Classes are dealt to the leaves of one tree, and within a leaf to parts of at most ``part`` rows. In a part,
-   classes within half of the linking angle of a centre join its ball. Any two vectors of a ball are linked, by the triangle
-   inequality of angles, so a crowd of near copies becomes a few balls and its pairs are never listed.
-   A ball of fewer than ``heavy`` members is dissolved into single vectors.
-3. Comparison. The balls of a label and dimension are dealt to blocks of about ``block`` vectors, and every pair of blocks meets
-   in one task, so every pair of vectors is compared once (as vectors, or by their balls). If even the farthest members of two balls are
-   within the linking angle, all pairs link and are counted by the product of sizes; if some may be, their members are compared.
-   Only counts and, for each pair of blocks, a spanning forest of its links come out; linked pairs are never listed.
-4. Union: components of balls by alternating large-star and small-star.
-
-No link is missed. The price is a number of comparisons that grows with the square of a label's balls.
-Vectors that are null, zero, empty, hold null or non-finite components, or have a null label link with nothing and are their own
+2. Crowds. A bounded sample of ``sample`` classes (of at most ``sample_bytes``) shows where many vectors lie close together: a
+   sampled vector that links with ``crowd`` others of the sample is a centre, unless an earlier one covers it. A class within
+   the linking angle of a centre is a member of the nearest such centre's crowd. All its links lie within twice that angle of the
+   centre; classes there that are not members visit the crowd as guests. Members are compared with members and guests, block
+   against block, so no link of a member is missed, and splits never run through a crowd. Within a crowd, classes in half of the linking angle of
+   each other form balls, whose pairs all link (triangle inequality of angles) and are counted, not listed.
+3. Forest, for all classes that are no members: ``trees`` trees of random splits at the median, with a spill of +-``spill`` quantiles
+   going both ways. The upper levels get their quantiles from the sample; directions come from a seed, so tasks make them again
+   instead of receiving them. Leaves of more than ``limit`` rows of a label are split on in Spark rounds, on quantiles of their own, whatever the size
+   of the table. Classes are compared within leaves, and links found in several trees count once.
+4. Union: components of balls and single classes by alternating large-star and small-star.
+
+Every pair found is verified by its cosine, none below ``least`` links. Links of crowds are complete; in the forest a link is missed if every
+tree parts it. Vectors that are null, zero, empty, hold null or non-finite components, or have a null label link with nothing and are their own
 components. Null ids: counted as vectors, component_id is the least id there is. Repeated rows are vectors of their own, linked to each other.
 """
 
@@ -24,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from longpath.llm.common import stored
+from longpath.llm.common import drop_stored, stored
 from longpath.llm.components import components
 from longpath.llm.topk import usable
 
@@ -34,30 +37,42 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+_directions: dict[tuple, np.ndarray] = {}
+
+
+def direction(dim: int, *key: int) -> np.ndarray:
+    """A random unit vector, the same wherever the key is the same."""
+    if (dim, *key) not in _directions:
+        if len(_directions) * dim > 1 << 21:
+            _directions.clear()
+        x = np.random.default_rng([dim, *(k & 0xFFFFFFFFFFFFFFFF for k in key)]).normal(size=dim)
+        _directions[(dim, *key)] = x / np.sqrt(x @ x)
+    return _directions[(dim, *key)]
+
+
 class Tree:
-    """Recursive random splits: at each node a direction and the quantiles 0.5 - spill, 0.5, 0.5 + spill of its sample."""
+    """Recursive random splits: each node has the quantiles 0.5 - spill, 0.5 + spill of its sample along its direction."""
 
-    def __init__(self, sample: np.ndarray, leaf: int, spill: float, rng: np.random.Generator):
-        self.nodes: list[tuple[np.ndarray, float, float, float, int, int]] = []
+    def __init__(self, sample: np.ndarray, leaf: int, spill: float, seed: int):
+        self.dim, self.seed = sample.shape[1], seed
+        self.nodes: list[tuple[float, float, int, int]] = []
         self.leaves = 0
-        self.root = self._grow(sample, leaf, spill, rng)
+        self.root = self._grow(sample, leaf, spill)
 
-    def _grow(self, x: np.ndarray, leaf: int, spill: float, rng: np.random.Generator) -> int:
+    def _grow(self, x: np.ndarray, leaf: int, spill: float) -> int:
         if len(x) > leaf:
-            direction = rng.normal(size=x.shape[1])
-            direction /= np.sqrt(direction @ direction)
-            p = x @ direction
+            at = len(self.nodes)
+            p = x @ direction(self.dim, self.seed, at)
             low, mid, high = np.quantile(p, [0.5 - spill, 0.5, 0.5 + spill])
             left, right = x[p < mid], x[p >= mid]
             if len(left) and len(right):
-                at = len(self.nodes)
                 self.nodes.append(None)
-                self.nodes[at] = (direction, low, mid, high, self._grow(left, leaf, spill, rng), self._grow(right, leaf, spill, rng))
+                self.nodes[at] = (low, high, self._grow(left, leaf, spill), self._grow(right, leaf, spill))
                 return at
         self.leaves += 1
         return -self.leaves
 
-    def place(self, x: np.ndarray, both_ways: bool) -> tuple[np.ndarray, np.ndarray]:
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all rows; a row that spills is in several leaves."""
         rows, leaves, todo = [], [], [(self.root, np.arange(len(x)))]
         while todo:
@@ -68,10 +83,10 @@ class Tree:
                 rows.append(at)
                 leaves.append(np.full(len(at), -node))
                 continue
-            direction, low, mid, high, a, b = self.nodes[node]
-            p = x[at] @ direction
-            todo.append((a, at[p <= high if both_ways else p < mid]))
-            todo.append((b, at[p >= low if both_ways else p >= mid]))
+            low, high, a, b = self.nodes[node]
+            p = x[at] @ direction(self.dim, self.seed, node)
+            todo.append((a, at[p <= high]))
+            todo.append((b, at[p >= low]))
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -80,22 +95,91 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _forest(rows: DataFrame, sample: int, leaf_rows: int, total: int, trees: int, spill: float, seed: int) -> dict[int, list[Tree]]:
-    """Trees by dimension, fitted on at most sample rows."""
-    found = rows.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow()
-    by_dim: dict[int, list] = {}
-    for x in found.column("v").to_pylist():
-        by_dim.setdefault(len(x), []).append(x)
-    out = {}
-    for dim, part in sorted(by_dim.items()):
-        x = unit(np.array(part, np.float64))
-        leaf = max(4, int(leaf_rows * found.num_rows / max(total, 1)))
-        out[dim] = [Tree(x, leaf, spill, np.random.default_rng(seed + i)) for i in range(trees)]
-    return out
+def crowded(x: np.ndarray, least: float, crowd: int, strip: int = 512) -> np.ndarray:
+    """Centres: vectors that link with crowd others, most links first, unless they link with an earlier centre."""
+    links = np.concatenate([(x[i : i + strip] @ x.T >= least).sum(1) for i in range(0, len(x), strip)]) - 1
+    covered, found = np.zeros(len(x), bool), []
+    for i in np.argsort(-links, kind="stable"):
+        if links[i] < crowd:
+            break
+        if not covered[i]:
+            found.append(i)
+            covered |= x @ x[i] >= least
+    return x[found]
+
+
+class Plan:
+    """Centres by dimension and label, and trees by dimension, fitted on the sample: what every task knows."""
+
+    def __init__(self, labels: list, vectors: list, total: int, least: float, crowd: int, trees: int, spill: float, leaf_rows: int, seed: int):
+        self.angle = float(np.arccos(least))
+        self.centres: dict[tuple[int, object], tuple[int, np.ndarray]] = {}  # with the number of the first
+        self.trees: dict[int, list[Tree]] = {}
+        by: dict[int, dict[object, list]] = {}
+        for label, v in zip(labels, vectors, strict=True):
+            by.setdefault(len(v), {}).setdefault(label, []).append(v)
+        n = 0
+        for dim, groups in sorted(by.items()):
+            rest, share = [], []
+            for label, part in sorted(groups.items(), key=lambda x: repr(x[0])):
+                x = unit(np.array(part, np.float64))
+                centres = crowded(x, least, crowd)
+                if len(centres):
+                    self.centres[dim, label] = n, centres
+                    n += len(centres)
+                    x = x[(x @ centres.T < least).all(1)]
+                rest.append(x)
+                share.append(len(x))
+            rest, share = np.concatenate(rest), np.array(share) / max(sum(share), 1)
+            # a leaf holds about leaf_rows rows of a label
+            leaf = max(4, int(leaf_rows * len(vectors) / max(total, 1) / max(float(share @ share), 1e-3)))
+            self.trees[dim] = [Tree(rest, leaf, spill, seed + i) for i in range(trees)] if len(rest) else []
+
+    def crowds(self, dim: int, label: object, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The crowd each row is a member of (-1: none), and (row, crowd) of visits."""
+        first, centres = self.centres.get((dim, label), (0, None))
+        none = np.empty(0, np.int64)
+        if centres is None:
+            return np.full(len(x), -1), none, none
+        away = np.arccos(np.clip(x @ centres.T, -1, 1))
+        nearest = away.argmin(1)
+        home = np.where(away[np.arange(len(x)), nearest] <= self.angle, nearest, -1)
+        row, to = np.nonzero(away <= 2 * self.angle + 1e-6)
+        # a pair of members of two crowds is compared in the one of smaller number
+        visit = (to != home[row]) & ((home[row] < 0) | (to < home[row]))
+        return np.where(home < 0, -1, home + first), row[visit], to[visit] + first
+
+
+def _with(schema: T.StructType, **more: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in more.items()]])
+
+
+def _crowds(rows: DataFrame, plan: Plan) -> DataFrame:
+    """rows (label, v, ...) with crowd and guest: once as they are (crowd -1: no member), and once for each visit."""
 
-
-def _placed(rows: DataFrame, forest: dict[int, list[Tree]], both_ways: bool, count: int) -> DataFrame:
-    """rows (node, label, v, ...) with cell (dimension, tree, leaf), once for each leaf."""
+    def run(batches):
+        for batch in batches:
+            size = np.diff(np.asarray(batch.column("v").offsets))
+            labels = batch.column("label").to_pylist()
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(size.tolist(), labels, strict=True)):
+                groups.setdefault(key, []).append(i)
+            at, crowd, guest = [], [], []
+            for (dim, label), mine in groups.items():
+                mine = np.array(mine)
+                home, row, to = plan.crowds(dim, label, unit(matrix(batch.column("v").take(pa.array(mine)))))
+                at += [mine, mine[row]]
+                crowd += [home, to]
+                guest += [np.zeros(len(mine), bool), np.ones(len(row), bool)]
+            if at:
+                out = batch.take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(crowd), pa.int64()), pa.array(np.concatenate(guest))], names=[*out.schema.names, "crowd", "guest"])
+
+    return rows.mapInArrow(run, _with(rows.schema, crowd=T.LongType(), guest=T.BooleanType()))
+
+
+def _placed(rows: DataFrame, plan: Plan) -> DataFrame:
+    """rows (v, ...) with cell (dimension, tree, leaf), once for each leaf."""
 
     def run(batches):
         for batch in batches:
@@ -104,31 +188,76 @@ def _placed(rows: DataFrame, forest: dict[int, list[Tree]], both_ways: bool, cou
             for dim in np.unique(size).tolist():
                 same = np.flatnonzero(size == dim)
                 x = unit(matrix(batch.column("v").take(pa.array(same))))
-                for i, tree in enumerate(forest.get(dim, [])[:count]):
-                    row, leaf = tree.place(x, both_ways)
+                for i, tree in enumerate(plan.trees.get(dim) or []):
+                    row, leaf = tree.place(x)
                     at.append(same[row])
                     cell.append((np.int64(dim) * 1000 + i) * 100_000_000 + leaf)
-                if dim not in forest:  # a dimension that the sample missed
+                if not plan.trees.get(dim):  # a dimension that the sample missed
                     at.append(same)
                     cell.append(np.full(len(same), dim * 1000 * 100_000_000))
-            where = np.concatenate(at) if at else np.empty(0, np.int64)
-            out = batch.take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell) if cell else np.empty(0, np.int64))], names=[*out.schema.names, "cell"])
+            if at:
+                out = batch.take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell))], names=[*out.schema.names, "cell"])
+
+    return rows.mapInArrow(run, _with(rows.schema, cell=T.LongType()))
+
+
+def _split_on(placed: DataFrame, limit: int, spill: float, rounds: int = 40) -> DataFrame:
+    """placed, with every (label, cell) of more than limit rows split, round by round, at quantiles of its own rows."""
+    done, rest = None, stored(placed, "leaves")
+    for r in range(rounds):
+        sizes = rest.groupBy("label", "cell").agg(F.count("*").alias("rows"))
+        big = stored(sizes.where(F.col("rows") > limit).select("label", "cell"), "big-leaves")
+        if big.isEmpty():
+            break
+        fine = rest.join(big, ["label", "cell"], "left_anti")
+        done = fine if done is None else done.unionByName(fine)
+
+        def project(batches, r=r):
+            for batch in batches:
+                size, cell = np.diff(np.asarray(batch.column("v").offsets)), np.asarray(batch.column("cell"))
+                p = np.zeros(batch.num_rows)
+                for dim in np.unique(size).tolist():
+                    same = np.flatnonzero(size == dim)
+                    x = unit(matrix(batch.column("v").take(pa.array(same))))
+                    for c in np.unique(cell[same]):
+                        mine = cell[same] == c
+                        p[same[mine]] = x[mine] @ direction(dim, int(c), r)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "p"])
+
+        rows = stored(rest.join(big, ["label", "cell"]).select(*rest.columns).mapInArrow(project, _with(rest.schema, p=T.DoubleType())), "projected")
+        cut = rows.groupBy("label", "cell").agg(F.percentile_approx("p", [0.5 - spill, 0.5 + spill], 1000).alias("q"))
+        sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("q")[1], F.lit(0)), F.when(F.col("p") >= F.col("q")[0], F.lit(1))))
+        halves = rows.join(cut, ["label", "cell"]).withColumn("side", F.explode(sides))
+        rest = stored(halves.withColumn("cell", F.xxhash64("cell", F.lit(r), "side")).select(*rest.columns), "leaves")
+    return rest if done is None else done.unionByName(rest)
+
+
+def _forest_links(placed: DataFrame, least: float) -> DataFrame:
+    """Distinct linked pairs (a, b) of nodes, a < b, with their sizes, from comparisons within (label, cell)."""
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cell", LongType())]))
-
-
-def _parted(placed: DataFrame, part: int) -> DataFrame:
-    """placed with the number of parts of its (label, cell), each of about part rows, and its own part."""
-    sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("rows"))
-    out = placed.join(sizes.select("label", "cell", F.ceil(F.col("rows") / part).cast("int").alias("parts")), ["label", "cell"])
-    return out.withColumn("part", F.pmod(F.xxhash64("node", "cell"), F.col("parts").cast("long")).cast("int"))
-
-
-def _balls(placed: DataFrame, part: int, angle: float, heavy: int) -> DataFrame:
-    """node, ball (its centre's node) and angle to the centre; a vector without heavy - 1 others in reach is a ball of its own."""
+    def run(table: pa.Table) -> pa.Table:
+        node, size, v = np.asarray(table.column("node")), np.asarray(table.column("size")), table.column("v").combine_chunks()
+        a, b = [], []
+        length = np.diff(np.asarray(v.offsets))
+        for dim in np.unique(length).tolist():
+            same = np.flatnonzero(length == dim)
+            x = unit(matrix(v.take(pa.array(same))))
+            for i in range(0, len(x), 512):
+                p, q = np.nonzero(x[i : i + 512] @ x[i:].T >= least)
+                keep = q > p
+                a.append(same[i + p[keep]])
+                b.append(same[i + q[keep]])
+        a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (a, b))
+        turn = node[a] > node[b]
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        return pa.table({"a": node[a], "b": node[b], "size_a": size[a], "size_b": size[b]})
+
+    return placed.groupBy("label", "cell").applyInArrow(run, "a bigint, b bigint, size_a bigint, size_b bigint").distinct()
+
+
+def _balls(members: DataFrame, part: int, angle: float, heavy: int) -> DataFrame:
+    """node, ball (its centre's node) and angle to the centre, within a crowd's parts of about part rows; a ball of fewer than heavy members is dissolved."""
     reach = np.cos(angle / 2 - 1e-6)
 
     def run(table: pa.Table) -> pa.Table:
@@ -148,11 +277,13 @@ def _balls(placed: DataFrame, part: int, angle: float, heavy: int) -> DataFrame:
                 off[i] = 0
         return pa.table({"node": node, "ball": ball, "off": off})
 
-    return _parted(placed, part).groupBy("label", "cell", "part").applyInArrow(run, "node bigint, ball bigint, off double")
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / part).cast("long").alias("parts"))
+    parted = members.join(sizes, "crowd").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return parted.groupBy("crowd", "part").applyInArrow(run, "node bigint, ball bigint, off double")
 
 
 class Block:
-    """Vectors ball by ball, the centre first, with each ball's radius and summed size."""
+    """Vectors ball by ball, the centre first, with each ball's radius and summed size; root is the ball's name at home."""
 
     def __init__(self, rows: pa.Table):
         ball, node = np.asarray(rows.column("ball")), np.asarray(rows.column("node"))
@@ -162,11 +293,12 @@ class Block:
         self.end = np.append(self.start[1:], len(order))
         self.radius, self.weight = np.maximum.reduceat(np.asarray(rows.column("off"))[order], self.start), np.add.reduceat(self.size, self.start)
         self.centre, self.several = self.x[self.start], self.end - self.start > 1
+        self.root, self.guest = np.asarray(rows.column("root"))[order][self.start], np.asarray(rows.column("guest"))[order][self.start].astype(bool)
         self.by_ball, self.by_node = np.zeros(len(self.ball), np.int64), np.zeros(len(order), np.int64)
 
 
 def compare(left: Block, right: Block, least: float, strip: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Adds the links between two blocks (or within one) to their counts; returns edges that span the linked balls."""
+    """Adds the links between two blocks (or within one) to their counts; returns edges that span the linked balls. Guests don't meet guests."""
     angle, own = float(np.arccos(least)), left is right
     group = np.arange(len(right.ball))  # balls of the right side that are connected so far
     lefts, rights = [], []
@@ -180,11 +312,13 @@ def compare(left: Block, right: Block, least: float, strip: int = 512) -> tuple[
             between, reach = np.arccos(np.clip(s, -1, 1)), left.radius[rows][:, None] + right.radius
             linked = np.where(wide, between + reach <= angle - 1e-6, linked)
             some = wide & ~linked & (between <= angle + reach + 1e-6)
+        both = left.guest[rows][:, None] & right.guest
         if own:
             at = np.arange(rows.stop - a)
-            linked[at, a + at] = False
-            if some is not None:
-                some[at, a + at] = False
+            both[at, a + at] = True
+        linked &= ~both
+        if some is not None:
+            some &= ~both
         if linked.any():
             left.by_ball[rows] += linked @ right.weight
             if not own:
@@ -200,22 +334,20 @@ def compare(left: Block, right: Block, least: float, strip: int = 512) -> tuple[
         for i in np.flatnonzero(linked.any(1)):
             to = np.flatnonzero(linked[i])
             names, first = np.unique(group[to], return_index=True)
-            lefts.append(np.full(len(names), left.ball[a + i]))
-            rights.append(right.ball[to[first]])
+            lefts.append(np.full(len(names), left.root[a + i]))
+            rights.append(right.root[to[first]])
             if len(names) > 1:
                 group[np.isin(group, names)] = names[0]
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (lefts, rights))
 
 
-def _compared(members: DataFrame, block: int, least: float) -> DataFrame:
+def _compared(rows: DataFrame, block: int, least: float) -> DataFrame:
     """Rows of three kinds: more links of a ball's every member, more links of a node, an edge from ball to other."""
-    key = ["label", "dim"]
-    rows = members.withColumn("dim", F.size("v"))
-    parts = rows.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    rows = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("ball"), F.col("parts").cast("long")).cast("int"))
+    parts = rows.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    rows = rows.join(parts, "crowd").withColumn("part", F.pmod(F.xxhash64("ball"), F.col("parts")))
     # every pair of parts meets once: part i goes to (i, j) for all j
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select(*key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "ball", "node", "off", "size", "v")
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = pairs.select("crowd", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "ball", "root", "guest", "node", "off", "size", "v")
 
     def run(table: pa.Table) -> pa.Table:
         part, i, j = np.asarray(table.column("part")), table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -223,18 +355,21 @@ def _compared(members: DataFrame, block: int, least: float) -> DataFrame:
         blocks = [] if i != j and len(sides) < 2 else sides
         a, b = compare(blocks[0], blocks[-1], least) if blocks else (np.empty(0, np.int64),) * 2
         out = [pa.table({"ball": a, "node": pa.nulls(len(a), pa.int64()), "more": np.zeros(len(a), np.int64), "other": b})]
-        for x in blocks:
-            for name, ids, more in (("ball", x.ball, x.by_ball), ("node", x.node, x.by_node)):
+        for x in {id(y): y for y in blocks}.values():
+            for name, ids, more in (("ball", x.ball, np.where(x.guest, 0, x.by_ball)), ("node", x.ball, np.where(x.guest, x.by_ball, 0)), ("node", x.node, x.by_node)):
                 at = np.flatnonzero(more)
                 null = pa.nulls(len(at), pa.int64())
                 out.append(pa.table({"ball": null, "node": null, "more": more[at], "other": null} | {name: ids[at]}))
         return pa.concat_tables(out)
 
-    return spread.groupBy(*key, "i", "j").applyInArrow(run, "ball bigint, node bigint, more bigint, other bigint")
+    return pairs.groupBy("crowd", "i", "j").applyInArrow(run, "ball bigint, node bigint, more bigint, other bigint")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = 5, spill: float = 0.1, leaf_rows: int = 256, part: int = 1024, sample: int = 20_000, seed: int = 11, block: int = 8192, heavy: int = 16) -> DataFrame:
-    """id, n_links, component_id and kept of every row (trees and spill are of the former forest; all pairs are compared now)."""
+def near_duplicates(
+    rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = 6, spill: float = 0.1, leaf_rows: int = 256, limit: int = 2048,
+    sample: int = 20_000, sample_bytes: int = 1 << 26, crowd: int = 8, part: int = 1024, block: int = 8192, heavy: int = 16, seed: int = 11,
+) -> DataFrame:
+    """id, n_links, component_id and kept of every row."""
     angle = float(np.arccos(least))
     fit = usable(vector_col) & F.exists(vector_col, lambda x: x != 0) & F.col(label_col).isNotNull()
     base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"), F.coalesce(fit, F.lit(False)).alias("fit"))
@@ -243,25 +378,33 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     keyed = base.where("fit").select("id", "label", "v", *key)
     classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("least_id"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    total = classes.count()
-    thin = classes.select("node", "label", "v")
-
-    forest = _forest(thin, sample, leaf_rows, total, 1, 0.0, seed)
-    balls = stored(_balls(_placed(thin, forest, False, 1), part, angle, heavy), "balls")
-    members = balls.join(classes, "node").select("node", "ball", "off", "label", "v", "size", "least_id")
+    total, dim = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    some = classes.orderBy(F.xxhash64("node"), "node").limit(min(sample, max(1, sample_bytes // (8 * (dim or 1))))).select("label", "v").toArrow()
+    plan = Plan(some.column("label").to_pylist(), some.column("v").to_pylist(), total, least, crowd, trees, spill, leaf_rows, seed)
+
+    met = stored(_crowds(classes.select("node", "label", "v", "size"), plan), "crowds")
+    members, alone = met.where("not guest and crowd >= 0"), met.where("not guest and crowd < 0").select("node", "label", "v", "size")
+    balls = stored(_balls(members.select("crowd", "node", "v"), part, angle, heavy), "balls")
+    inside = members.join(balls, "node").select("crowd", "node", "v", "size", "ball", "off", F.col("ball").alias("root"), "guest")
+    guests = met.where("guest").join(balls.select("node", "ball"), "node", "left").select("crowd", "node", "v", "size", F.col("node").alias("ball"), F.lit(0.0).alias("off"), F.coalesce("ball", "node").alias("root"), "guest")
+    checked = stored(_compared(inside.unionByName(guests), block, least), "ball-checks")
+    leaves = _split_on(_placed(alone, plan), limit, spill)
+    links = stored(_forest_links(leaves, least), "forest-links")
+
+    members = classes.join(balls, "node", "left").select("node", "k1", "k2", "size", "least_id", F.coalesce("ball", "node").alias("ball"))
     members = stored(members, "ball-members")
+    drop_stored(met, balls)
+    edges = checked.where("other is not null").select(F.col("ball").alias("a"), F.col("other").alias("b")).unionByName(links.select("a", "b"))
+    roots = components(edges)
     centres = members.groupBy("ball").agg(F.sum("size").alias("weight"), F.min("least_id").alias("least_id"))
-
-    checked = stored(_compared(members, block, least), "ball-checks")
-    roots = components(checked.where("other is not null").select(F.col("ball").alias("a"), F.col("other").alias("b")))
     whole = checked.where("ball is not null and other is null").groupBy("ball").agg(F.sum("more").alias("by_ball"))
-    single = checked.where("node is not null").groupBy("node").agg(F.sum("more").alias("by_node"))
+    apart = checked.where("node is not null").select("node", "more").unionByName(links.select(F.col("a").alias("node"), F.col("size_b").alias("more"))).unionByName(links.select(F.col("b").alias("node"), F.col("size_a").alias("more")))
+    single = apart.groupBy("node").agg(F.sum("more").alias("by_node"))
     comp = centres.join(roots.withColumnRenamed("node", "ball"), "ball", "left").withColumn("root", F.coalesce("root", "ball"))
     least_of = comp.groupBy("root").agg(F.min("least_id").alias("component_id"))
     comp = comp.join(least_of, "root").join(whole, "ball", "left").select("ball", "component_id", (F.col("weight") - 1 + F.coalesce("by_ball", F.lit(0))).alias("links"))
-    verdict = members.select("node", "ball").join(comp, "ball").join(single, "node", "left").select("node", "component_id", (F.col("links") + F.coalesce("by_node", F.lit(0))).alias("n_links"))
-    verdict = classes.select("k1", "k2", "node").join(verdict, "node").drop("node")
+    verdict = members.join(comp, "ball").join(single, "node", "left").select("k1", "k2", "component_id", (F.col("links") + F.coalesce("by_node", F.lit(0))).alias("n_links"))
     linked = keyed.select("id", "k1", "k2").join(verdict, ["k1", "k2"]).select("id", "n_links", "component_id")
-    alone = base.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = linked.unionByName(alone)
+    unfit = base.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(unfit)
     return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longpath.llm.common import kernel, stored
+from longpath.llm.common import drop_stored, kernel, stored
 from longpath.llm.components import components
 from longpath.llm.words import Texts, U, constants, mix, white_space, windows
 
@@ -197,7 +197,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, p
     heads = sketch.where("cls is not null").groupBy("cls").agg(least).select("cls", "head.*")
     heads = heads.repartitionByRange("last", "id", "row").sortWithinPartitions("last", "id", "row").withColumn("node", F.monotonically_increasing_id())
     heads = stored(heads.select("cls", "id", "h", "row", "node"), "classes")
-    placed = sketch.select("row", "buckets").join(heads.select("row", "node"), "row").select("node", F.explode("buckets").alias("bucket")).repartition("bucket")
+    placed = sketch.select("row", "buckets").join(heads.select("row", "node"), "row").select("node", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     placed = stored(placed.join(shared.select("bucket", "pivot"), "bucket"), "buckets")  # classes that share a bucket
     involved = stored(heads.join(placed.select("node").distinct(), "node"), "involved")
@@ -219,11 +219,12 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, p
     where = rooted(rooted(placed, roots, "node", "root"), roots, "pivot", "main")
     several = where.where("root <> main").select("bucket").distinct()
     members = where.join(several, "bucket", "left_semi").select("node", "root").distinct()
-    tokens = stored(prefixes(stored(sets.join(members, "node"), "mixed-sets"), percent), "tokens")
+    mixed = stored(sets.join(members, "node"), "mixed-sets")
+    tokens = stored(prefixes(mixed, percent), "tokens")
     more = stored(linked(across(tokens, percent)), "links")
     if not more.isEmpty():
         roots = stored(components(links.unionByName(more)), "roots")
-
+    drop_stored(placed, involved, sigs, sets, mixed, tokens, links, more)
     return sketch, rooted(heads.select("cls", "id", "h", "node"), roots, "node", "root")
 
 
