@@ -7,7 +7,7 @@ Two kinds of findings come from one pass over whole texts:
   the number of bytes by which a zstandard frame of its surroundings grows when the candidate is added, the compressor
   being primed with a dictionary of identifiers and code. Names, paths and words are in the dictionary or the
   surroundings and cost little; random strings cost about their entropy. A candidate whose marginal size is at least
-  ``novelty`` of its length and that mixes letters and digits is reported.
+  ``novelty`` of its length and that mixes letters and digits is reported, once.
 
 Rows: one per document, in code points. A null or empty text has no spans. Repeated rows give repeated results. Other
 columns of the input, whatever their names, are not read.
@@ -79,30 +79,32 @@ class Novelty:
         return len(self.compressor.compress(around + candidate.encode())) - len(self.compressor.compress(around))
 
 
-def novel_spans(text: str, low: str, novelty: Novelty, reach: int, around: int, least: float) -> list[tuple[int, int, int]]:
-    """Candidates at most reach characters behind a sensitive word whose marginal bytes are at least least x length."""
+def novel_spans(text: str, low: str, novelty: Novelty, reach: int, around: int, least: float, shortest: int = 16) -> list[tuple[int, int, int]]:
+    """Runs that begin at most reach characters behind a sensitive word, or from one inside on, and hold a novel piece; one span a run.
+
+    Sensitive words inside a run part it into pieces (of shortest characters at least); each is measured once. The span goes from
+    the first novel piece to the run's end.
+    """
     if not any(x in low for x in SENSITIVE):
         return []
-    out, done = [], -1
-    first = end = 0  # the run looked at last, and whether it has no digit
-    plain = False
+    out, done = [], 0  # done: the end of the last run looked at
     for m in CONTEXT.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + reach + 16)):  # a run's first 16 characters
-            a = c.start()
-            if a <= done or a > m.end() + reach:
-                continue
-            if not first <= a < end:
-                first, end, plain = a, RUN.match(text, a).end(), False  # the run goes on behind the reach
-            b = end
-            plain = plain or not DIGIT.search(text, a, b)
-            if plain or not LETTER.search(text, a, b):
-                continue
-            word = text[a:b]
-            before, after = text[max(0, a - around) : a], text[b : b + around]
-            cost = novelty.marginal(before.replace(word, ""), word, after.replace(word, ""))  # copies don't excuse it
-            if cost >= least * len(word):
-                out.append((a, 3, b))
-                done = a
+        for c in CANDIDATE.finditer(text, max(m.end(), done), min(len(text), m.end() + reach + shortest)):  # a run's first characters
+            begin = c.start()
+            if begin > m.end() + reach:
+                break
+            done = end = RUN.match(text, begin).end()  # the run goes on behind the reach
+            for cut, after in [*((k.start(), k.end()) for k in CONTEXT.finditer(text, begin, end)), (end, end)]:
+                if cut - begin < shortest:
+                    continue  # too short to be judged apart from what follows
+                if DIGIT.search(text, begin, cut) and LETTER.search(text, begin, cut):
+                    word = text[begin:cut]
+                    before, behind = text[max(0, begin - around) : begin], text[cut : cut + around]
+                    cost = novelty.marginal(before.replace(word, ""), word, behind.replace(word, ""))  # copies don't excuse it
+                    if cost >= least * len(word):
+                        out.append((begin, 3, end))
+                        break
+                begin = after
     return out
 
 

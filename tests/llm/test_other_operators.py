@@ -131,6 +131,21 @@ def test_near_vectors(embeddings, vector_rows):
     assert embdedup.near_duplicates(embeddings.limit(0)).count() == 0
 
 
+def test_leaves_are_split_until_they_are_small(spark):
+    """Many small groups, a sample too small to show them, and leaves split on in Spark rounds: bounded leaves, and nearly all links."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(500, 32)), 4, axis=0) + rng.normal(size=(2000, 32)) * 0.15
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(3)
+    want = brute_vectors([(i, v, i % 2) for i, v in enumerate(x.tolist())])
+    got = by_row(embdedup.near_duplicates(df, sample=60, leaf_rows=40, limit=100, crowd=50, trees=8))
+    recall = sum(r[1] for r in got) / sum(r[1] for r in want)
+    assert sum(r[1] for r in want) > 1000 and 0.95 <= recall <= 1
+    plan = embdedup.Plan([0] * 60, x[:60].tolist(), 2000, 0.93, 50, 2, 0.1, 4000, 1)
+    rows = df.select(queries.F.col("vec_id").alias("node"), "label", queries.F.col("embedding").alias("v"), queries.F.lit(1).cast("long").alias("size"))
+    leaves = embdedup._split_on(embdedup._placed(rows, plan), 100, 0.1).groupBy("label", "cell").count()
+    assert leaves.agg({"count": "max"}).first()[0] <= 100
+
+
 # ---- pages
 
 def test_near_vectors_of_a_loose_crowd(spark):

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -244,7 +245,20 @@ def test_novel_spans_of_long_runs():
     plain = "token" * 100_000
     assert secrets.novel_spans(plain, plain, novelty, 48, 256, 0.55) == []
     mixed = "token" * 3 + "/q8Zr1LkP0vXy7TnB3wHs5" + " secret: Jd4mW9cQe2RuG6fAz1KiY8"
-    assert {b for _, _, b in secrets.novel_spans(mixed, mixed.lower(), novelty, 48, 256, 0.55)} == {37, len(mixed)}
+    assert secrets.novel_spans(mixed, mixed.lower(), novelty, 48, 256, 0.55) == [(5, 3, 37), (46, 3, len(mixed))]
+    path = "secret_dir/some/long/english/words/token=q8Zr1LkP0vXy7TnB3wHs5"
+    assert secrets.novel_spans(path, path.lower(), novelty, 48, 256, 0.55) == [(40, 3, len(path))]
+    inner = "secret q8Zr1LkP0vpwdXy7TnB3wHs5Jd4mW9c"  # a sensitive word by chance
+    assert secrets.novel_spans(inner, inner.lower(), novelty, 48, 256, 0.55) == [(7, 3, len(inner))]
+
+
+def test_novel_spans_take_time_in_proportion():
+    import time
+
+    words = "".join(f"token1{w}" for w in prose(random.Random(3), 60_000).split())
+    began = time.time()
+    secrets.novel_spans(words, words.lower(), secrets.Novelty(), 48, 256, 0.55)
+    assert len(words) > 400_000 and time.time() - began < 10
 
 
 def test_novel_spans_start_anywhere_in_reach():
@@ -272,6 +286,41 @@ def test_language_accuracy(spark):
     assert langid.accepted(docs, langid.fit(docs), least=0.3).count() >= 0.99 * docs.count()
 
 
+def test_language_model_equals_plain_decoding():
+    """Features and loss-weighted decoding against per-gram Python, on the same weights."""
+    import numpy as np
+
+    from longpath.llm.words import constants
+
+    texts = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "el gato y el perro"] * 3
+    names = ["en", "de", "fr", "es"] * 3
+    model = langid.Model.fit(texts, names)
+    by = [int(x) for x in (constants(31, 3) >> np.uint64(40)).astype(np.uint32) | 1]
+
+    def features(text):
+        letters = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        codes = [c for i, c in enumerate(letters) if c or not i or letters[i - 1]]
+        out = np.zeros(langid.DIM)
+        one = [c * by[0] % 2**32 for c in codes]
+        two = [(one[i] * 31 + codes[i + 1] * by[1]) % 2**32 for i in range(len(codes) - 1)]
+        three = [(two[i] * 31 + codes[i + 2] * by[2]) % 2**32 for i in range(len(codes) - 2)]
+        for grams in ([g for g, c in zip(one, codes) if c], two, three):
+            count = np.zeros(langid.DIM)
+            for g in grams:
+                count[(g * 0x9E3779B1 % 2**32) >> 20] += 1
+            if count.any():
+                out += count / math.sqrt((count * count).sum())
+        return out
+
+    for text in (*texts[:4], "Die Katze, 3x und MEHR!", "a", "日本語 é ǆ", prose(random.Random(2), 200)):
+        bits = [sum(x * w for x, w in zip(features(text), model.weights[:, j]) if x) + model.bias[j] for j in range(model.book.shape[1])]
+        loss = [sum(math.log1p(math.exp(-4 * c * b)) for c, b in zip(word, bits)) / len(bits) for word in model.book]
+        best = min(range(4), key=lambda i: loss[i])
+        score = 1 / sum(math.exp(loss[best] - x) for x in loss)
+        lang, got, close = model.predict(text, 0.15)
+        assert lang == model.languages[best] and got == pytest.approx(score, abs=1e-4) and close == (sorted(loss)[1] - loss[best] < 0.15)
+
+
 def test_language_odd_rows(spark, documents, no_documents):
     model = langid.Model.fit(["the and of with", "der die und das"], ["en", "de"])
     rows = [(1, None), (2, ""), (3, "123 .-! ²"), (4, "the"), (None, "und"), (5, "日")]
