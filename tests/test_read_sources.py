@@ -78,3 +78,45 @@ def test_stream_selects_like_the_batch(spark, tmp_path):
     query = select_stream(stream, SMALL).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(180)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+
+def test_command_line_runs_both_rounds(spark, tmp_path, capsys):
+    import json
+
+    from longpath.__main__ import main
+
+    rng = random.Random(3)
+    genome = "".join(rng.choice("ACGT") for _ in range(30_000))
+    rows = []
+    for i in range(60):
+        a = rng.randrange(0, 27_000)
+        s = genome[a : a + rng.randint(1500, 3000)]
+        rows.append((f"r{i}", s, "5" * len(s)))
+    (tmp_path / "reads.fq").write_text(text(rows))
+    (tmp_path / "names").write_text("r1 r2\n")
+    out = tmp_path / "out"
+    run = ["path", "--reads", str(tmp_path / "reads"), "--out", str(out), "--genome-size", "3e4", "--min-length", "1000", "--tile", "100", "--block", "2", "--min-unassigned", "3", "--exclude", str(tmp_path / "names"), "--keep-silver"]
+    assert main(run) == 0
+    said = capsys.readouterr()
+    report = json.loads(said.out)
+    assert report["reads"] == 60 and report["passed"] == 60 and report["silver_paths"] < 5 and "expected 5 silver paths" in said.err
+    golden = "".join(f.read_text() for f in (out / "golden" / "path_no=1").glob("*.txt"))
+    silver = "".join(f.read_text() for f in (out / "silver").glob("*/*.txt"))
+    assert golden.count(">r") > 3 and "@r1_" not in silver and "@r3" in silver
+    assert json.loads("".join(f.read_text() for f in (out / "parameters.json").glob("*.txt")))["genome_size"] == 30_000
+    assert list((out / "stats" / "golden").glob("*.csv")) and list((out / "counters").glob("*.csv"))
+    assert main(["clean", "--out", str(out)]) == 0 and not (out / "silver").exists() and (out / "golden").exists()
+    assert main([*run[:6], "0", "--min-length", "1000"]) == 1 and "genome size" in capsys.readouterr().err
+    assert main([*run[:7], "--min-length", "100000"]) == 1 and "no read passed" in capsys.readouterr().err
+    assert main(["version"]) == 0 and main(["help"]) == 0
+
+
+def test_a_run_needs_a_genome_size():
+    from longpath.plans.config import PathConfig
+
+    with pytest.raises(ValueError, match="genome size"):
+        PathConfig().for_run()
+    with pytest.raises(ValueError, match="at most 31"):
+        PathConfig(preset="", span=40, weight=31)
+    with pytest.raises(ValueError, match="positive"):
+        PathConfig(preset="", span=0)
