@@ -279,7 +279,8 @@ def _balls(members: DataFrame, part: int, angle: float, heavy: int) -> DataFrame
 
     sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / part).cast("long").alias("parts"))
     parted = members.join(sizes, "crowd").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    return parted.groupBy("crowd", "part").applyInArrow(run, "node bigint, ball bigint, off double")
+    # dealt anew: after the join on crowd alone, all parts of a crowd would stay in one task
+    return parted.repartition("crowd", "part").groupBy("crowd", "part").applyInArrow(run, "node bigint, ball bigint, off double")
 
 
 class Block:
@@ -362,7 +363,7 @@ def _compared(rows: DataFrame, block: int, least: float) -> DataFrame:
                 out.append(pa.table({"ball": null, "node": null, "more": more[at], "other": null} | {name: ids[at]}))
         return pa.concat_tables(out)
 
-    return pairs.groupBy("crowd", "i", "j").applyInArrow(run, "ball bigint, node bigint, more bigint, other bigint")
+    return pairs.repartition("crowd", "i", "j").groupBy("crowd", "i", "j").applyInArrow(run, "ball bigint, node bigint, more bigint, other bigint")
 
 
 def near_duplicates(
