@@ -51,7 +51,7 @@ def _round(reads: DataFrame, config: PathConfig, folder: str, stats: str, rollov
 def run_paths(spark: SparkSession, reads: str, out: str, config: PathConfig, exclude: str | None = None, shards: int = 1, keep_silver: bool = False) -> dict:
     """Both rounds over a FASTQ input; returns counters, the number of silver paths and warnings. Raises ValueError if no read passes."""
     config.for_run()
-    path = reads if reads.endswith((".fq", ".fastq", "/")) else fastq.find_reads(reads)
+    path = reads if fastq.exists(reads) else fastq.find_reads(reads)
     source = fastq.read_fastq(spark, path)
     names = fastq.read_exclusions(spark, exclude) if exclude else None
     seen = counters(source, config)

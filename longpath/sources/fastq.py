@@ -151,6 +151,14 @@ def write_fastq(rows: DataFrame, folder: str) -> None:
     fastq_text(rows).write.mode("overwrite").text(folder)
 
 
+def exists(path: str) -> bool:
+    """Whether a file or folder is there."""
+    from pyarrow import fs
+
+    system, found = _filesystem(path)
+    return system.get_file_info(found).type != fs.FileType.NotFound
+
+
 def find_reads(prefix: str) -> str:
     """prefix.fq if it exists, else prefix.fastq."""
     from pyarrow import fs
