@@ -8,7 +8,8 @@ A key is code * patterns + pattern. Keys are dealt to buckets by hash, so many t
    frames (a code that many reads share) are split by read, with their index rows copied to each part. There ids are looked up.
 3. One exchange back by read; what is counted along tiles is counted in numpy.
 
-A place is (tile * tile size + frame) * patterns + pattern.
+A place is (tile * tile size + frame) * patterns + pattern. Numbers travel as bytes (binary columns of 8-byte integers, places of 4), which
+are copied as a whole, where elements of array columns would be copied one by one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ from longpath.operators.index import running
 from longpath.operators.kmers import even, tile_codes
 from longpath.plans.config import PathConfig
 
-INDEX = "bucket int, keys array<bigint>, ids array<bigint>, writers array<bigint>, frames bigint"
+INDEX = "bucket int, keys binary, ids binary, writers binary, frames bigint"
+STEP = 1 << 21  # frames handled at once
 
 
 @dataclass(frozen=True)
@@ -92,8 +95,23 @@ def _once_a_block(keys: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[at], block[at], np.diff(np.append(at, len(keys)))
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of values between each two bounds."""
+    values = np.ascontiguousarray(values)
+    if values.nbytes >= 1 << 31:
+        raise OverflowError("more than 2 GB of frames in one batch")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _flat(column: pa.ChunkedArray | pa.Array, kind: type = np.int64) -> np.ndarray:
+    """All values of a packed column."""
+    parts = []
+    for a in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(a):
+            offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+            if offsets[-1] > offsets[0]:
+                parts.append(np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind))
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def _cuts(sorted_values: np.ndarray) -> np.ndarray:
@@ -103,7 +121,7 @@ def _cuts(sorted_values: np.ndarray) -> np.ndarray:
 
 def _merged(keys: np.ndarray, ids: np.ndarray, writers: np.ndarray, frames: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with least id, and sums of writers and frames."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # of equal keys any order gives the same
     keys = keys[order]
     at = _cuts(keys)[:-1]
     if not len(at):
@@ -111,7 +129,7 @@ def _merged(keys: np.ndarray, ids: np.ndarray, writers: np.ndarray, frames: np.n
     return keys[at], np.minimum.reduceat(ids[order], at), np.add.reduceat(writers[order], at), np.add.reduceat(frames[order], at)
 
 
-def occurrences(reads: DataFrame, config: PathConfig, size: Extent, reduce: bool = True, step: int = 1 << 21) -> DataFrame:
+def occurrences(reads: DataFrame, config: PathConfig, size: Extent, reduce: bool = True, step: int = STEP) -> DataFrame:
     """bucket, keys, ids (blocks), writers and frames: what about step frames of reads (read_ix, seq, before) write, key by key, or block by block."""
     patterns = config.seeds
 
@@ -119,7 +137,7 @@ def occurrences(reads: DataFrame, config: PathConfig, size: Extent, reduce: bool
         columns = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
         columns = _merged(*columns) if reduce else columns
         order, bucket, cut = _by_bucket(columns[0], size.buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[_lists(c[order], cut, pa.int64()) for c in columns]], names=["bucket", "keys", "ids", "writers", "frames"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[_packed(c[order], cut) for c in columns]], names=["bucket", "keys", "ids", "writers", "frames"])
 
     def run(batches):
         parts, held = [], 0
@@ -127,42 +145,56 @@ def occurrences(reads: DataFrame, config: PathConfig, size: Extent, reduce: bool
             for seq, before in zip(batch.column("seq"), batch.column("before").to_pylist(), strict=True):
                 keys, places = _keys(seq.as_py(), config, patterns)
                 keys, block, frames = _once_a_block(keys, before + 1 + places // (len(patterns) * config.tile * config.block))
-                parts.append((keys, block, np.ones(len(keys), np.int64), frames))
-                held += len(keys)
-                if held >= step:
-                    yield from packed(parts)
-                    parts, held = [], 0
+                for i in range(0, len(keys), step):  # a very long read in pieces
+                    piece = slice(i, i + step)
+                    parts.append((keys[piece], block[piece], np.ones(len(keys[piece]), np.int64), frames[piece]))
+                    held += len(keys[piece])
+                    if held >= step:
+                        yield from packed(parts)
+                        parts, held = [], 0
         if parts:
             yield from packed(parts)
 
-    return even(reads).mapInArrow(run, "bucket int, keys array<bigint>, ids array<bigint>, writers array<bigint>, frames array<bigint>")
-
-
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    return np.asarray(table.column(name).combine_chunks().flatten())
+    return even(reads).mapInArrow(run, "bucket int, keys binary, ids binary, writers binary, frames binary")
 
 
 def first_writers(written: DataFrame) -> DataFrame:
     """The index row of each bucket, from occurrences()."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, ids, writers, frames = _merged(*(_flat(table, c) for c in ("keys", "ids", "writers", "frames")))
+        keys, ids, writers, frames = _merged(*(_flat(table.column(c)) for c in ("keys", "ids", "writers", "frames")))
         cut = np.array([0, len(keys)])
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": _lists(keys, cut, pa.int64()), "ids": _lists(ids, cut, pa.int64()), "writers": _lists(writers, cut, pa.int64()), "frames": [int(frames.sum())]})
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": _packed(keys, cut), "ids": _packed(ids, cut), "writers": _packed(writers, cut), "frames": [int(frames.sum())]})
 
     return written.groupBy("bucket").applyInArrow(run, INDEX)
 
 
 def solid(index: DataFrame, least: int = 2) -> DataFrame:
     """Index rows with only the codes that at least so many blocks wrote."""
-    rows = F.filter(F.arrays_zip("keys", "ids", "writers"), lambda x: x["writers"] >= least)
-    return index.select("bucket", *[rows[c].alias(c) for c in ("keys", "ids", "writers")], "frames")
+
+    def run(batches):
+        for batch in batches:
+            for bucket, k, i, w, frames in zip(*(batch.column(c) for c in ("bucket", "keys", "ids", "writers", "frames")), strict=True):
+                keys, ids, writers = (np.frombuffer(x.as_py(), np.int64) for x in (k, i, w))
+                kept = writers >= least
+                cut = np.array([0, kept.sum()])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), *(_packed(c[kept], cut) for c in (keys, ids, writers)), pa.array([frames.as_py()], pa.int64())], names=["bucket", "keys", "ids", "writers", "frames"])
+
+    return index.mapInArrow(run, INDEX)
 
 
 def entries(index: DataFrame, config: PathConfig) -> DataFrame:
     """seed_ix, code, id and n of index rows."""
-    rows = index.select(F.inline(F.arrays_zip("keys", "ids", "writers")))
-    return rows.select((F.col("keys") % config.patterns).cast("int").alias("seed_ix"), F.expr(f"keys div {config.patterns}").alias("code"), F.col("ids").alias("id"), F.col("writers").alias("n"))
+    h = config.patterns
+
+    def run(batches):
+        for batch in batches:
+            keys, ids, writers = (_flat(batch.column(c)) for c in ("keys", "ids", "writers"))
+            for i in range(0, len(keys), 1 << 16):
+                k = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array((k % h).astype(np.int32)), pa.array(k // h), pa.array(ids[i : i + (1 << 16)]), pa.array(writers[i : i + (1 << 16)])], names=["seed_ix", "code", "id", "n"])
+
+    return index.select("keys", "ids", "writers").mapInArrow(run, "seed_ix int, code bigint, id bigint, n bigint")
 
 
 def sent(reads: DataFrame, config: PathConfig, size: Extent) -> DataFrame:
@@ -172,17 +204,17 @@ def sent(reads: DataFrame, config: PathConfig, size: Extent) -> DataFrame:
     def run(batches):
         for batch in batches:
             for read_ix, seq in zip(batch.column("read_ix").to_pylist(), batch.column("seq"), strict=True):
-                keys, places = _keys(seq.as_py(), config, patterns)
-                order, bucket, cut = _by_bucket(keys, size.buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), read_ix), pa.int64()), _lists(keys[order], cut, pa.int64()), _lists(places[order], cut, pa.int32())], names=["bucket", "read_ix", "keys", "places"]
-                )
+                every, at = _keys(seq.as_py(), config, patterns)
+                for i in range(0, len(every), STEP):
+                    keys, places = every[i : i + STEP], at[i : i + STEP].astype(np.int32)
+                    order, bucket, cut = _by_bucket(keys, size.buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), read_ix), pa.int64()), _packed(keys[order], cut), _packed(places[order], cut)], names=["bucket", "read_ix", "keys", "places"])
 
-    return even(reads.select("read_ix", "seq")).mapInArrow(run, "bucket int, read_ix bigint, keys array<bigint>, places array<int>")
+    return even(reads.select("read_ix", "seq")).mapInArrow(run, "bucket int, read_ix bigint, keys binary, places binary")
 
 
 def answered(reads: DataFrame, index: DataFrame, config: PathConfig, size: Extent) -> DataFrame:
-    """read_ix, places and ids (0 for none): the frames of reads, looked up in index rows (of the same number of buckets)."""
+    """read_ix, places, ids (0 for none) and hits (ids that are not 0): the frames of reads, looked up in index rows (of the same number of buckets)."""
     bucket_rows = size.bucket_rows
     splits = index.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("frames") / bucket_rows)).cast("int").alias("parts"))
     asked = sent(reads, config, size).join(F.broadcast(splits), "bucket", "left")  # a row a bucket
@@ -191,30 +223,30 @@ def answered(reads: DataFrame, index: DataFrame, config: PathConfig, size: Exten
     known = index.select("bucket", F.explode(parts).alias("part"), "keys", "ids")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = left.column("keys").combine_chunks()
-        keys, have, ids = np.asarray(lists.flatten()), _flat(right, "keys"), _flat(right, "ids")
+        keys, have, ids = (_flat(c) for c in (left.column("keys"), right.column("keys"), right.column("ids")))
         if len(have):
             at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
             found = np.where(have[at] == keys, ids[at], 0)
         else:
             found = np.zeros(len(keys), np.int64)
-        bounds = np.asarray(lists.offsets)
-        return pa.table({"read_ix": left.column("read_ix"), "places": left.column("places"), "ids": _lists(found, bounds - bounds[0] if len(bounds) else np.zeros(1, np.int64), pa.int64())})
+        bounds = np.concatenate(([0], np.cumsum(pc.binary_length(left.column("keys")).to_numpy().astype(np.int64)))) // 8
+        hits = np.concatenate(([0], np.cumsum(found != 0)))[bounds]
+        return pa.table({"read_ix": left.column("read_ix"), "places": left.column("places"), "ids": _packed(found, bounds), "hits": pa.array(np.diff(hits), pa.int64())})
 
-    return asked.groupBy("bucket", "part").cogroup(known.groupBy("bucket", "part")).applyInArrow(run, "read_ix bigint, places array<int>, ids array<bigint>")
+    return asked.groupBy("bucket", "part").cogroup(known.groupBy("bucket", "part")).applyInArrow(run, "read_ix bigint, places binary, ids binary, hits bigint")
 
 
 def by_read(found: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], ddl: str) -> DataFrame:
     """read_ix and the columns that f makes of a read's places (sorted) and ids."""
 
     def run(table: pa.Table) -> pa.Table:
-        places, ids = _flat(table, "places").astype(np.int64), _flat(table, "ids")
-        order = np.argsort(places, kind="stable")
+        places, ids = _flat(table.column("places"), np.int32).astype(np.int64), _flat(table.column("ids"))
+        order = np.argsort(places)
         columns = f(places[order], ids[order])
         n = len(next(iter(columns.values())))
         return pa.table({"read_ix": pa.array(np.full(n, table.column("read_ix")[0].as_py()), pa.int64()), **columns})
 
-    return found.groupBy("read_ix").applyInArrow(run, f"read_ix bigint, {ddl}")
+    return found.drop("hits").groupBy("read_ix").applyInArrow(run, f"read_ix bigint, {ddl}")
 
 
 def tile_id_counts(found: DataFrame, config: PathConfig) -> DataFrame:
@@ -271,8 +303,8 @@ def frame_membership(found: DataFrame, config: PathConfig) -> DataFrame:
 
 def counters(found: DataFrame, config: PathConfig) -> DataFrame:
     """One row: queries (frames), hits and misses (slots); nothing goes back to its read."""
-    rows = found.select(F.size("ids").cast("long").alias("slots"), F.size(F.filter("ids", lambda x: x != 0)).cast("long").alias("hit"))
-    return rows.agg((F.sum("slots") / config.patterns).cast("long").alias("queries"), F.sum("hit").alias("hits"), (F.sum("slots") - F.sum("hit")).alias("misses"))
+    slots, hits = F.sum(F.expr("length(ids) div 8")), F.sum("hits")
+    return found.agg((slots / config.patterns).cast("long").alias("queries"), hits.alias("hits"), (slots - hits).alias("misses"))
 
 
 def lookup(found: DataFrame, config: PathConfig, allowed_misses: int = 0) -> DataFrame:

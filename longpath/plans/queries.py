@@ -147,9 +147,16 @@ def bloom_math(spark, sf_dir):
                        nine(bloom.optimal_hashes(bits, F.col("entries"))).alias("best_hashes"), nine(bloom.frame_match_probability(F.col("occ"), F.lit(0.01), h)).alias("match"))
 
 
+def _stored(spark, sf_dir) -> DataFrame:
+    """read_ix and seq of the clean reads, written once for the scans of the index and its probe."""
+    folder = shared_folder(spark, "clean")
+    _clean(spark, sf_dir).select("read_ix", "seq").write.parquet(folder)
+    return spark.read.schema("read_ix bigint, seq string").parquet(folder)
+
+
 def _index(spark, sf_dir):
     """Clean reads, their extent, and the index rows after all of them were inserted whole."""
-    reads = _clean(spark, sf_dir)
+    reads = _stored(spark, sf_dir)
     size = probe.extent(reads, SMALL)
     return reads, size, probe.first_writers(probe.occurrences(probe.based(reads, SMALL, size), SMALL, size))
 
@@ -207,7 +214,7 @@ def solid_insert(spark, sf_dir):
 
 def set_if_empty(spark, sf_dir):
     """An index of the blocks of even number, into which all others write where nothing stands."""
-    reads = _clean(spark, sf_dir)
+    reads = _stored(spark, sf_dir)
     size = probe.extent(reads, SMALL)
     rows = probe.entries(probe.occurrences(probe.based(reads, SMALL, size), SMALL, size, reduce=False), SMALL).select("seed_ix", "code", F.col("id").alias("block_id"), (F.col("id") % 2 == 0).alias("even"))
     half = rows.where("even").groupBy("seed_ix", "code").agg(F.min("block_id").alias("id"))
@@ -224,7 +231,7 @@ def id_frequencies(spark, sf_dir):
 
 def reservoir_upsert(spark, sf_dir):
     """What the index has after reservoir writing, summed by id."""
-    reads = _clean(spark, sf_dir)
+    reads = _stored(spark, sf_dir)
     size = probe.extent(reads, SMALL)
     rows = probe.entries(probe.occurrences(probe.based(reads, SMALL, size), SMALL, size, reduce=False), SMALL)
     rows = index.reservoir_index(rows.select("seed_ix", "code", F.col("id").alias("block_id")), SMALL)
