@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longpath.llm import align, embdedup, htmltext, langid, licenses, minhash, mixing, pieces, secrets, substring, topk, trie
+from longpath.llm import align, chat, embdedup, htmltext, langid, licenses, minhash, mixing, pieces, secrets, substring, topk, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(chat.with_injection(table(spark, sf_dir, "conversations")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
 
@@ -91,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.mix_sql(DOMAIN_SQL.replace("CAST(", "TRY_CAST("), WEIGHTS, SHARE, EPOCHS, SEED), "op7_exact_top_k": TOP_K_SQL, "op11_prefix_trie": trie.TRIE_SQL}
+    return {"op1_mixing": mixing.mix_sql(DOMAIN_SQL.replace("CAST(", "TRY_CAST("), WEIGHTS, SHARE, EPOCHS, SEED), "op7_exact_top_k": TOP_K_SQL, "op11_prefix_trie": trie.TRIE_SQL, "op12_chat_format": chat.CHAT_SQL}

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from longpath.llm import trie
+from longpath.llm import chat, trie
 
 SCHEMA = "conv_id long, turn long, role string, text string, n long, depth string, shard int"
 
@@ -74,3 +74,50 @@ def test_trie_of_nothing(spark):
     assert trie.prefix_trie(spark.createDataFrame([], SCHEMA)).count() == 0
     got = trie.prefix_trie(spark.createDataFrame([(21, 0, "user", "x", 1, "", 1)], SCHEMA)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted(brute_trie([(21, 0, "user", "x")]), key=repr)
+
+
+MARKS = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "a<", "|b", "\\|b", "<\\\\|", "<|", "\n<|im_end|>\n", "", None, "日本 <|endoftext|> 🙂"]
+
+
+def chat_rows(kind):
+    rng = random.Random(kind)
+    rows = rows_of(kind)
+    rows += [(600 + i, t, rng.choice(["user", "assistant", "assistant", "a\nb", "\\n<|", None]), rng.choice(MARKS)) for i in range(40) for t in range(rng.randint(1, 12))]
+    return rows + [(c, t, "assistant" if t % 2 else "user", f"shared {t} " * 40) for c in range(700, 720) for t in range(3)]
+
+
+def brute_chat(rows):
+    out = []
+    for c, turns in by_conversation(rows).items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        lines = [(chat.role_line(r), chat.escaped(t)) for r, t in turns]
+        out.append((c, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(r) + len(t) + 24 for r, t in lines)))
+    return out
+
+
+@pytest.mark.parametrize("kind,budget,part", [(1, 1 << 16, 4096), (2, 200, 4), (3, 1, 7)])
+def test_formatted(spark, kind, budget, part):
+    rows = chat_rows(kind)
+    table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA).repartition(5)
+    got = chat.formatted(chat.with_injection(table), budget=budget, part=part).collect()
+    expected = brute_chat(rows + [(-1, 0, "user", chat.INJECTED), (-1, 1, "assistant", chat.INJECTED)])
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(expected, key=repr)
+
+
+def test_packs_share_turns_once(spark):
+    rows = [(c, t, "user", f"turn {t} " * 30 if t < 3 else f"own {c}") for c in range(10) for t in range(4)]
+    packs = chat.packed(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1), chat.model_path())
+    nodes = [r for r in packs.collect() if r["tokens"]]
+    assert len(nodes) <= 10 + 3 * len({r["pack"] for r in nodes})
+    for r in nodes:  # positions go on from the ancestors, and intervals hold just their tokens
+        assert sum(x["stop"] - x["start"] for x in r["attends"]) == r["position"] and len(r["tokens"]) == r["size"]
+
+
+def test_escape():
+    for text in MARKS:
+        if text is not None:
+            assert chat.unescaped(chat.escaped(text)) == text and "<|" not in chat.escaped(text) and chat.line_role(chat.role_line(text)) == text and "\n" not in chat.role_line(text)
+
+
+def test_no_conversations(spark):
+    assert chat.formatted(spark.createDataFrame([], SCHEMA)).count() == 0
