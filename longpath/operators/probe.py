@@ -29,6 +29,7 @@ from longpath.plans.config import PathConfig
 
 INDEX = "bucket int, keys binary, ids binary, writers binary, frames bigint"
 STEP = 1 << 21  # frames handled at once
+MOST_BUCKETS = 1 << 16  # bounds what is exchanged a read and what is broadcast (a row a bucket); beyond, buckets grow instead
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class Extent:
 
 def extent(reads: DataFrame, config: PathConfig, bucket_rows: int = 2_000_000) -> Extent:
     low, high, bases = reads.agg(F.min("read_ix"), F.max("read_ix"), F.sum(F.length("seq").cast("long"))).first()
-    buckets = max(reads.sparkSession.sparkContext.defaultParallelism, -(-(bases or 0) * config.patterns // bucket_rows))
+    buckets = min(MOST_BUCKETS, max(reads.sparkSession.sparkContext.defaultParallelism, -(-(bases or 0) * config.patterns // bucket_rows)))
     return Extent(low or 0, high or 0, buckets, bucket_rows)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, seed_table
-from longpath.operators import index, kmers, probe, qc, select, tiles
+from longpath.operators import index, kmers, probe, qc, reduce, sampled, select, tiles
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
 from longpath.sources import fastq
@@ -120,6 +120,17 @@ def kmer_spectrum(spark, sf_dir):
     return kmers.spectrum(_clean(spark, sf_dir), SMALL)
 
 
+CLASS_BITS, SLOT_BITS, MULTIPLICITIES = 2, 20, 100  # half of the codes, on 2 * 2^20 counters a pattern
+
+
+def kmer_f0_sampled(spark, sf_dir):
+    return sampled.sampled_f0(_clean(spark, sf_dir), SMALL, CLASS_BITS, SLOT_BITS)
+
+
+def kmer_spectrum_sampled(spark, sf_dir):
+    return sampled.sampled_spectrum(_clean(spark, sf_dir), SMALL, CLASS_BITS, SLOT_BITS, MULTIPLICITIES)
+
+
 SLOTS = 1_000_003
 
 
@@ -304,6 +315,34 @@ def path_rollover(spark, sf_dir):
     return _decisions(spark, sf_dir, True)
 
 
+RANGES = 8
+
+
+def reduced_select(spark, sf_dir):
+    """What a selection by ranges and merges does with each clean read: decision, and the part that stays."""
+    reads = _stored(spark, sf_dir)
+    kept = reduce.reduced(reads, SMALL, RANGES).select("read_ix", "whole", "start", F.length("seq").alias("size"))
+    what = F.when(F.col("whole"), "untrimmed").when(~F.col("whole"), "trimmed").otherwise("drop")
+    return reads.select("read_ix").join(kept, "read_ix", "left").select("read_ix", what.alias("decision"), F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.coalesce("size", F.lit(0)).alias("size"))
+
+
+def reduced_paths(spark, sf_dir):
+    """Three paths through all clean reads, each by ranges and merges."""
+    reads = _stored(spark, sf_dir)
+    return reduce.reduced_paths(reads, _rolling(reads), RANGES).select("path_no", "read_ix", "whole", "start", F.length("seq").alias("size"))
+
+
+def merge_ranges(spark, sf_dir):
+    """One merge: the reads of the upper half of numbers, judged against the index of the lower half."""
+    reads = _stored(spark, sf_dir)
+    low, high = reads.agg(F.min("read_ix"), F.max("read_ix")).first()
+    first = F.col("read_ix") <= ((low or 0) + (high or 0)) // 2
+    dealt = reduce.in_units(reads, SMALL, 1)
+    buckets = probe.extent(reads, SMALL).buckets
+    pieces = dealt.where(~first).select("shard", "unit", "read_ix", F.lit(True).alias("whole"), F.lit(0).cast("long").alias("start"), "seq")
+    return reduce.judge(pieces, reduce.insert(dealt.where(first), SMALL, buckets), SMALL, buckets, all_rows=True)
+
+
 def _fixed_decisions(spark, sf_dir):
     """A decision for every clean read by its length alone, to test emission: some whole, some cut, some dropped."""
     n = F.floor(F.length("seq") / SMALL.tile).cast("int")
@@ -349,8 +388,8 @@ def silver_then_golden(spark, sf_dir):
 
 NAMES = (
     read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
-    kmer_spectrum, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
-    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
+    kmer_spectrum, kmer_f0_sampled, kmer_spectrum_sampled, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
+    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
 
 
@@ -413,6 +452,17 @@ def _codes(source: str, columns: str, text: str, place: str) -> str:
 KMERS = f"""chunks AS (SELECT substr(seq, c * 100 + 1, {99 + SMALL.span + SMALL.patterns - 1}) AS chunk FROM (SELECT seq, unnest(range(0, CAST(length(seq) // 100 + 1 AS BIGINT))) AS c FROM clean)),
 positions AS (SELECT chunk, unnest(range(0, 100)) AS p FROM chunks),
 kmers AS ({_codes('positions', 'p', 'chunk', 'p')})"""
+_HASH = lambda w: "(" + " + ".join([str(sampled.FACTORS[w][4]), *(f"{a} * ((code >> {16 * i}) & 65535) % {sampled.PRIME}" for i, a in enumerate(sampled.FACTORS[w][:4]))]) + f") % {sampled.PRIME}"
+SKETCH = f"""sketch AS (
+  SELECT seed_ix, class, slot, count(*) AS v FROM (SELECT seed_ix, ({_HASH(0)}) >> {31 - CLASS_BITS} AS class, ({_HASH(1)}) >> {31 - SLOT_BITS} AS slot FROM kmers) WHERE class IN (1, 2) GROUP BY ALL),
+sets AS (SELECT seed_ix, class, count(*) AS used, ln({1 << SLOT_BITS}.0 / ({1 << SLOT_BITS} - count(*))) AS rate FROM sketch GROUP BY ALL)"""
+SHARES = f"""occupied AS (SELECT seed_ix, class, v, count(*) / {1 << SLOT_BITS}.0 AS p FROM sketch GROUP BY ALL),
+lists AS (
+  SELECT s.seed_ix, s.class, s.rate, list(CASE WHEN i = 0 THEN 1 - s.used / {1 << SLOT_BITS}.0 ELSE coalesce(o.p, 0) END ORDER BY i) AS p
+  FROM sets s CROSS JOIN range(0, {MULTIPLICITIES + 1}) AS r(i) LEFT JOIN occupied o ON o.seed_ix = s.seed_ix AND o.class = s.class AND o.v = i GROUP BY ALL),
+shares AS (
+  SELECT seed_ix, class, rate, list_reduce(list_prepend([0.0::DOUBLE], list_transform(range(1, {MULTIPLICITIES + 1}), lambda i: [i::DOUBLE])),
+    lambda acc, x: list_append(acc, (x[1] * p[x[1]::INT + 1] / rate - CASE WHEN x[1] = 1 THEN 0 ELSE list_dot_product(acc[2:x[1]::INT], list_reverse(p[2:x[1]::INT])) END) / p[1])) AS w FROM lists)"""
 TILES = f"tiles AS (SELECT read_ix, CAST(t AS INT) AS tile_ix, substr(seq, t * {SMALL.tile} + 1, {SMALL.tile + SMALL.span - 1}) AS \"window\" FROM (SELECT *, unnest(range(0, CAST(length(seq) // {SMALL.tile} AS BIGINT))) AS t FROM clean))"
 FRAMES = f"""places AS (SELECT *, unnest(range(0, CAST(length("window") AS BIGINT) - {SMALL.span - 1})) AS f FROM tiles),
 frames AS ({_codes('places', 'read_ix, tile_ix, CAST(f AS INT) AS frame_ix', '"window"', 'least(f, length("window") - {span})').replace('SELECT read_ix, tile_ix, CAST(f AS INT) AS frame_ix, CAST(seed_ix', 'SELECT read_ix, tile_ix, frame_ix, CAST(seed_ix', 1)})"""
@@ -493,6 +543,15 @@ sides AS (
 judged AS (
   SELECT *, CASE WHEN n < 15 THEN (a = 0 OR len(lefts) > len(list_distinct(lefts))) AND (b = n - 1 OR len(rights) > len(list_distinct(rights)))
     ELSE s - 5 < 1 OR len(lefts) > len(list_distinct(lefts)) OR e + 5 >= n - 1 OR len(rights) > len(list_distinct(rights)) END AS anchored FROM sides)"""
+HALVES = """cut AS (SELECT (min(read_ix) + max(read_ix)) // 2 AS middle FROM clean),
+earlier AS (SELECT clean.* FROM clean, cut WHERE read_ix <= middle),
+later AS (SELECT clean.* FROM clean, cut WHERE read_ix > middle)"""
+LEAST_INDEX = f"""idx AS (
+  SELECT seed_ix, code, first(block_id ORDER BY ((xor(code * {SMALL.patterns} + seed_ix, block_id) & 4294967295) * {reduce.HASH}) & 4294967295, block_id) AS id FROM occurrences GROUP BY seed_ix, code)"""
+LATER_TILES = f"""middle AS (SELECT read_ix, CAST(length(seq) // {T} AS INT) AS n, unnest(range(0, CAST(length(seq) // {T} AS BIGINT))) AS t FROM later),
+per_tile AS (
+  SELECT middle.read_ix, middle.n, t, coalesce(first(id ORDER BY c.n DESC, id), 0) AS id, coalesce(max(c.n) > {SMALL.hits}, false) AS f, coalesce(list({{'id': id, 'n': c.n}}) FILTER (WHERE c.n > 2), []) AS c
+  FROM middle LEFT JOIN counts c ON c.read_ix = middle.read_ix AND c.tile_ix = t GROUP BY ALL)"""
 ISLANDS = GAP[GAP.index("islands AS") :]
 
 
@@ -530,6 +589,9 @@ def oracle_sql() -> dict[str, str]:
         "distinct_kmers": _with(CLEAN, KMERS) + "SELECT seed_ix, CAST(code // 4194304 AS INT) AS code_range, count(*) AS codes, CAST(sum(code) AS BIGINT) AS code_sum, CAST(sum(n) AS BIGINT) AS total FROM (SELECT seed_ix, code, count(*) AS n FROM kmers GROUP BY ALL) GROUP BY ALL",
         "kmer_f0": _with(CLEAN, KMERS) + "SELECT seed_ix, count(*) AS total, count(DISTINCT code) AS f0, CAST(sum(count(DISTINCT code)) OVER () AS BIGINT) AS expected_entries FROM kmers GROUP BY seed_ix",
         "kmer_spectrum": _with(CLEAN, KMERS) + "SELECT seed_ix, CAST(n AS INT) AS multiplicity, count(*) AS codes FROM (SELECT seed_ix, code, count(*) AS n FROM kmers GROUP BY ALL) WHERE n <= 10000 GROUP BY ALL",
+        "kmer_f0_sampled": _with(CLEAN, KMERS, SKETCH) + f"SELECT seed_ix, CAST(round(sum(rate * {1 << SLOT_BITS} * {1 << CLASS_BITS}) / 2) AS BIGINT) AS f0 FROM sets GROUP BY seed_ix",
+        "kmer_spectrum_sampled": _with(CLEAN, KMERS, SKETCH, SHARES) + f"""SELECT seed_ix, CAST(i AS INT) AS multiplicity, CAST(round(greatest(f, 0)) AS BIGINT) AS codes FROM (
+  SELECT seed_ix, i, sum(w[i + 1] / i * rate * {1 << SLOT_BITS} * {1 << CLASS_BITS}) / 2 AS f FROM shares CROSS JOIN range(1, {MULTIPLICITIES + 1}) AS r(i) GROUP BY ALL) WHERE round(greatest(f, 0)) > 0""",
         "slot_hash": _with(CLEAN, KMERS) + f"SELECT seed_ix, CAST(code % {SLOTS} // 1000 AS INT) AS slot_range, count(*) AS n, CAST(sum(code % {SLOTS}) AS BIGINT) AS slot_sum FROM kmers GROUP BY ALL",
         "slot_rank": _with(CLEAN, KMERS) + f"SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS rank FROM (SELECT DISTINCT code % {SLOTS} AS slot FROM kmers)",
         "filter_size": _with(CLEAN) + f"SELECT read_ix, CAST({n} AS BIGINT) AS entries, {bits} + 64 - {bits} % 64 AS bits FROM clean",
@@ -550,6 +612,8 @@ def oracle_sql() -> dict[str, str]:
         "tile_smooth": _with(CLEAN, SMOOTH) + "SELECT read_ix, CAST(i AS INT) AS tile_ix, CAST(id AS BIGINT) AS id, f AS assigned FROM smooth",
         "flank_eval": _with(CLEAN, SMOOTH, ISLANDS, DECIDE) + "SELECT read_ix, CAST(s AS INT) AS gap_start, CAST(e AS INT) AS gap_end, anchored, CAST(a AS INT) AS first, CAST(b AS INT) AS last FROM judged WHERE NOT novel AND assigned < n",
         "read_decision": _with(CLEAN, SMOOTH, ISLANDS, DECIDE) + """SELECT read_ix, decision, CAST(CASE decision WHEN 'trimmed' THEN a ELSE 0 END AS INT) AS trim_start, CAST(CASE decision WHEN 'trimmed' THEN b WHEN 'untrimmed' THEN n - 1 ELSE 0 END AS INT) AS trim_end
+  FROM (SELECT *, CASE WHEN novel THEN 'untrimmed' WHEN assigned = n OR NOT anchored THEN 'drop' ELSE 'trimmed' END AS decision FROM judged)""",
+        "merge_ranges": _with(CLEAN, HALVES, TILES, FRAMES, BLOCKS.replace("FROM clean", "FROM earlier"), OCCURRENCES, LEAST_INDEX, PROBED.replace("FROM frames", "FROM (SELECT * FROM frames WHERE read_ix IN (SELECT read_ix FROM later)) AS frames"), COUNTS, LATER_TILES, SMOOTH[SMOOTH.index("s0 AS") :], ISLANDS, DECIDE) + """SELECT read_ix, decision, CAST(CASE decision WHEN 'trimmed' THEN a ELSE 0 END AS INT) AS trim_start, CAST(CASE decision WHEN 'trimmed' THEN b WHEN 'untrimmed' THEN n - 1 ELSE 0 END AS INT) AS trim_end, CAST(assigned AS INT) AS assigned
   FROM (SELECT *, CASE WHEN novel THEN 'untrimmed' WHEN assigned = n OR NOT anchored THEN 'drop' ELSE 'trimmed' END AS decision FROM judged)""",
         "longest_gap": _with(CLEAN, GAP) + "SELECT c.read_ix, CAST(coalesce(s, 0) AS INT) AS gap_start, CAST(coalesce(e, 0) AS INT) AS gap_end FROM clean c LEFT JOIN best USING (read_ix)",
         "trim_emit": _with(CLEAN, DECISIONS) + "SELECT * FROM pieces",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -19,6 +19,26 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{found.rstrip('/')}/longpath-reads/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+    folder = shared_folder(df.sparkSession, tag)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder; results that read it have to be written before."""
+    delete(spark, shared_folder(spark, "x").rsplit("/", 1)[0])
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        marker = f"/longpath-reads/{df.sparkSession.sparkContext.applicationId}/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if marker in f}:
+            delete(df.sparkSession, folder)
+
+
 def input_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of a file, or of all files below a folder."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
