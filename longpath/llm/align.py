@@ -148,8 +148,12 @@ def closed(a: np.ndarray, ea: np.ndarray, b: np.ndarray, eb: np.ndarray, bounds:
     places = np.union1d(ea, eb)  # between two places stand one A and one B token, and no two stretches have the same two
     of = np.searchsorted(bounds, places, "left")
     pair = a[np.searchsorted(ea, places)].astype(np.int64) << BITS | b[np.searchsorted(eb, places)]
-    order = np.lexsort((pair, of))
-    of, pair = of[order], pair[order]
+    if (bits := int(pair.max()).bit_length()) + len(bounds).bit_length() < 63:  # one sort of both
+        both = np.sort(of << bits | pair)
+        of, pair = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.lexsort((pair, of))
+        of, pair = of[order], pair[order]
     new = np.ones(len(pair), bool)
     new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
     at = np.flatnonzero(new)
