@@ -7,18 +7,19 @@
 * importance: for every style node Spark counts on how many pages each presentation (its children's tags) and each piece of
   content (a run of text between separators) stands. Of m pages with the node, a piece on k pages has entropy log k / log m:
   0 if it is found nowhere else, 1 if every page has it. The content importance of a node is 1 less the mean entropy of
-  the pieces below it, links counting ``links`` less; its presentation importance is the entropy of its presentations
-  to base m. With l children on average and g = ``decay``, importance is (1 - g^l) presentation + g^l content. It is taken
-  relative to the site's mean content importance by characters, so a site whose articles repeat is not emptied. A node on fewer than
-  ``few`` pages is not judged. The score of a path is the lower one of host and all hosts.
+  the pieces below it, links counting ``links`` less; its presentation importance is likewise 1 less the
+  mean entropy of its presentations (for one a page, that is their entropy to base m). With l children on average and g = ``decay``, importance is (1 - g^l) presentation + g^l content. It is taken
+  relative to the site's mean content importance by characters, so a site whose articles repeat is not emptied. A node on one
+  page has nothing to be compared with and is not judged; from two on the entropies say the same at any number of pages. The score of a path is the lower one of host and all hosts.
 * removal: a branch goes if the score of its node and of all nodes below is less than what its place asks for:
   ``inside`` for those inside of an article or main element (its headings stay), ``plain`` where a page has no such element. If it has one,
   what stands outside has to score ``outside`` itself. Names break ties: a class or id that says menu, advert and so on asks for ``named``
-  (inside of articles only names that articles don't use for their own parts do, others for ``weak``). These two have to be shown on
-  ``sure`` pages, as few pages hold no repetition; what is judged on fewer goes if it is outside of the article or so named.
+  (inside of articles only names that articles don't use for their own parts do, others for ``weak``). What is not judged goes if it is outside of the
+  article or so named: there its place is all that is known.
   No name removes an element around an article. What HTML itself calls navigation, footer, header (outside of articles), aside,
   form, menu or hidden goes, and so do reader comments (also as article elements), which no repetition tells from the text.
-  A page that would be left empty is judged again without tree and names, then without its forms.
+  A form of more than ``PROSE`` words a control is a wrapper around the page, not a form. A page that the tree would leave empty (one of many copies, say) is
+  judged by HTML and names alone; if they leave nothing, its text is empty.
 * text: character references are decoded; each block's white space becomes single spaces; blocks are trimmed, empty ones left out, and
   joined by one line end in page order.
 
@@ -70,6 +71,8 @@ SEPARATOR = re.compile("[\u00b7\u2022|\u00bb\u00ab\u2013\u2014]+")
 ATTRIBUTES = re.compile(r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+CONTROLS = frozenset("input select textarea button".split())
+PROSE = 40  # words a control
 DEPTH, STEP = 48, 5  # levels of a path, and bytes for each
 
 
@@ -309,22 +312,40 @@ class Asks:
     outside: float = 0.9
     named: float = 0.98
     weak: float = 0.3
-    sure: int = 100
 
 
 def main_text(page: str, scores: dict[bytes, tuple[float, int]] | None = None, asks: Asks = Asks(), names: bool = True) -> str:
     """The text blocks of a page without the branches that go (see above); scores: score and pages of judged paths."""
     root = parse(page)
     nodes = walk(root)
-    return _text(nodes, scores or {}, asks, names, True) or _text(nodes, {}, asks, False, True) or _text(nodes, {}, asks, False, False)
-
-
-def _text(nodes: list[tuple[Node, int, bytes]], scores: dict[bytes, tuple[float, int]], asks: Asks, names: bool, forms: bool) -> str:
+    wrappers = _wrappers(nodes)
+    return _text(nodes, scores or {}, asks, names, wrappers) or (_text(nodes, {}, asks, names, wrappers) if scores else "")
+
+
+def _wrappers(nodes: list[tuple[Node, int, bytes]]) -> set[int]:
+    """Forms that hold more than PROSE words a control (of those that have any)."""
+    forms = [i for i, (node, _, _) in enumerate(nodes) if node.tag == "form"]
+    if not forms:
+        return set()
+    words, controls = [0] * len(nodes), [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        node, up, _ = nodes[i]
+        if node.tag in CONTROLS:
+            words[i], controls[i] = 0, 1
+        elif node.tag not in RAW:
+            words[i] += sum(len(x.split()) for x in node.parts if isinstance(x, str))
+        if up >= 0:
+            words[up] += words[i]
+            controls[up] += controls[i]
+    return {i for i in forms if words[i] > PROSE * max(controls[i], 1)}
+
+
+def _text(nodes: list[tuple[Node, int, bytes]], scores: dict[bytes, tuple[float, int]], asks: Asks, names: bool, wrappers: set[int]) -> str:
     n = len(nodes)
     gone, within, body = [False] * n, [False] * n, [False] * n  # body: an article or main that is the page's own
     for tag in ("article", "main"):
         for i, (node, up, _) in enumerate(nodes):
-            gone[i] = up >= 0 and gone[up] or node.comment or _by_html(node, within[up] if up >= 0 else False, forms)
+            gone[i] = up >= 0 and gone[up] or node.comment or i not in wrappers and _by_html(node, within[up] if up >= 0 else False)
             body[i] = node.tag == tag and not gone[i]
             within[i] = body[i] or up >= 0 and within[up]
         if any(body):
@@ -332,7 +353,6 @@ def _text(nodes: list[tuple[Node, int, bytes]], scores: dict[bytes, tuple[float,
     has = any(body)
     found = [scores.get(path) if judged(node) else None for node, _, path in nodes]
     own = [x[0] if x else None for x in found]
-    shown = [x[0] if x and x[1] >= asks.sure else None for x in found]
     best = [x if x is not None else 1.0 if judged(node) else -1.0 for x, (node, _, _) in zip(own, nodes, strict=True)]
     for i in range(n - 1, 0, -1):
         best[nodes[i][1]] = max(best[nodes[i][1]], best[i])
@@ -352,23 +372,23 @@ def _text(nodes: list[tuple[Node, int, bytes]], scores: dict[bytes, tuple[float,
             if body[i] or node.tag in KEEP_TAGS:
                 continue
             low = own[i] is not None and (by > 0 and own[i] < asks.weak or node.tag not in HEADINGS and best[i] < asks.inside)
-            drop[i] = low or by == 3 and beneath(shown[i], asks.named)
+            drop[i] = low or by == 3 and beneath(own[i], asks.named)
         elif has and not around[i]:
             if judged(node):
-                drop[i] = beneath(shown[i], asks.named if by >= 2 else asks.outside)
+                drop[i] = beneath(own[i], asks.named if by >= 2 else asks.outside)
             else:  # inline elements stay with a block that stays
                 drop[i] = node.tag in KEEP_TAGS or around[up]
         elif not around[i] and node.tag not in KEEP_TAGS:
-            drop[i] = by >= 2 and beneath(shown[i], asks.named) or own[i] is not None and best[i] < asks.plain
+            drop[i] = by >= 2 and beneath(own[i], asks.named) or own[i] is not None and best[i] < asks.plain
     return _joined(nodes, drop, has, within)
 
 
-def _by_html(node: Node, within: bool, forms: bool) -> bool:
+def _by_html(node: Node, within: bool) -> bool:
     """Whether HTML itself says noise. A header inside of an article holds its title and stays, and so does a form around it."""
     if node.tag in KEEP_TAGS:
         return False
     if node.tag == "form":
-        return forms and not node.holds
+        return not node.holds
     return node.tag in NOISE_TAGS or node.noise or node.tag == "header" and not within and not node.holds
 
 
@@ -412,17 +432,17 @@ def host_of(url: Column) -> Column:
 
 
 def _importance(counts: DataFrame, links: float, decay: float) -> DataFrame:
-    """host, path, pages, presentation, content, importance and score of every style node, from host, path, content, value, n, pages, size and linked."""
+    """host, path, pages, presentation, content, importance and score of every style node, from host, path, content, value, n, k (pages that have it), pages, size and linked."""
     content, n = F.col("content"), F.col("n")
     per = counts.groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), F.sum(F.when(~content, n)).alias("stands"), F.sum(F.when(~content, n * F.log2("n"))).alias("s_look"), F.sum(F.when(~content, F.col("size"))).alias("children"),
+        F.sum("pages").alias("pages"), F.sum(F.when(~content, n)).alias("stands"), F.sum(F.when(~content, n * F.log2("k"))).alias("s_look"), F.sum(F.when(~content, F.col("size"))).alias("children"),
         F.count_if(content).alias("pieces"), F.coalesce(F.sum(F.when(content, F.log2("n"))), F.lit(0.0)).alias("s_piece"),
         F.coalesce(F.sum(F.when(content, F.col("size"))), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.when(content, F.col("linked"))), F.lit(0)).alias("linked"),
     )
     m = F.log2(F.greatest("pages", F.lit(2)))
     per = per.select(
         "host", "path", "pages", "pieces", "chars", "linked", (F.col("children") / F.col("stands")).alias("l"), (F.col("s_piece") / m).alias("entropy"),
-        F.when(F.col("pages") > 1, F.least(F.lit(1.0), (F.log2("stands") - F.col("s_look") / F.col("stands")) / m)).otherwise(1.0).alias("presentation"),
+        F.when(F.col("pages") > 1, 1 - F.col("s_look") / F.col("stands") / m).otherwise(1.0).alias("presentation"),
     )
     site = per.groupBy("host").agg((F.sum(F.when(F.col("pieces") > 0, F.col("chars") * (1 - F.col("entropy") / F.col("pieces")))) / F.sum("chars")).alias("mean"))
     # a node's pieces are those of all nodes below: of the paths that its path begins
@@ -452,20 +472,20 @@ def style_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         return f
 
     rows = kernel(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), make, "host string, path binary, content boolean, value bigint, n bigint, pages boolean, size bigint, linked bigint", text="html")
-    return rows.groupBy("host", "path", "content", "value").agg(F.sum("n").alias("n"), F.count_if("pages").alias("pages"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
+    return rows.groupBy("host", "path", "content", "value").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.count_if("pages").alias("pages"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", few: int = 5, links: float = 0.3, decay: float = 0.9) -> DataFrame:
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", few: int = 2, links: float = 0.3, decay: float = 0.9) -> DataFrame:
     """host, path, pages, presentation, contents and importance (on the host), score (the lower one of host and all hosts; null if not judged) and all_pages."""
     counts = stored(style_counts(pages, url_col, html_col), "html-counts")
     own = _importance(counts, links, decay)
-    common = counts.groupBy("path", "content", "value").agg(*[F.sum(c).alias(c) for c in ("n", "pages", "size", "linked")]).withColumn("host", F.lit(""))
+    common = counts.groupBy("path", "content", "value").agg(*[F.sum(c).alias(c) for c in ("n", "k", "pages", "size", "linked")]).withColumn("host", F.lit(""))
     common = _importance(common, links, decay).where(F.col("pages") >= few).select("path", F.col("score").alias("common"), F.col("pages").alias("all_pages"))
     both = own.join(common, "path", "left").withColumn("score", F.when(F.col("pages") >= few, F.col("score")))
     return both.withColumns({"score": F.least("score", "common"), "all_pages": F.coalesce("all_pages", "pages")}).drop("common")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = 20_000, salts: int = 64, few: int = 5, names: bool = True, asks: Asks = Asks()) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = 20_000, salts: int = 64, few: int = 2, names: bool = True, asks: Asks = Asks()) -> DataFrame:
     """id, url, text and n_chars (code points) of each page's main text; names: whether class and id names break ties."""
     tree = style_tree(pages, url_col, html_col, few).where("score is not null").select("host", "path", "score", "all_pages")
     tree = stored(tree, "html-scores")

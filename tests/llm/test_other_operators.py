@@ -224,7 +224,8 @@ def test_site_tree_removes_what_a_host_repeats(spark):
         assert htmltext.extract(df, **settings).count() == len(rows)
     assert htmltext.extract(df.limit(0)).count() == 0
     few = df.where("page_id in (0, 1, 2)")
-    assert {r.text.count("\n") for r in htmltext.extract(few).collect()} == {TEXT.count("\n") + 2}  # too few pages to judge
+    assert {r.page_id: r.text for r in htmltext.extract(few).collect()} == {i: got[i].text for i in range(3)}  # three pages are judged like many
+    assert {r.text.count("\n") for r in htmltext.extract(few.where("page_id = 0")).collect()} == {TEXT.count("\n") + 2}  # one has nothing to be compared with
 
 
 def nameless(rng, n, host):
@@ -256,14 +257,17 @@ def test_importance_equals_brute_force(spark):
 
     rng = random.Random(6)
     rows = [(i, url, html) for i, (url, html, _) in enumerate(nameless(rng, 23, "one.example"))]
-    looks, pieces, chars, linked, on, kids = (defaultdict(Counter) for _ in range(6))
+    looks, pieces, chars, linked, on, kids, held = (defaultdict(Counter) for _ in range(7))
     for _, _, html in rows:
         root = htmltext.parse(html)
         nodes, seen = htmltext.walk(root), set()
+        shown = set()
         for node, _, path in nodes:
             if htmltext.judged(node):
                 tags = tuple(x.tag for x in node.parts if not isinstance(x, str))
                 looks[path][tags] += 1
+                held[path][tags] += (path, tags) not in shown
+                shown.add((path, tags))
                 kids[path]["n"] += len(tags)
                 on[path]["n"] += path not in seen
                 seen.add(path)
@@ -280,7 +284,7 @@ def test_importance_equals_brute_force(spark):
     for p, r in got.items():
         below = [q for q in looks if q.startswith(p)]
         n = sum(looks[p].values())
-        presentation = min(1, -sum(c / n * math.log(c / n) for c in looks[p].values()) / math.log(m[p]))
+        presentation = 1 - sum(c / n * math.log(held[p][t]) for t, c in looks[p].items()) / math.log(m[p])
         contents = (1 - sum(entropy[q] for q in below) / sum(len(pieces[q]) for q in below)) * (1 - 0.3 * sum(linked[q]["n"] for q in below) / sum(chars[q]["n"] for q in below))
         weight = 0.9 ** (kids[p]["n"] / n)
         want = (1 - weight) * presentation + weight * contents
@@ -435,3 +439,28 @@ def test_stored_tables_can_be_released(spark):
     common.release(spark)
     with pytest.raises(Exception, match="(?i)not exist|no such file|FILE_NOT_EXIST"):
         spark.read.parquet(*two.inputFiles()).count()
+
+
+@pytest.mark.parametrize("n", [2, 4, 99, 100, 1500])
+def test_the_text_of_a_page_does_not_hang_on_the_number_of_pages(spark, n):
+    body = "<body><div class='top'>Same menu here</div><div class='lead'>Unique lead text number {0} about topic {0}1 here.</div><div class='x'>{1}</div><article><p>Body {0} words.</p></article></body>"
+    rows = [(i, f"http://s.org/{i}", body.format(i, ("Buy one", "Buy two")[i % 2] if n > 2 else "Buy one")) for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Unique lead text number {i} about topic {i}1 here.\nBody {i} words." for i in range(n)}
+
+
+def test_pages_of_noise_are_empty():
+    assert htmltext.main_text("<nav>x</nav><div class='cookie-banner'>We use cookies</div><div class='menu'>A B</div>") == ""
+    assert htmltext.main_text("<form><p>Log in here</p><input><button>Go</button></form>") == ""
+    prose = "many words of an article " * 30
+    assert htmltext.main_text(f"<form><input><p>{prose}</p></form>") == prose.strip()  # a form around the whole page
+
+
+def test_the_tree_decides_inside_of_articles(spark):
+    """Menu and promotion stand inside of the article element, without telling names: only repetition tells them from the text."""
+    page = "<article><div class='a1'>Home News Sport</div><div class='b1'>{1}</div><p>Text of page {0}, which says {0} things.</p><p>More about {0}.</p></article>"
+    rows = [(i, f"http://h{i % 3}.org/{i}", page.format(i, "Buy our shoes")) for i in range(60)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(table).collect()}
+    alone = {i: htmltext.main_text(h) for i, _, h in rows}
+    assert got == {i: f"Text of page {i}, which says {i} things.\nMore about {i}." for i in got} and sum(got[i] != alone[i] for i in got) == 60
