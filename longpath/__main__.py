@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     path.add_argument("--genome-size", type=float, required=True)
     path.add_argument("--keep-silver", action="store_true", help="leave the silver paths where they are")
     path.add_argument("--shards", type=int, default=1, help="independent folds of the first round")
+    path.add_argument("--ranges", type=int, default=0, help="select by so many ranges of reads and merges of them, instead of one fold")
     default = PathConfig()
     for name in ("min_length", "min_phred", "max_delta", "tile", "block", "span", "weight", "patterns", "hits", "min_unassigned", "max_assigned", "max_paths"):
         path.add_argument(f"--{name.replace('_', '-')}", type=int, default=getattr(default, name))
@@ -51,7 +52,7 @@ def main(arguments: list[str] | None = None) -> int:
     try:
         config = PathConfig(**{k: v for k, v in vars(options).items() if k in PathConfig.__dataclass_fields__ and k != "genome_size"}, genome_size=int(options.genome_size))
         print(json.dumps(asdict(config)), file=sys.stderr)
-        report = run_paths(spark, options.reads, options.out, config, options.exclude, options.shards, options.keep_silver)
+        report = run_paths(spark, options.reads, options.out, config, options.exclude, options.shards, options.keep_silver, options.ranges)
     except (ValueError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, seed_table
 from longpath.operators import index, kmers, probe, qc, reduce, sampled, select, tiles
+from longpath.operators.snapshot import IndexStore
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
 from longpath.sources import fastq
 from longpath.sources.derived import derived_reads, reads_sql
 from longpath.sources.files import shared_folder
+from longpath.streaming.incremental import IncrementalSelection
 
 TARGET = 100_000  # genome size for paths that roll over, in tests of sf0.001
 
@@ -343,6 +345,30 @@ def merge_ranges(spark, sf_dir):
     return reduce.judge(pieces, reduce.insert(dealt.where(first), SMALL, buckets), SMALL, buckets, all_rows=True)
 
 
+def index_dump(spark, sf_dir):
+    """The index of all clean reads, written as a snapshot and read back, summed by id."""
+    reads = _stored(spark, sf_dir)
+    store = IndexStore(spark, shared_folder(spark, "index"))
+    store.write(0, reduce.insert(reads, SMALL, probe.extent(reads, SMALL).buckets), {})
+    rows = probe.entries(store.index(0).withColumn("writers", F.col("ids")), SMALL)
+    return rows.groupBy("id").agg(F.count("*").alias("slots"), F.sum("code").alias("code_sum"))
+
+
+BATCHES = 3
+
+
+def stream_select(spark, sf_dir):
+    """The clean reads in three files, selected by the resumable stream."""
+    reads, folder = _stored(spark, sf_dir), shared_folder(spark, "stream")
+    low, high = reads.agg(F.min("read_ix"), F.max("read_ix")).first()
+    batch = F.floor((F.col("read_ix") - (low or 0)) * BATCHES / ((high or 0) - (low or 0) + 1))
+    for i in range(BATCHES):  # one after another, as a stream takes files in the order of their times
+        reads.where(batch == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    selection = IncrementalSelection(spark, f"{folder}/out", SMALL, buckets=probe.extent(reads, SMALL).buckets, parts=2)
+    selection.start(spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")).awaitTermination()
+    return selection.pieces().select("path_no", "read_ix", "whole", "start", F.length("seq").alias("size"))
+
+
 def _fixed_decisions(spark, sf_dir):
     """A decision for every clean read by its length alone, to test emission: some whole, some cut, some dropped."""
     n = F.floor(F.length("seq") / SMALL.tile).cast("int")
@@ -389,7 +415,7 @@ def silver_then_golden(spark, sf_dir):
 NAMES = (
     read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
     kmer_spectrum, kmer_f0_sampled, kmer_spectrum_sampled, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
-    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
+    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
 
 
@@ -615,6 +641,7 @@ def oracle_sql() -> dict[str, str]:
   FROM (SELECT *, CASE WHEN novel THEN 'untrimmed' WHEN assigned = n OR NOT anchored THEN 'drop' ELSE 'trimmed' END AS decision FROM judged)""",
         "merge_ranges": _with(CLEAN, HALVES, TILES, FRAMES, BLOCKS.replace("FROM clean", "FROM earlier"), OCCURRENCES, LEAST_INDEX, PROBED.replace("FROM frames", "FROM (SELECT * FROM frames WHERE read_ix IN (SELECT read_ix FROM later)) AS frames"), COUNTS, LATER_TILES, SMOOTH[SMOOTH.index("s0 AS") :], ISLANDS, DECIDE) + """SELECT read_ix, decision, CAST(CASE decision WHEN 'trimmed' THEN a ELSE 0 END AS INT) AS trim_start, CAST(CASE decision WHEN 'trimmed' THEN b WHEN 'untrimmed' THEN n - 1 ELSE 0 END AS INT) AS trim_end, CAST(assigned AS INT) AS assigned
   FROM (SELECT *, CASE WHEN novel THEN 'untrimmed' WHEN assigned = n OR NOT anchored THEN 'drop' ELSE 'trimmed' END AS decision FROM judged)""",
+        "index_dump": _with(*static, LEAST_INDEX) + "SELECT id, count(*) AS slots, CAST(sum(code) AS BIGINT) AS code_sum FROM idx GROUP BY id",
         "longest_gap": _with(CLEAN, GAP) + "SELECT c.read_ix, CAST(coalesce(s, 0) AS INT) AS gap_start, CAST(coalesce(e, 0) AS INT) AS gap_end FROM clean c LEFT JOIN best USING (read_ix)",
         "trim_emit": _with(CLEAN, DECISIONS) + "SELECT * FROM pieces",
         "emit_fasta": _with(CLEAN, DECISIONS) + "SELECT '>' || header || chr(10) || seq AS value FROM pieces",

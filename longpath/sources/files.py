@@ -48,3 +48,15 @@ def input_bytes(spark: SparkSession, path: str) -> int:
 def delete(spark: SparkSession, path: str) -> None:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if it is not there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(found)] if files.exists(found) else []

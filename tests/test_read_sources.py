@@ -106,6 +106,11 @@ def test_command_line_runs_both_rounds(spark, tmp_path, capsys):
     assert json.loads("".join(f.read_text() for f in (out / "parameters.json").glob("*.txt")))["genome_size"] == 30_000
     assert list((out / "stats" / "golden").glob("*.csv")) and list((out / "counters").glob("*.csv"))
     assert main(["clean", "--out", str(out)]) == 0 and not (out / "silver").exists() and (out / "golden").exists()
+    by_ranges = [str(tmp_path / "ranges") if x == str(out) else x for x in run]
+    assert main([*by_ranges, "--ranges", "2", "--max-paths", "2"]) == 0
+    assert json.loads(capsys.readouterr().out)["passed"] == 60 and list((tmp_path / "ranges" / "stats" / "golden").glob("*.csv"))
+    again = "".join(f.read_text() for f in (tmp_path / "ranges" / "golden" / "path_no=1").glob("*.txt"))
+    assert again.count(">r") > 3 and 0.7 < len(again) / len(golden) < 1.4
     assert main([*run[:6], "0", "--min-length", "1000"]) == 1 and "genome size" in capsys.readouterr().err
     assert main([*run[:7], "--min-length", "100000"]) == 1 and "no read passed" in capsys.readouterr().err
     assert main(["version"]) == 0 and main(["help"]) == 0

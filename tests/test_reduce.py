@@ -41,6 +41,8 @@ def slow_judge(seq, index, config):
         candidates.append(c)
         best.append(min(hits, key=lambda b: (-hits[b], b)) if hits else 0)
         on.append(max(c.values(), default=0) > config.hits)
+    if not any(on):
+        return "untrimmed", 0, len(on) - 1
     best, on = tiles.smooth(best, on, candidates, config)
     return tiles.decide(best, on, config)
 
