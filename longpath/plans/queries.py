@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, seed_table
-from longpath.operators import index, kmers, probe, qc, reduce, sampled, select, tiles
+from longpath.operators import index, kmers, probe, qc, reduce, sampled, select, sketch, tiles
 from longpath.operators.snapshot import IndexStore
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
@@ -354,6 +354,23 @@ def index_dump(spark, sf_dir):
     return rows.groupBy("id").agg(F.count("*").alias("slots"), F.sum("code").alias("code_sum"))
 
 
+SKETCH_SLOTS, MOST_WRITERS = 16_000_057, 3
+
+
+def sketch_index(spark, sf_dir):
+    """Slots, ranks, ids and saturation of the index of all clean reads in sketch form."""
+    return sketch.slots_of(sketch.sketch(_stored(spark, sf_dir), SMALL, SKETCH_SLOTS, MOST_WRITERS))
+
+
+def sketch_lookup(spark, sf_dir):
+    """The reads of the upper half of numbers, looked up in a sketch of the lower half."""
+    reads = _stored(spark, sf_dir)
+    low, high = reads.agg(F.min("read_ix"), F.max("read_ix")).first()
+    first = F.col("read_ix") <= ((low or 0) + (high or 0)) // 2
+    dealt = reduce.in_units(reads, SMALL, 1)
+    return sketch.lookups(dealt.where(~first), sketch.sketch(dealt.where(first), SMALL, SKETCH_SLOTS, MOST_WRITERS), SMALL, SKETCH_SLOTS)
+
+
 BATCHES = 3
 
 
@@ -415,7 +432,7 @@ def silver_then_golden(spark, sf_dir):
 NAMES = (
     read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
     kmer_spectrum, kmer_f0_sampled, kmer_spectrum_sampled, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
-    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
+    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
 
 
@@ -641,6 +658,13 @@ def oracle_sql() -> dict[str, str]:
   FROM (SELECT *, CASE WHEN novel THEN 'untrimmed' WHEN assigned = n OR NOT anchored THEN 'drop' ELSE 'trimmed' END AS decision FROM judged)""",
         "merge_ranges": _with(CLEAN, HALVES, TILES, FRAMES, BLOCKS.replace("FROM clean", "FROM earlier"), OCCURRENCES, LEAST_INDEX, PROBED.replace("FROM frames", "FROM (SELECT * FROM frames WHERE read_ix IN (SELECT read_ix FROM later)) AS frames"), COUNTS, LATER_TILES, SMOOTH[SMOOTH.index("s0 AS") :], ISLANDS, DECIDE) + """SELECT read_ix, decision, CAST(CASE decision WHEN 'trimmed' THEN a ELSE 0 END AS INT) AS trim_start, CAST(CASE decision WHEN 'trimmed' THEN b WHEN 'untrimmed' THEN n - 1 ELSE 0 END AS INT) AS trim_end, CAST(assigned AS INT) AS assigned
   FROM (SELECT *, CASE WHEN novel THEN 'untrimmed' WHEN assigned = n OR NOT anchored THEN 'drop' ELSE 'trimmed' END AS decision FROM judged)""",
+        "sketch_index": _with(*static) + f"""SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS rank, id, n > {MOST_WRITERS} AS saturated FROM (
+  SELECT (code * {h} + seed_ix) % {SKETCH_SLOTS} AS slot, min(block_id) AS id, count(DISTINCT block_id) AS n FROM occurrences GROUP BY slot)""",
+        "sketch_lookup": _with(CLEAN, HALVES, TILES, FRAMES, BLOCKS.replace("FROM clean", "FROM earlier"), OCCURRENCES) + f"""
+  , slots AS (SELECT (code * {h} + seed_ix) % {SKETCH_SLOTS} AS slot, count(DISTINCT block_id) AS n FROM occurrences GROUP BY slot),
+  found AS (SELECT read_ix, tile_ix, frame_ix, n FROM (SELECT *, (code * {h} + seed_ix) % {SKETCH_SLOTS} AS slot FROM frames WHERE read_ix IN (SELECT read_ix FROM later)) LEFT JOIN slots USING (slot)),
+  per_frame AS (SELECT read_ix, tile_ix, frame_ix, count(n) AS used, count(*) FILTER (WHERE n <= {MOST_WRITERS}) AS hits, count(*) FILTER (WHERE n > {MOST_WRITERS}) AS saturated FROM found GROUP BY ALL)
+SELECT read_ix, count(*) AS frames, count(*) FILTER (WHERE used = {h}) AS full_frames, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(saturated) AS BIGINT) AS saturated FROM per_frame GROUP BY read_ix""",
         "index_dump": _with(*static, LEAST_INDEX) + "SELECT id, count(*) AS slots, CAST(sum(code) AS BIGINT) AS code_sum FROM idx GROUP BY id",
         "longest_gap": _with(CLEAN, GAP) + "SELECT c.read_ix, CAST(coalesce(s, 0) AS INT) AS gap_start, CAST(coalesce(e, 0) AS INT) AS gap_end FROM clean c LEFT JOIN best USING (read_ix)",
         "trim_emit": _with(CLEAN, DECISIONS) + "SELECT * FROM pieces",
