@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, seed_table
-from longpath.operators import index, kmers, probe, qc, reduce, sampled, select, sketch, tiles
+from longpath.operators import index, kmers, probe, qc, reduce, sampled, select, sketch, strands, tiles
 from longpath.operators.snapshot import IndexStore
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
@@ -371,6 +371,20 @@ def sketch_lookup(spark, sf_dir):
     return sketch.lookups(dealt.where(~first), sketch.sketch(dealt.where(first), SMALL, SKETCH_SLOTS, MOST_WRITERS), SMALL, SKETCH_SLOTS)
 
 
+PER_FRAME = 2
+
+
+def strand_lookup(spark, sf_dir):
+    """The reads of the upper half of numbers, those of odd number from the other strand, looked up in an index with strands of the lower half."""
+    reads = _stored(spark, sf_dir)
+    low, high = reads.agg(F.min("read_ix"), F.max("read_ix")).first()
+    first = F.col("read_ix") <= ((low or 0) + (high or 0)) // 2
+    buckets = probe.extent(reads, SMALL).buckets
+    other = F.reverse(F.translate("seq", "ACGT", "TGCA"))
+    asked = reduce.in_units(reads, SMALL, 1).where(~first).withColumn("seq", F.when(F.col("read_ix") % 2 == 1, other).otherwise(F.col("seq")))
+    return strands.lookups(asked, strands.insert(reads.where(first), SMALL, buckets, PER_FRAME), SMALL, buckets)
+
+
 BATCHES = 3
 
 
@@ -432,7 +446,7 @@ def silver_then_golden(spark, sf_dir):
 NAMES = (
     read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
     kmer_spectrum, kmer_f0_sampled, kmer_spectrum_sampled, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
-    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
+    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, strand_lookup, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
 
 
@@ -595,6 +609,13 @@ LATER_TILES = f"""middle AS (SELECT read_ix, CAST(length(seq) // {T} AS INT) AS
 per_tile AS (
   SELECT middle.read_ix, middle.n, t, coalesce(first(id ORDER BY c.n DESC, id), 0) AS id, coalesce(max(c.n) > {SMALL.hits}, false) AS f, coalesce(list({{'id': id, 'n': c.n}}) FILTER (WHERE c.n > 2), []) AS c
   FROM middle LEFT JOIN counts c ON c.read_ix = middle.read_ix AND c.tile_ix = t GROUP BY ALL)"""
+TURNED = """turned AS (SELECT * REPLACE (CASE WHEN read_ix > (SELECT (min(read_ix) + max(read_ix)) // 2 FROM clean) AND read_ix % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq) FROM clean)"""
+STRANDED = FRAMES.replace(" AS code FROM", " AS code, CAST(m > reverse(translate(m, 'ACGT', 'TGCA')) AS INT) AS strand FROM")
+_WEIGHT = f"((xor(key, value) & 4294967295) * {reduce.HASH}) & 4294967295"
+STRAND_INDEX = f"""valued AS (
+  SELECT f.read_ix, f.tile_ix, f.frame_ix, f.seed_ix, f.code * {SMALL.patterns} + f.seed_ix AS key, 2 * block_id + strand AS value FROM frames f JOIN blocks ON f.read_ix = blocks.read_ix AND f.tile_ix BETWEEN first_tile AND last_tile),
+chosen AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY read_ix, tile_ix, frame_ix ORDER BY {_WEIGHT}, seed_ix) AS r FROM valued) WHERE r <= {PER_FRAME}),
+idx AS (SELECT key, first(value ORDER BY {_WEIGHT}, value) AS value FROM chosen GROUP BY key)"""
 ISLANDS = GAP[GAP.index("islands AS") :]
 
 
@@ -665,6 +686,8 @@ def oracle_sql() -> dict[str, str]:
   found AS (SELECT read_ix, tile_ix, frame_ix, n FROM (SELECT *, (code * {h} + seed_ix) % {SKETCH_SLOTS} AS slot FROM frames WHERE read_ix IN (SELECT read_ix FROM later)) LEFT JOIN slots USING (slot)),
   per_frame AS (SELECT read_ix, tile_ix, frame_ix, count(n) AS used, count(*) FILTER (WHERE n <= {MOST_WRITERS}) AS hits, count(*) FILTER (WHERE n > {MOST_WRITERS}) AS saturated FROM found GROUP BY ALL)
 SELECT read_ix, count(*) AS frames, count(*) FILTER (WHERE used = {h}) AS full_frames, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(saturated) AS BIGINT) AS saturated FROM per_frame GROUP BY read_ix""",
+        "strand_lookup": _with(CLEAN, HALVES, TURNED, TILES.replace("FROM clean", "FROM turned"), STRANDED, BLOCKS.replace("FROM clean", "FROM earlier"), STRAND_INDEX) + f"""SELECT read_ix, count(DISTINCT (tile_ix, frame_ix)) AS frames, count(*) FILTER (WHERE value % 2 = strand) AS same, count(*) FILTER (WHERE value % 2 <> strand) AS other
+FROM (SELECT *, code * {h} + seed_ix AS key FROM frames WHERE read_ix IN (SELECT read_ix FROM later)) LEFT JOIN idx USING (key) GROUP BY read_ix""",
         "index_dump": _with(*static, LEAST_INDEX) + "SELECT id, count(*) AS slots, CAST(sum(code) AS BIGINT) AS code_sum FROM idx GROUP BY id",
         "longest_gap": _with(CLEAN, GAP) + "SELECT c.read_ix, CAST(coalesce(s, 0) AS INT) AS gap_start, CAST(coalesce(e, 0) AS INT) AS gap_end FROM clean c LEFT JOIN best USING (read_ix)",
         "trim_emit": _with(CLEAN, DECISIONS) + "SELECT * FROM pieces",
