@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, seed_table
-from longpath.operators import index, kmers, probe, qc, reduce, sampled, select, sketch, strands, tiles
+from longpath.operators import coverage, index, kmers, probe, qc, reduce, sampled, select, sketch, strands, tiles
 from longpath.operators.snapshot import IndexStore
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
@@ -371,6 +371,33 @@ def sketch_lookup(spark, sf_dir):
     return sketch.lookups(dealt.where(~first), sketch.sketch(dealt.where(first), SMALL, SKETCH_SLOTS, MOST_WRITERS), SMALL, SKETCH_SLOTS)
 
 
+DISTANCE, LEAST, SPAN, CUT, PLACES = 120, 200, 3, 250, 40_000
+
+
+def _alignments(spark, sf_dir):
+    """Up to three alignments of each clean read on one of seven contigs, a third of all on contig 0."""
+    n = F.length("seq").cast("long")
+    contig = F.when(F.col("read_ix") % 3 == 0, 0).otherwise(F.col("read_ix") % 7).cast("long")
+    rows = _clean(spark, sf_dir).select(contig.alias("contig"), F.col("read_ix").alias("read"), n.alias("n"), F.explode(F.array(*map(F.lit, range(3)))).alias("j"))
+    start = (F.col("read") * 7919 + F.col("j") * (F.col("n") / 4 + 60).cast("long")) % PLACES
+    return rows.select("contig", "read", start.alias("start"), (start + F.floor(F.col("n") / 4) - F.col("j") * 50).alias("stop"))
+
+
+def molecule_spans(spark, sf_dir):
+    return coverage.molecules(_alignments(spark, sf_dir), DISTANCE, LEAST)
+
+
+def coverage_depth(spark, sf_dir):
+    return coverage.depths(molecule_spans(spark, sf_dir), 1024)
+
+
+def coverage_cuts(spark, sf_dir):
+    """The contigs, cut where fewer than three molecules span them."""
+    rows = _alignments(spark, sf_dir)
+    lengths = rows.groupBy("contig").agg((F.max("stop") + 100).alias("length"))
+    return coverage.pieces(lengths, coverage.weak_regions(coverage.depths(coverage.molecules(rows, DISTANCE, LEAST), 1024), SPAN, 1024), CUT, 1024)
+
+
 PER_FRAME = 2
 
 
@@ -446,7 +473,7 @@ def silver_then_golden(spark, sf_dir):
 NAMES = (
     read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
     kmer_spectrum, kmer_f0_sampled, kmer_spectrum_sampled, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
-    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, strand_lookup, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
+    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, strand_lookup, molecule_spans, coverage_depth, coverage_cuts, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
 
 
@@ -616,6 +643,19 @@ STRAND_INDEX = f"""valued AS (
   SELECT f.read_ix, f.tile_ix, f.frame_ix, f.seed_ix, f.code * {SMALL.patterns} + f.seed_ix AS key, 2 * block_id + strand AS value FROM frames f JOIN blocks ON f.read_ix = blocks.read_ix AND f.tile_ix BETWEEN first_tile AND last_tile),
 chosen AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY read_ix, tile_ix, frame_ix ORDER BY {_WEIGHT}, seed_ix) AS r FROM valued) WHERE r <= {PER_FRAME}),
 idx AS (SELECT key, first(value ORDER BY {_WEIGHT}, value) AS value FROM chosen GROUP BY key)"""
+MOLECULES = f"""aligned AS (
+  SELECT CASE WHEN read % 3 = 0 THEN 0 ELSE read % 7 END AS contig, read, (read * 7919 + j * CAST(floor(n / 4 + 60) AS BIGINT)) % {PLACES} AS start, (read * 7919 + j * CAST(floor(n / 4 + 60) AS BIGINT)) % {PLACES} + n // 4 - j * 50 AS stop
+  FROM (SELECT read_ix AS read, CAST(length(seq) AS BIGINT) AS n, unnest([0, 1, 2]) AS j FROM clean)),
+reached AS (SELECT *, max(stop) OVER (PARTITION BY contig, read ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM aligned WHERE start < stop),
+islands_of AS (SELECT *, sum(CASE WHEN r IS NULL OR start - r > {DISTANCE} THEN 1 ELSE 0 END) OVER (PARTITION BY contig, read ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM reached),
+molecules AS (SELECT contig, read, min(start) AS start, max(stop) AS stop FROM islands_of GROUP BY contig, read, m HAVING max(stop) - min(start) >= {LEAST})"""
+DEPTHS = """events AS (SELECT contig, place, sum(d) AS d FROM (SELECT contig, start AS place, 1 AS d FROM molecules UNION ALL SELECT contig, stop, -1 FROM molecules) GROUP BY ALL),
+depths AS (SELECT contig, place, CAST(sum(d) OVER w AS BIGINT) AS depth, CAST(sum(d) OVER w - d AS BIGINT) AS was FROM events WINDOW w AS (PARTITION BY contig ORDER BY place))"""
+CUTS = f"""turns AS (SELECT contig, place, depth < {SPAN} AS weak FROM depths WHERE (depth < {SPAN}) <> (was < {SPAN})),
+regions AS (SELECT * FROM (SELECT contig, place AS start, weak, lead(place) OVER (PARTITION BY contig ORDER BY place) AS stop FROM turns) WHERE weak AND stop IS NOT NULL),
+cuts AS (
+  SELECT contig, 0 AS start FROM aligned GROUP BY contig
+  UNION SELECT contig, unnest(CASE WHEN stop - start >= {CUT} THEN [start, stop] ELSE [(start + stop) // 2] END) FROM regions)"""
 ISLANDS = GAP[GAP.index("islands AS") :]
 
 
@@ -688,6 +728,10 @@ def oracle_sql() -> dict[str, str]:
 SELECT read_ix, count(*) AS frames, count(*) FILTER (WHERE used = {h}) AS full_frames, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(saturated) AS BIGINT) AS saturated FROM per_frame GROUP BY read_ix""",
         "strand_lookup": _with(CLEAN, HALVES, TURNED, TILES.replace("FROM clean", "FROM turned"), STRANDED, BLOCKS.replace("FROM clean", "FROM earlier"), STRAND_INDEX) + f"""SELECT read_ix, count(DISTINCT (tile_ix, frame_ix)) AS frames, count(*) FILTER (WHERE value % 2 = strand) AS same, count(*) FILTER (WHERE value % 2 <> strand) AS other
 FROM (SELECT *, code * {h} + seed_ix AS key FROM frames WHERE read_ix IN (SELECT read_ix FROM later)) LEFT JOIN idx USING (key) GROUP BY read_ix""",
+        "molecule_spans": _with(CLEAN, MOLECULES) + "SELECT * FROM molecules",
+        "coverage_depth": _with(CLEAN, MOLECULES, DEPTHS) + "SELECT * FROM depths",
+        "coverage_cuts": _with(CLEAN, MOLECULES, DEPTHS, CUTS) + """SELECT contig, row_number() OVER w AS piece, start, coalesce(lead(start) OVER w, length) AS stop
+FROM cuts JOIN (SELECT contig, max(stop) + 100 AS length FROM aligned GROUP BY contig) USING (contig) WINDOW w AS (PARTITION BY contig ORDER BY start)""",
         "index_dump": _with(*static, LEAST_INDEX) + "SELECT id, count(*) AS slots, CAST(sum(code) AS BIGINT) AS code_sum FROM idx GROUP BY id",
         "longest_gap": _with(CLEAN, GAP) + "SELECT c.read_ix, CAST(coalesce(s, 0) AS INT) AS gap_start, CAST(coalesce(e, 0) AS INT) AS gap_end FROM clean c LEFT JOIN best USING (read_ix)",
         "trim_emit": _with(CLEAN, DECISIONS) + "SELECT * FROM pieces",
