@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
-from longpath.functions.seeds import care_positions, seed_table
+from longpath.functions.seeds import care_positions, skip_positions
 from longpath.operators import coverage, index, kmers, probe, qc, reduce, sampled, select, sketch, strands, tiles
 from longpath.operators.snapshot import IndexStore
 from longpath.plans import pipeline
@@ -94,7 +94,10 @@ def anti_filter(spark, sf_dir):
 
 
 def seed_patterns(spark, sf_dir):
-    return seed_table(spark, SMALL.seeds)
+    """The patterns, each with the number of places that it has in the clean reads."""
+    each = [F.struct(F.lit(i).alias("seed_ix"), F.lit(p).alias("pattern"), F.lit(len(p)).alias("span"), F.lit(p.count("1")).alias("weight"), F.lit(",".join(map(str, skip_positions(p)))).alias("skipped")) for i, p in enumerate(SMALL.seeds)]
+    rows = _clean(spark, sf_dir).select(F.length("seq").alias("n"), F.explode(F.array(*each)).alias("s")).select("n", "s.*")
+    return rows.groupBy("seed_ix", "pattern", "span", "weight", "skipped").agg(F.sum(F.greatest(F.col("n") - F.col("span") + 1, F.lit(0))).cast("long").alias("positions"))
 
 
 def tile_split(spark, sf_dir):
@@ -687,7 +690,7 @@ def oracle_sql() -> dict[str, str]:
   count(*) FILTER (WHERE phred < min_phred) AS low_phred, count(*) FILTER (WHERE delta >= {SMALL.max_delta}) AS high_delta,
   count(*) FILTER (WHERE phred >= min_phred AND delta < {SMALL.max_delta} AND regexp_matches(seq, '{quality.BAD_BASE}')) AS bad_alphabet, (SELECT count(*) FROM passing) AS passed FROM measured, threshold""",
         "anti_filter": _with(_measured()) + "SELECT read_ix, id, len FROM passing WHERE id NOT IN (SELECT 'r' || doc_id FROM labels WHERE toxic = 1)",
-        "seed_patterns": skipped,
+        "seed_patterns": _with(CLEAN, f"seeds AS ({skipped})") + "SELECT seeds.*, CAST(sum(greatest(length(seq) - span + 1, 0)) AS BIGINT) AS positions FROM seeds CROSS JOIN clean GROUP BY ALL",
         "tile_split": _with(CLEAN, TILES) + "SELECT * FROM tiles",
         "kmer_codes": _with(CLEAN, TILES, FRAMES) + "SELECT read_ix, tile_ix, seed_ix, count(*) AS frames, count(DISTINCT code) AS codes, CAST(sum(code) AS BIGINT) AS code_sum, min(code) AS least, max(code) AS most FROM frames GROUP BY ALL",
         "distinct_kmers": _with(CLEAN, KMERS) + "SELECT seed_ix, CAST(code // 4194304 AS INT) AS code_range, count(*) AS codes, CAST(sum(code) AS BIGINT) AS code_sum, CAST(sum(n) AS BIGINT) AS total FROM (SELECT seed_ix, code, count(*) AS n FROM kmers GROUP BY ALL) GROUP BY ALL",
