@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, skip_positions
-from longpath.operators import coverage, index, kmers, probe, qc, reduce, sampled, select, sketch, strands, tiles
+from longpath.operators import consensus, coverage, index, kmers, minimizers, probe, qc, reduce, sampled, scaffold, select, sketch, strands, tiles
 from longpath.operators.snapshot import IndexStore
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
 from longpath.sources import fastq
 from longpath.sources.derived import derived_reads, reads_sql
-from longpath.sources.files import shared_folder
+from longpath.sources.files import shared_folder, stored
 from longpath.streaming.incremental import IncrementalSelection
 
 TARGET = 100_000  # genome size for paths that roll over, in tests of sf0.001
@@ -415,6 +415,78 @@ def strand_lookup(spark, sf_dir):
     return strands.lookups(asked, strands.insert(reads.where(first), SMALL, buckets, PER_FRAME), SMALL, buckets)
 
 
+K, WINDOW, CONTIG, STEP, SUPPORT = 24, 8, 260, 300, 2
+
+
+def read_minimizers(spark, sf_dir):
+    return minimizers.minimizers(_clean(spark, sf_dir).select(F.col("read_ix").alias("id"), "seq"), K, WINDOW).withColumnRenamed("id", "read_ix")
+
+
+def _contigs(reads: DataFrame) -> DataFrame:
+    """id and seq of pieces of every third read with gaps between, every other one from the other strand."""
+    last = F.floor((F.length("seq") - CONTIG) / STEP).cast("int")
+    rows = reads.where("read_ix % 3 = 0").select("read_ix", F.col("seq").cast("binary").alias("seq"), F.explode(F.sequence(F.lit(0), last)).alias("j"))
+    piece = F.substr("seq", F.col("j") * STEP + 1, F.lit(CONTIG)).cast("string")
+    other = F.reverse(F.translate(piece, "ACGT", "TGCA"))
+    return rows.select((F.col("read_ix") * 100_000 + F.col("j")).alias("id"), F.when(F.col("j") % 2 == 1, other).otherwise(piece).alias("seq"))
+
+
+def _edges(spark, sf_dir):
+    """Contigs and the edges that all clean reads make between them."""
+    reads = _stored(spark, sf_dir)
+    contigs = _contigs(reads)
+    own = minimizers.unique(minimizers.minimizers(contigs, K, WINDOW))
+    met = minimizers.meetings(minimizers.minimizers(reads.withColumnRenamed("read_ix", "id"), K, WINDOW), own)
+    return contigs, scaffold.edges(met, contigs.select(F.col("id").alias("contig"), F.length("seq").cast("long").alias("length")), K)
+
+
+def scaffold_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)[1]
+
+
+def scaffold_joins(spark, sf_dir):
+    return scaffold.joins(stored(_edges(spark, sf_dir)[1], "edges"))
+
+
+def scaffold_chains(spark, sf_dir):
+    """Order and strand of the contigs of each chain."""
+    contigs, found = _edges(spark, sf_dir)
+    return scaffold.chains(contigs.select(F.col("id").alias("contig")), stored(scaffold.joins(stored(found, "edges")), "joins"))
+
+
+def _drafts(reads: DataFrame) -> DataFrame:
+    """Contigs with a wrong base, in a third of them a base twice, in another a base less."""
+    at = lambda a, n: F.substr("seq", F.lit(a), F.lit(n))
+    wrong = F.concat(at(1, 99), F.translate(at(100, 1), "ACGT", "CGTA"))
+    twice, less = F.concat(wrong, at(101, 100), at(200, CONTIG)), F.concat(wrong, at(101, 59), at(161, CONTIG))
+    return _contigs(reads).select("id", F.when(F.col("id") % 3 == 0, twice).when(F.col("id") % 3 == 1, F.concat(wrong, at(101, CONTIG))).otherwise(less).alias("seq"))
+
+
+def _covering(reads: DataFrame) -> DataFrame:
+    """Three reads of each, begun at different places, with a wrong base each, one of them from the other strand."""
+    rows = reads.select("read_ix", "seq", F.explode(F.array(*map(F.lit, range(3)))).alias("j"))
+    at = 120 + F.col("j") * 71
+    wrong = F.concat(F.substr("seq", F.col("j") * 7 + 1, at - 1 - F.col("j") * 7), F.translate(F.substr("seq", at, F.lit(1)), "ACGT", "GTAC"), F.substr("seq", at + 1, F.length("seq")))
+    return rows.select((F.col("read_ix") * 3 + F.col("j")).alias("id"), F.when(F.col("j") == 1, F.reverse(F.translate(wrong, "ACGT", "TGCA"))).otherwise(wrong).alias("seq"))
+
+
+def _corrections(spark, sf_dir):
+    reads = _stored(spark, sf_dir)
+    drafts, covering = _drafts(reads), _covering(reads)
+    met = minimizers.meetings(minimizers.minimizers(covering, K, WINDOW), minimizers.unique(minimizers.minimizers(drafts, K, WINDOW)))
+    return drafts, consensus.corrections(drafts, covering, stored(met, "meetings"), K, SUPPORT, 1024)
+
+
+def consensus_votes(spark, sf_dir):
+    """The segments of drafts that reads spell otherwise."""
+    return _corrections(spark, sf_dir)[1]
+
+
+def consensus_contigs(spark, sf_dir):
+    """The drafts after correction."""
+    return consensus.polished(*_corrections(spark, sf_dir))
+
+
 BATCHES = 3
 
 
@@ -476,7 +548,7 @@ def silver_then_golden(spark, sf_dir):
 NAMES = (
     read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
     kmer_spectrum, kmer_f0_sampled, kmer_spectrum_sampled, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
-    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, strand_lookup, molecule_spans, coverage_depth, coverage_cuts, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
+    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, strand_lookup, molecule_spans, coverage_depth, coverage_cuts, read_minimizers, scaffold_edges, scaffold_joins, scaffold_chains, consensus_votes, consensus_contigs, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
 
 
@@ -659,6 +731,60 @@ regions AS (SELECT * FROM (SELECT contig, place AS start, weak, lead(place) OVER
 cuts AS (
   SELECT contig, 0 AS start FROM aligned GROUP BY contig
   UNION SELECT contig, unnest(CASE WHEN stop - start >= {CUT} THEN [start, stop] ELSE [(start + stop) // 2] END) FROM regions)"""
+_CONTIG = f"substr(seq, j * {STEP} + 1, {CONTIG})"
+CONTIGS = f"""contigs AS (
+  SELECT read_ix * 100000 + j AS id, CASE WHEN j % 2 = 1 THEN reverse(translate({_CONTIG}, 'ACGT', 'TGCA')) ELSE {_CONTIG} END AS seq
+  FROM (SELECT *, unnest(range(0, CAST((length(seq) - {CONTIG}) // {STEP} + 1 AS BIGINT))) AS j FROM clean WHERE read_ix % 3 = 0))"""
+_WRONG = "substr(seq, 1, 99) || translate(substr(seq, 100, 1), 'ACGT', 'CGTA') || "
+DRAFTS = f"""drafts AS (
+  SELECT id, {_WRONG} CASE id % 3 WHEN 0 THEN substr(seq, 101, 100) || substr(seq, 200) WHEN 1 THEN substr(seq, 101) ELSE substr(seq, 101, 59) || substr(seq, 161) END AS seq FROM contigs)"""
+COVERING = """covering AS (
+  SELECT read_ix * 3 + j AS id, CASE WHEN j = 1 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS seq
+  FROM (SELECT read_ix, j, substr(seq, j * 7 + 1, 119 + j * 64) || translate(substr(seq, 120 + j * 71, 1), 'ACGT', 'GTAC') || substr(seq, 121 + j * 71) AS s FROM (SELECT *, unnest([0, 1, 2]) AS j FROM clean)))"""
+
+
+def _minimizers_sql(name: str, source: str) -> str:
+    """name (id, place, code, strand), the minimizers of source (id, seq)."""
+    return f"""{name}_masks AS (SELECT id, p, substr(seq, p + 1, {K}) AS m, length(seq) - {K - 1} AS n FROM (SELECT *, unnest(range(0, greatest(CAST(length(seq) AS BIGINT) - {K - 1}, 0))) AS p FROM {source})),
+{name}_codes AS (SELECT id, p, n, {_number("least(m, reverse(translate(m, 'ACGT', 'TGCA')))")} AS code, CAST(m > reverse(translate(m, 'ACGT', 'TGCA')) AS INT) AS strand FROM {name}_masks),
+{name}_least AS (SELECT id, p, n, min(({_HASH(0)}) * 4294967296 + p) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) & 4294967295 AS place FROM {name}_codes),
+{name} AS (SELECT c.id, c.p AS place, code, strand FROM {name}_codes c JOIN (SELECT DISTINCT id, place FROM {name}_least WHERE p <= greatest(n - {WINDOW}, 0)) l ON l.id = c.id AND l.place = c.p)"""
+
+
+def _met_sql(reads: str, contigs: str) -> str:
+    """met (read, read_place, contig, contig_place, same), the meetings of minimizers."""
+    return f"""once AS (SELECT code, min(id) AS contig, min(place) AS contig_place, min(strand) AS s FROM {contigs} GROUP BY code HAVING count(*) = 1),
+met AS (SELECT id AS read, place AS read_place, contig, contig_place, strand = s AS same FROM {reads} JOIN once USING (code))"""
+
+
+EDGES = f"""runs AS (
+  SELECT read, contig, min((read_place, contig_place)) AS a, max((read_place, contig_place)) AS b, 2 * count(*) FILTER (WHERE same) < count(*) AS turned, length(any_value(seq)) - {K} AS l
+  FROM met JOIN contigs ON id = contig GROUP BY read, contig),
+sides AS (
+  SELECT read, contig, a[1] AS met_at, a[1] - CASE WHEN turned THEN l - a[2] ELSE a[2] END AS start, b[1] + {K} + CASE WHEN turned THEN b[2] ELSE l - b[2] END AS stop, 2 * contig + turned::INT AS entered, 2 * contig + 1 - turned::INT AS out FROM runs),
+pairs AS (SELECT out, lead(entered) OVER w AS entered, lead(start) OVER w - stop AS gap FROM sides WINDOW w AS (PARTITION BY read ORDER BY met_at, contig)),
+edges AS (SELECT least(out, entered) AS low_end, greatest(out, entered) AS high_end, count(*) AS reads, CAST(floor(sum(gap) / count(*)) AS BIGINT) AS gap FROM pairs WHERE entered IS NOT NULL GROUP BY ALL)"""
+JOINS = """best AS (SELECT e, first(other ORDER BY reads DESC, other) AS other FROM (SELECT low_end AS e, high_end AS other, reads FROM edges UNION ALL SELECT high_end, low_end, reads FROM edges) GROUP BY e),
+joined AS (SELECT edges.* FROM edges JOIN best x ON x.e = low_end AND x.other = high_end JOIN best y ON y.e = high_end AND y.other = low_end)"""
+CHAINS = """steps AS (SELECT low_end AS out, high_end AS entered, low_end AS low FROM joined UNION ALL SELECT high_end, low_end, low_end FROM joined),
+states AS (SELECT 2 * id + side AS state FROM contigs, range(0, 2) r(side)),
+round AS (
+  SELECT state, state AS now, CAST(NULL AS BIGINT) AS least, false AS ring FROM states
+  UNION ALL SELECT state, entered, least(coalesce(least, low), low), entered = state FROM round JOIN steps ON out = xor(now, 1) WHERE NOT ring),
+opened AS (SELECT * FROM steps WHERE low NOT IN (SELECT least FROM round WHERE ring)),
+walk AS (
+  SELECT state, state AS now, CAST(0 AS BIGINT) AS n FROM states
+  UNION ALL SELECT state, entered, n + 1 FROM walk JOIN opened ON out = xor(now, 1)),
+ends AS (SELECT state // 2 AS contig, min((xor(l, 1), n, state % 2 = 0)) AS e FROM (SELECT state, arg_max(now, n) AS l, max(n) AS n FROM walk GROUP BY state) GROUP BY ALL)"""
+VOTES = f"""hits AS (SELECT read, contig, contig_place, min(read_place) AS met_at, bool_and(same) AS same FROM met GROUP BY ALL HAVING count(*) = 1),
+numbered AS (SELECT contig, contig_place, row_number() OVER w AS number, lead(contig_place) OVER w AS stop FROM (SELECT contig, contig_place FROM hits GROUP BY ALL HAVING count(*) >= {SUPPORT}) WINDOW w AS (PARTITION BY contig ORDER BY contig_place)),
+placed AS (SELECT *, lead(met_at) OVER w AS till, lead(number) OVER w - number AS further FROM hits JOIN numbered USING (contig, contig_place) WINDOW w AS (PARTITION BY read, contig, same ORDER BY number)),
+votes AS (
+  SELECT contig, contig_place AS start, stop, CASE WHEN same THEN substr(seq, met_at + 1, till - met_at) ELSE reverse(translate(substr(seq, till + {K} + 1, met_at - till), 'ACGT', 'TGCA')) END AS piece, count(*) AS n
+  FROM placed JOIN covering ON id = read WHERE further = 1 AND (till > met_at) = same GROUP BY ALL),
+best AS (
+  SELECT contig, start, stop, substr(any_value(seq), start + 1, stop - start) AS old, first(piece ORDER BY n DESC, piece <> substr(seq, start + 1, stop - start), piece) AS new, max(n) AS votes, CAST(sum(n) AS BIGINT) AS voters FROM votes JOIN drafts ON id = contig GROUP BY contig, start, stop),
+changes AS (SELECT * FROM best WHERE old <> new AND votes >= {SUPPORT})"""
 ISLANDS = GAP[GAP.index("islands AS") :]
 
 
@@ -668,6 +794,8 @@ def oracle_sql() -> dict[str, str]:
     static = (CLEAN, TILES, FRAMES, BLOCKS, OCCURRENCES)
     probed = (*static, INDEX, PROBED)
     counts = (*probed, COUNTS)
+    linked = (CLEAN, CONTIGS, "named AS (SELECT read_ix AS id, seq FROM clean)", _minimizers_sql("found", "named"), _minimizers_sql("own", "contigs"), _met_sql("found", "own"))
+    voted = (CLEAN, CONTIGS, DRAFTS, COVERING, _minimizers_sql("found", "covering"), _minimizers_sql("own", "drafts"), _met_sql("found", "own"), VOTES)
     n = f"(length(seq) - {SMALL.span - 1})"
     bits = f"CAST(floor(round(-{n} * {h} / ln(1.0 - {o}), 6)) AS BIGINT)"
     return {
@@ -735,6 +863,13 @@ FROM (SELECT *, code * {h} + seed_ix AS key FROM frames WHERE read_ix IN (SELECT
         "coverage_depth": _with(CLEAN, MOLECULES, DEPTHS) + "SELECT * FROM depths",
         "coverage_cuts": _with(CLEAN, MOLECULES, DEPTHS, CUTS) + """SELECT contig, row_number() OVER w AS piece, start, coalesce(lead(start) OVER w, length) AS stop
 FROM cuts JOIN (SELECT contig, max(stop) + 100 AS length FROM aligned GROUP BY contig) USING (contig) WINDOW w AS (PARTITION BY contig ORDER BY start)""",
+        "read_minimizers": _with(CLEAN, "named AS (SELECT read_ix AS id, seq FROM clean)", _minimizers_sql("found", "named")) + "SELECT id AS read_ix, place, code, strand FROM found",
+        "scaffold_edges": _with(*linked, EDGES) + "SELECT * FROM edges",
+        "scaffold_joins": _with(*linked, EDGES, JOINS) + "SELECT * FROM joined",
+        "scaffold_chains": _with(*linked, EDGES, JOINS, CHAINS).replace("WITH", "WITH RECURSIVE", 1) + "SELECT e[1] AS chain, e[2] AS place, contig, e[3] AS turned FROM ends",
+        "consensus_votes": _with(*voted) + "SELECT * FROM changes",
+        "consensus_contigs": _with(*voted) + """SELECT id, count(c.contig) AS changes, CASE WHEN count(c.contig) = 0 THEN any_value(seq) ELSE substr(any_value(seq), 1, min(c.start)) || string_agg(new || substr(seq, c.stop + 1, coalesce(following, length(seq)) - c.stop), '' ORDER BY c.start) END AS seq
+  FROM drafts LEFT JOIN (SELECT *, lead(start) OVER (PARTITION BY contig ORDER BY start) AS following FROM changes) c ON c.contig = id GROUP BY id""",
         "index_dump": _with(*static, LEAST_INDEX) + "SELECT id, count(*) AS slots, CAST(sum(code) AS BIGINT) AS code_sum FROM idx GROUP BY id",
         "longest_gap": _with(CLEAN, GAP) + "SELECT c.read_ix, CAST(coalesce(s, 0) AS INT) AS gap_start, CAST(coalesce(e, 0) AS INT) AS gap_end FROM clean c LEFT JOIN best USING (read_ix)",
         "trim_emit": _with(CLEAN, DECISIONS) + "SELECT * FROM pieces",
