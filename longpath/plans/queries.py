@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from longpath.functions import bloom, quality
 from longpath.functions.seeds import care_positions, skip_positions
-from longpath.operators import consensus, coverage, index, kmers, minimizers, probe, qc, reduce, sampled, scaffold, select, sketch, strands, tiles
+from longpath.operators import consensus, coverage, index, kmers, minimizers, probe, qc, reduce, repair, sampled, scaffold, select, sketch, strands, tiles
 from longpath.operators.snapshot import IndexStore
 from longpath.plans import pipeline
 from longpath.plans.config import SMALL
@@ -415,6 +415,12 @@ def strand_lookup(spark, sf_dir):
     return strands.lookups(asked, strands.insert(reads.where(first), SMALL, buckets, PER_FRAME), SMALL, buckets)
 
 
+def saturation_repair(spark, sf_dir):
+    """Keys by block after repair of the index of all clean reads: how many, how many of them saturated, and the frames that wrote them."""
+    rows = repair.repaired(stored(repair.frames(_stored(spark, sf_dir), SMALL), "frames"))
+    return rows.groupBy("id").agg(F.count("*").alias("slots"), F.sum(F.col("saturated").cast("long")).alias("saturated"), F.sum("n").alias("writers"), F.sum("key").alias("key_sum"))
+
+
 K, WINDOW, CONTIG, STEP, SUPPORT = 24, 8, 260, 300, 2
 
 
@@ -548,7 +554,7 @@ def silver_then_golden(spark, sf_dir):
 NAMES = (
     read_scan, exclusion_scan, path_files, fasta_files, frame_lookup, solid_insert, set_if_empty, index_population, phred_decode, phred_mean, phred_delta, phred_median, qc_filter, qc_counters, anti_filter, seed_patterns, tile_split, kmer_codes, distinct_kmers, kmer_f0, kmer_f0_approx,
     kmer_spectrum, kmer_f0_sampled, kmer_spectrum_sampled, slot_hash, slot_rank, filter_size, bloom_math, block_ids, index_probe, frame_membership, tile_id_counts, tile_best, tile_candidates, tile_assign, probe_counters, id_frequencies,
-    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, strand_lookup, molecule_spans, coverage_depth, coverage_cuts, read_minimizers, scaffold_edges, scaffold_joins, scaffold_chains, consensus_votes, consensus_contigs, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
+    reservoir_upsert, longest_gap, tile_smooth, flank_eval, read_decision, greedy_select, path_rollover, reduced_select, reduced_paths, merge_ranges, index_dump, sketch_index, sketch_lookup, strand_lookup, saturation_repair, molecule_spans, coverage_depth, coverage_cuts, read_minimizers, scaffold_edges, scaffold_joins, scaffold_chains, consensus_votes, consensus_contigs, stream_select, trim_emit, emit_fasta, emit_fastq, silver_union, path_stats, silver_then_golden,
 )
 
 
