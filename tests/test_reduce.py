@@ -1,5 +1,6 @@
 """Selection by ranges and merges: against slow models, and against one fold on simulated reads of a genome."""
 
+import random
 from collections import defaultdict
 from dataclasses import replace
 
@@ -183,3 +184,38 @@ def test_nothing_to_select(spark):
     table = spark.createDataFrame([], "read_ix long, seq string")
     assert reduce.reduced(table, CONFIG, 4).count() == 0 and reduce.reduced_paths(table, replace(CONFIG, genome_size=10), 2).count() == 0
     assert reduce.reduced(spark.createDataFrame([(5, ""), (6, "ACGT"), (9, None)], "read_ix long, seq string"), CONFIG, 2).where(F.lit(True)).count() == 0
+
+
+def test_an_index_in_slices_is_the_whole_in_few_bytes(spark, tmp_path):
+    """The slices of a snapshot have every key once, a turn exchanges its own keys, and keys and ids take far less than two numbers of eight bytes."""
+    from longpath.operators import units
+    from longpath.operators.snapshot import IndexStore
+
+    rng = random.Random(4)
+    reads = spark.createDataFrame([(3 * i, "".join(rng.choice("ACGT") for _ in range(700))) for i in range(40)], "read_ix long, seq string")
+    unpacked = lambda rows: sorted((int(k), int(v)) for r in rows.collect() for k, v in zip(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["ids"], np.int64), strict=True))
+    want = unpacked(reduce.insert(reads, SMALL, 5))
+    rows = reduce.spaced(reads, SMALL).cache()
+    turns = [reduce._written(rows, SMALL, 5, t, 2) for t in range(2)]
+    sizes = [t.agg(F.sum("size"), F.sum(F.length("keys") + F.length("ids"))).first() for t in turns]
+    assert all(0 < n for n, _ in sizes) and sum(b for _, b in sizes) < 10 * sum(n for n, _ in sizes)
+    store = IndexStore(spark, f"file://{tmp_path}/index", most=100)
+    store.write_slices(0, reduce.slices(reads, SMALL, 5, 2), {})
+    assert store.versions() == [0] and unpacked(store.index(0)) == want
+    sums = {}
+    for k, v in want:
+        n, c = sums.get(v, (0, 0))
+        sums[v] = n + 1, c + k // SMALL.patterns
+    assert {r.id: (r.slots, r.code_sum) for r in units.entry_sums(store.rows(0), SMALL, 2).collect()} == sums
+
+
+def test_least_writers_in_one_sort_and_in_four():
+    rng = np.random.default_rng(3)
+    for spaces in (1, 3):
+        keys, block, space = rng.integers(0, 50, 900), rng.integers(1, 40, 900), rng.integers(0, spaces, 900)
+        slot = space * 7 + keys % 7
+        want = {}
+        for s, k, b in zip(slot.tolist(), keys.tolist(), block.tolist(), strict=True):
+            x = (int(reduce.weight(np.array([k]), np.array([b]))[0]), b)
+            want[s, k] = min(want.get((s, k), x), x)
+        assert list(zip(*(c.tolist() for c in reduce.least_writers(slot, keys, block)), strict=True)) == [(s, k, want[s, k][1]) for s, k in sorted(want)]
