@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from longpath.functions.seeds import care_positions
 from longpath.operators.index import running
 from longpath.operators.kmers import BASE
-from longpath.operators.probe import STEP, _bucket, _cuts, _flat, _packed
-from longpath.operators.reduce import _answered, _asked, ids_taken, least_writers, merged_index, weight
+from longpath.operators.probe import STEP, _bucket
+from longpath.operators.reduce import WRITTEN, _answered, _asked, ids_taken, keys_and_ids, least_writers, merged_index, weight, written_rows
 from longpath.plans.config import PathConfig
+from longpath.sources.files import drop_stored, stored
 
 
 def stranded_keys(seq: str | None, config: PathConfig, patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,15 +50,31 @@ def stranded_keys(seq: str | None, config: PathConfig, patterns: list[str]) -> t
     return np.concatenate(keys), np.concatenate(flags), np.concatenate(tiles)
 
 
+def numbered(reads: DataFrame, config: PathConfig) -> DataFrame:
+    """before (ids taken by reads of smaller read_ix) and seq of reads (read_ix, seq)."""
+    before = running(reads.select("read_ix", ids_taken(config).alias("ids"))).select("read_ix", "before")
+    return reads.select("read_ix", "seq").join(before, "read_ix").select("before", "seq")
+
+
 def insert(reads: DataFrame, config: PathConfig, buckets: int, per_frame: int) -> DataFrame:
     """The index (slot, keys, ids: values) of reads (read_ix, seq), inserted whole in the order of read_ix."""
+    return merged_index(_written(numbered(reads, config), config, buckets, per_frame))
+
+
+def slices(reads: DataFrame, config: PathConfig, buckets: int, per_frame: int, rounds: int) -> Iterator[DataFrame]:
+    """The index of insert() in so many slices, which have no slot in common; each hashes the reads anew and exchanges its own keys only."""
+    rows = stored(numbered(reads, config), "numbered")
+    for turn in range(rounds):
+        yield merged_index(_written(rows, config, buckets, per_frame, turn, rounds))
+    drop_stored(rows)
+
+
+def _written(reads: DataFrame, config: PathConfig, buckets: int, per_frame: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """WRITTEN rows of what reads (before, seq) write; of several rounds a turn has the slots of its own."""
     patterns, h = config.seeds, config.patterns
-    before = running(reads.select("read_ix", ids_taken(config).alias("ids"))).select("read_ix", "before")
 
     def packed(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        slot, keys, values = least_writers(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        cut = _cuts(slot)
-        yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]]), _packed(keys, cut), _packed(values, cut)], names=["slot", "keys", "ids"])
+        yield written_rows(*least_writers(*(np.concatenate(c) for c in zip(*parts, strict=True))))
 
     def run(batches):
         parts, held = [], 0
@@ -69,7 +86,9 @@ def insert(reads: DataFrame, config: PathConfig, buckets: int, per_frame: int) -
                     values = 2 * (number + 1 + tile[i : i + STEP // h] // config.block)[:, None] + strand[i : i + STEP // h]
                     chosen = np.argsort(weight(keys, values), axis=1, kind="stable")[:, :per_frame]
                     keys, values = (np.take_along_axis(x, chosen, 1).ravel() for x in (keys, values))
-                    parts.append(least_writers(_bucket(keys, buckets), keys, values))
+                    slot = _bucket(keys, buckets)
+                    on = slice(None) if rounds == 1 else np.flatnonzero(slot % rounds == turn)
+                    parts.append(least_writers(slot[on], keys[on], values[on]))
                     held += len(parts[-1][0])
                     if held >= STEP:
                         yield from packed(parts)
@@ -77,15 +96,20 @@ def insert(reads: DataFrame, config: PathConfig, buckets: int, per_frame: int) -
         if parts:
             yield from packed(parts)
 
-    return merged_index(reads.select("read_ix", "seq").join(before, "read_ix").select("before", "seq").mapInArrow(run, "slot bigint, keys binary, ids binary"))
+    return reads.mapInArrow(run, WRITTEN)
 
 
 def lookups(reads: DataFrame, index: DataFrame, config: PathConfig, buckets: int) -> DataFrame:
     """read_ix, frames, and hits on the same and on the other strand of reads (unit, read_ix, seq)."""
+    return counted(reads, _answered(_asked(reads.withColumn("space", F.lit(0).cast("long")), config, buckets), index), config)
+
+
+def counted(reads: DataFrame, answers: DataFrame, config: PathConfig) -> DataFrame:
+    """lookups(), from the answers (``reduce.ANSWERS``) to the reads' units."""
     patterns = config.seeds
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        have, values = _flat(right.column("keys")), _flat(right.column("ids"))
+        have, values = keys_and_ids(right)
         order = np.argsort(have)
         have, values, out = have[order], values[order], []
         for read_ix, seq in zip(left.column("read_ix").to_pylist(), left.column("seq").to_pylist(), strict=True):
@@ -96,5 +120,4 @@ def lookups(reads: DataFrame, index: DataFrame, config: PathConfig, buckets: int
             out.append((read_ix, len(keys), int(same.sum()), int(hit.sum() - same.sum())))
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 4)], names=["read_ix", "frames", "same", "other"])
 
-    answers = _answered(_asked(reads.withColumn("space", F.lit(0).cast("long")), config, buckets), index)
     return reads.select("unit", "read_ix", "seq").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(count, "read_ix bigint, frames bigint, same bigint, other bigint")

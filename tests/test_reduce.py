@@ -219,3 +219,17 @@ def test_least_writers_in_one_sort_and_in_four():
             x = (int(reduce.weight(np.array([k]), np.array([b]))[0]), b)
             want[s, k] = min(want.get((s, k), x), x)
         assert list(zip(*(c.tolist() for c in reduce.least_writers(slot, keys, block)), strict=True)) == [(s, k, want[s, k][1]) for s, k in sorted(want)]
+
+
+def test_lookups_in_rounds_are_those_of_one(spark):
+    """A turn asks and answers its own slots, gaps take fewer bytes than keys of eight, and all turns together give the answers of one."""
+    rng = random.Random(5)
+    reads = spark.createDataFrame([(i, i // 4, "".join(rng.choice("AC") for _ in range(600))) for i in range(16)], "read_ix long, unit long, seq string")
+    first, later = reads.where("read_ix < 8"), reads.where("read_ix >= 8").withColumn("space", F.lit(0).cast("long"))
+    unpacked = lambda rows: sorted((u, k, i) for r in rows.toArrow().to_batches() for u, k, i in zip(np.repeat(r.column("unit").to_numpy(), r.column("size").to_numpy()).tolist(), *(c.tolist() for c in reduce.keys_and_ids(r)), strict=True))
+    want = unpacked(reduce._answered(reduce._asked(later, SMALL, 6), reduce.insert(first, SMALL, 6)))
+    assert want and unpacked(reduce.answers_in_rounds(later, reduce.slices(first, SMALL, 6, 3), SMALL, 6, 3)) == want
+    asked = reduce._asked(later, SMALL, 6, 1, 3)
+    assert {r.slot % 3 for r in asked.collect()} == {1}
+    n, b = asked.agg(F.sum("size"), F.sum(F.length("keys"))).first()
+    assert b < 6 * n

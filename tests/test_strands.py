@@ -54,3 +54,10 @@ def test_reversed_reads_hit_the_other_strand(spark):
         near, far = ("other", "same") if r % 2 else ("same", "other")
         assert got[r][near] > 0.9 * 3 * got[r]["frames"] and got[r][far] < 0.02 * 3 * got[r]["frames"]
     assert got[9]["same"] + got[9]["other"] < 10
+
+
+def test_slices_are_the_whole_index(spark):
+    reads = spark.createDataFrame(made(6, 4), "read_ix long, seq string")
+    rows = lambda t: [(r.slot, bytes(r["keys"]), bytes(r["ids"])) for r in t.collect()]
+    parts = [rows(t) for t in strands.slices(reads, CONFIG, 6, 2, 2)]
+    assert all(parts) and sorted(sum(parts, [])) == sorted(rows(strands.insert(reads, CONFIG, 6, 2)))
