@@ -156,3 +156,14 @@ def test_planted_errors_are_corrected(spark):
         assert all(0 < r["votes"] <= r["voters"] for r in changes.collect())
     none = minimizers.meetings(minimizers.minimizers(covering.limit(0), K, W), minimizers.unique(minimizers.minimizers(contigs, K, W)))
     assert consensus.corrections(contigs, covering.limit(0), none, K).count() == 0
+
+
+def test_minimizers_are_handed_on_in_bounded_batches():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(300)).encode() for _ in range(20)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(20)), "first": [0] * 20, "early": [0] * 20, "seq": seqs})
+    (whole,), parts = minimizers.found_in(batch, 24, 8, 1 << 20), list(minimizers.found_in(batch, 24, 8, 900))
+    assert len(parts) == 7 and all(len(set(p.column("id").to_pylist())) <= 3 for p in parts)
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([whole]).to_pylist()
