@@ -31,6 +31,7 @@ from longpath.llm.words import U, constants, mix
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
+DECIDED = 1 << 18  # remembered decisions about pairs, of some 150 bytes each; what is dropped is decided anew
 
 
 def _fields(raw: bytes):
@@ -157,6 +158,8 @@ class Vocabulary:
         if len(miss):
             new, inverse = np.unique(pair[miss], return_inverse=True)
             fits = np.empty(len(new), bool)
+            if len(self.decided) > DECIDED:
+                self.decided.clear()
             for n, p in enumerate(new.tolist()):
                 known = self.decided.get(p)
                 if known is None:
@@ -345,7 +348,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return kernel(docs.select(F.col(id_col), F.col(text_col).alias("text")), make, limit=1 << 21, ddl=f"`{id_col}` {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
+    return kernel(docs.select(F.col(id_col), F.col(text_col).alias("text")), make, limit=1 << 19, ddl=f"`{id_col}` {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def decoded(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
