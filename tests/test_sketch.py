@@ -57,3 +57,44 @@ def test_nothing(spark):
     assert sketch.slots_of(rows).count() == 0
     some = reduce.in_units(spark.createDataFrame(made(1, 2), "read_ix long, seq string"), CONFIG, 1)
     assert [(r["full_frames"], r["hits"]) for r in sketch.lookups(some, rows, CONFIG, 1000).collect()] == [(0, 0)] * 2
+
+
+def shuffled(spark):
+    """Bytes that this session has written for exchanges so far."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    none = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_exchanges_take_few_bytes_a_base(spark):
+    """600,000 bases of reads written to 1,000,003 slots, and as many looked up: before, some 24 bytes a key were exchanged for either."""
+    from longpath.plans.config import SMALL
+
+    table = spark.createDataFrame(made(4, 60, 20_000), "read_ix long, seq string").repartition(4).cache()
+    reads = table.where("read_ix >= 30")
+    dealt = reduce.in_units(reads, SMALL, 1).cache()
+    dealt.count()
+    before = shuffled(spark)
+    rows = sketch.sketch(table.where("read_ix < 30"), SMALL, 1_000_003, 3)
+    assert sketch.lookups(dealt, rows, SMALL, 1_000_003).count() == 30
+    assert shuffled(spark) - before < 15 * 1_200_000
+    got = sketch.lookups(dealt, rows, SMALL, 1_000_003).orderBy("read_ix").collect()
+    assert got == sketch.lookups(sketch.in_units(reads, 1_000_003), rows, SMALL, 1_000_003).orderBy("read_ix").collect()
+
+
+def test_lookups_are_those_of_a_dictionary(spark):
+    """With a vector of slots and, for more slots, without; units whose reads lie in several partitions; asked by gaps and by bits."""
+    reads = made(5, 3, 2400)
+    reads += [(3, reads[0][1]), (4, reads[0][1][:1500]), (5, "A" * 700)]
+    table = spark.createDataFrame(reads, "read_ix long, seq string")
+    asked = [(r + 10, x) for r, x in reads[2:]] + [(20, made(6, 1, 5000)[0][1]), (21, reads[1][1][500:] + reads[0][1]), (22, ""), (23, "ACG"), (24, None)]
+    dealt = spark.createDataFrame([(r % 2, r, x) for r, x in asked], "unit long, read_ix long, seq string").repartition(4)
+    for size in (20_011, 2_500_003, sketch.DENSE + 3):
+        have = {s: 1 + (len(blocks) > 2) for s, blocks in slow(reads, size).items()}
+        want = []
+        for r, x in asked:
+            frames = [[have.get((c * H + i) % size, 0) for i, c in enumerate(row)] for m in tile_codes((x or "").encode(), CONFIG, CONFIG.seeds) for row in m.tolist()]
+            want.append((r, len(frames), sum(all(f) for f in frames), sum(f.count(1) for f in frames), sum(f.count(2) for f in frames)))
+        got = sketch.lookups(dealt, sketch.sketch(table, CONFIG, size, 2), CONFIG, size).collect()
+        assert sorted(map(tuple, got)) == want
