@@ -2,10 +2,12 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from longpath.functions import quality
 from longpath.operators import tiles
 from longpath.sources import derived
@@ -41,3 +43,13 @@ def test_candidates_become_objects_slice_by_slice():
     assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
     assert len(parts) > 3 and all(p.num_rows == 1 or sum(len(x or ()) for x in p.column("found").to_pylist()) <= 10 for p in parts)
     assert not list(tiles.sliced(batch.slice(0, 0), "found"))
+
+
+def test_scores_of_empty_and_odd_texts_as_in_sql(spark, tmp_path):
+    rows = [(1, ""), (2, "ΟΔΟΣ ΣΑΣ."), (3, "İstanbul ÉÑ ſK"), (4, None), (13, ""), (13, "日本 x"), (11, "odd 🙂🙂"), (22, ""), (None, "plain\n")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in __spark_entry__.queries()["phred_decode"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["phred_decode"]).fetchall()
+    assert sorted(found) == sorted(want) and (-34, 3) in [r[:2] for r in found]
