@@ -16,38 +16,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longpath.functions.seeds import care_positions
+from longpath.functions.arrays import ordered
 from longpath.operators.index import running
-from longpath.operators.kmers import BASE
+from longpath.operators.kmers import BASE, batches_of, both_strands, frame_places, letters_of
 from longpath.operators.probe import STEP, _bucket
-from longpath.operators.reduce import WRITTEN, _answered, _asked, ids_taken, keys_and_ids, least_writers, merged_index, weight, written_rows
+from longpath.operators.reduce import WRITTEN, _answered, _asked, found_ids, ids_taken, keys_and_ids, least_writers, merged_index, weight, written_rows
 from longpath.plans.config import PathConfig
 from longpath.sources.files import drop_stored, stored
 
 
+def stranded_frames(letters: np.ndarray, size: np.ndarray, config: PathConfig, patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and strands (frames x patterns) of all frames of sequences of so many letters that lie behind one another, each frame's tile, and the frames of each sequence; a pattern's last place stands for the places it lacks."""
+    frames, place, last = frame_places(size, config)
+    keys, strands, h, bases = np.empty((len(place), len(patterns)), np.int64), np.empty((len(place), len(patterns)), bool), len(patterns), BASE[letters]
+    if len(place):
+        for i, ((forward, reverse), p) in enumerate(zip(both_strands(bases, patterns), patterns, strict=True)):
+            at = np.minimum(place, last - (len(p) - config.span))
+            a, b = forward[at], reverse[at]
+            keys[:, i], strands[:, i] = np.minimum(a, b).astype(np.int64) * h + i, b < a
+    return keys, strands, (np.arange(len(place)) - np.repeat(np.cumsum(frames) - frames, frames)) // config.tile, frames
+
+
 def stranded_keys(seq: str | None, config: PathConfig, patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and strands (frames x patterns) of all frames of a read, and each frame's tile; a pattern's last place stands for the places it lacks."""
-    bases, h = BASE[np.frombuffer((seq or "").encode(), np.uint8)], len(patterns)
-    codes, strands = [], []
-    for p in patterns:
-        n, care = max(len(bases) - len(p) + 1, 0), care_positions(p)
-        forward, reverse = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for r, at in enumerate(care):
-            b = bases[at : at + n].astype(np.int64)
-            forward |= b << (2 * (len(care) - 1 - r))
-            reverse |= (3 - b) << (2 * r)
-        codes.append(np.minimum(forward, reverse))
-        strands.append(reverse < forward)
-    keys, flags, tiles = [np.empty((0, h), np.int64)], [np.empty((0, h), bool)], [np.empty(0, np.int64)]
-    for t in range(len(bases) // config.tile):
-        begin, end = t * config.tile, min(len(bases), (t + 1) * config.tile + config.span - 1)
-        place = begin + np.arange(max(end - begin - config.span + 1, 0))
-        if len(place):
-            at = [np.minimum(place, end - len(p)) for p in patterns]
-            keys.append(np.stack([codes[i][x] * h + i for i, x in enumerate(at)], axis=1))
-            flags.append(np.stack([strands[i][x] for i, x in enumerate(at)], axis=1))
-            tiles.append(np.full(len(place), t))
-    return np.concatenate(keys), np.concatenate(flags), np.concatenate(tiles)
+    """Those of one read."""
+    letters = np.frombuffer((seq or "").encode(), np.uint8)
+    return stranded_frames(letters, np.array([len(letters)]), config, patterns)[:3]
 
 
 def numbered(reads: DataFrame, config: PathConfig) -> DataFrame:
@@ -79,13 +72,16 @@ def _written(reads: DataFrame, config: PathConfig, buckets: int, per_frame: int,
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            for number, seq in zip(batch.column("before").to_pylist(), batch.column("seq"), strict=True):
-                every, strand, tile = stranded_keys(seq.as_py(), config, patterns)
+            for first, end in batches_of(batch.column("seq")):
+                every, strand, tile, frames = stranded_frames(*letters_of(batch.column("seq").slice(first, end - first)), config, patterns)
+                block = np.repeat(batch.column("before").slice(first, end - first).to_numpy(zero_copy_only=False).astype(np.int64), frames) + 1 + tile // config.block
                 for i in range(0, len(every), STEP // h):
                     keys = every[i : i + STEP // h]
-                    values = 2 * (number + 1 + tile[i : i + STEP // h] // config.block)[:, None] + strand[i : i + STEP // h]
-                    chosen = np.argsort(weight(keys, values), axis=1, kind="stable")[:, :per_frame]
-                    keys, values = (np.take_along_axis(x, chosen, 1).ravel() for x in (keys, values))
+                    values = 2 * block[i : i + STEP // h][:, None] + strand[i : i + STEP // h]
+                    if per_frame < h:
+                        chosen = np.argsort(weight(keys, values), axis=1, kind="stable")[:, :per_frame]
+                        keys, values = (np.take_along_axis(x, chosen, 1) for x in (keys, values))
+                    keys, values = keys.ravel(), values.ravel()
                     slot = _bucket(keys, buckets)
                     on = slice(None) if rounds == 1 else np.flatnonzero(slot % rounds == turn)
                     parts.append(least_writers(slot[on], keys[on], values[on]))
@@ -110,14 +106,13 @@ def counted(reads: DataFrame, answers: DataFrame, config: PathConfig) -> DataFra
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         have, values = keys_and_ids(right)
-        order = np.argsort(have)
-        have, values, out = have[order], values[order], []
-        for read_ix, seq in zip(left.column("read_ix").to_pylist(), left.column("seq").to_pylist(), strict=True):
-            keys, strand, _ = stranded_keys(seq, config, patterns)
-            at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
-            hit = have[at] == keys if len(have) else np.zeros(keys.shape, bool)
-            same = hit & ((values[at] & 1) == strand) if len(have) else hit
-            out.append((read_ix, len(keys), int(same.sum()), int(hit.sum() - same.sum())))
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 4)], names=["read_ix", "frames", "same", "other"])
+        order = ordered(have)
+        have, values = have[order], values[order]
+        keys, strand, _, frames = stranded_frames(*letters_of(left.column("seq").combine_chunks()), config, patterns)
+        told = found_ids(keys, have, values)  # no value is 0
+        hit = told != 0
+        same = (hit & ((told & 1) == strand)).sum(1)
+        sums = [np.diff(np.concatenate(([0], np.cumsum(x)))[np.concatenate(([0], np.cumsum(frames)))]) for x in (same, hit.sum(1) - same)]
+        return pa.table([left.column("read_ix").cast(pa.int64()), *map(pa.array, (frames, *sums))], names=["read_ix", "frames", "same", "other"])
 
     return reads.select("unit", "read_ix", "seq").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(count, "read_ix bigint, frames bigint, same bigint, other bigint")

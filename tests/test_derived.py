@@ -53,3 +53,12 @@ def test_scores_of_empty_and_odd_texts_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(__spark_entry__.oracle_sql()["phred_decode"]).fetchall()
     assert sorted(found) == sorted(want) and (-34, 3) in [r[:2] for r in found]
+
+
+def test_plain_reads_are_filtered_in_the_kernel(spark, tmp_path):
+    rows = [(1, "the quick"), (2, "the qui"), (3, "a b?c d e f"), (4, "äÉñ xüß"), (5, "äÉñ xüßé"), (6, None), (None, "no number"), (7, "日本 abc def"), (8, ""), (9, "tab\tab there"), (10, "ACGT <> acgt"), (11, "line\nline")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = derived.derived_reads(spark, str(tmp_path)).where((F.length("seq") >= 8) & ~F.col("seq").rlike(quality.BAD_BASE))
+    found = derived.derived_reads(spark, str(tmp_path), 8)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and want.count() > 3
+    assert "rlike" not in found._jdf.queryExecution().executedPlan().toString().lower()
